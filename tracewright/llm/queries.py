@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import budget, hilbert, pigeonhole, urllists
+from . import budget, hilbert, huffman, pigeonhole, urllists
 from .common import read
 
 
@@ -18,6 +18,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urllists.evaluate(urllists.demo_captures(pages), urllists.demo_entries(pages))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, lengths = huffman.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return huffman.read_blocks(spark, path, lengths)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.hierarchical_mix(budget.with_tree(read(spark, sf_dir, "documents")), budget.LEVELS, budget.WEIGHTS)
 
@@ -27,7 +34,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_hilbert_shards": op2, "op4_url_lists": op4, "op8_hierarchical_mix": op8, "op10_pigeonhole_leaks": op10}
+    return {"op2_hilbert_shards": op2, "op4_url_lists": op4, "op5_huffman_tokens": op5, "op8_hierarchical_mix": op8, "op10_pigeonhole_leaks": op10}
 
 
 def oracle_sql() -> dict[str, str]:
