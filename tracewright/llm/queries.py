@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import budget, hilbert, huffman, pigeonhole, suffix, urllists
+from . import budget, hilbert, huffman, pigeonhole, sigtree, suffix, urllists
 from .common import read
 
 
@@ -29,6 +29,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.hierarchical_mix(budget.with_tree(read(spark, sf_dir, "documents")), budget.LEVELS, budget.WEIGHTS)
 
@@ -38,7 +42,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_hilbert_shards": op2, "op4_url_lists": op4, "op5_huffman_tokens": op5, "op6_suffix_dedup": op6, "op8_hierarchical_mix": op8, "op10_pigeonhole_leaks": op10}
+    return {"op2_hilbert_shards": op2, "op4_url_lists": op4, "op5_huffman_tokens": op5, "op6_suffix_dedup": op6, "op7_signature_tree_join": op7, "op8_hierarchical_mix": op8, "op10_pigeonhole_leaks": op10}
 
 
 def oracle_sql() -> dict[str, str]:
