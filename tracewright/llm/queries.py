@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import budget, hilbert, huffman, pigeonhole, sigtree, suffix, urllists
+from . import budget, gru, hilbert, huffman, pigeonhole, sigtree, suffix, urllists
 from .common import read
 
 
@@ -37,12 +37,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.hierarchical_mix(budget.with_tree(read(spark, sf_dir, "documents")), budget.LEVELS, budget.WEIGHTS)
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pigeonhole.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {"op2_hilbert_shards": op2, "op4_url_lists": op4, "op5_huffman_tokens": op5, "op6_suffix_dedup": op6, "op7_signature_tree_join": op7, "op8_hierarchical_mix": op8, "op10_pigeonhole_leaks": op10}
+    return {"op2_hilbert_shards": op2, "op4_url_lists": op4, "op5_huffman_tokens": op5, "op6_suffix_dedup": op6, "op7_signature_tree_join": op7, "op8_hierarchical_mix": op8, "op9_gated_lm": op9, "op10_pigeonhole_leaks": op10}
 
 
 def oracle_sql() -> dict[str, str]:
