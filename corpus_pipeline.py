@@ -1,13 +1,67 @@
-"""The corpus pipeline: language ID, near duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: language ID, near duplicates, benchmark decontamination, mixing to target weights, sharding.
+
+Every stage takes all that its predecessor kept and returns a table like documents, the last one the shards. run() writes
+each stage's rows to the shared folder and reads them again as the next stage's documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tracewright.llm import budget, crf, hilbert, pigeonhole, sigtree
+from tracewright.llm.common import read, written
+
+#: Near duplicates here take five words and a similarity of 0.8.
+SHINGLE, PERCENT = 5, 80
+#: A document whose words agree on no language to this degree is rejected.
+LEAST_SCORE = 0.4
+#: The part of the tokens that the mixture takes; no document is taken twice.
+SHARE = 0.7
+SHARDS = 40
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters (null texts too) and those whose best language has a mean marginal under LEAST_SCORE."""
+    model = crf.train(docs)
+    found = crf.predict(docs, model, docs.columns)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the least id stays."""
+    return sigtree.one_of_each(docs, PERCENT, SHINGLE)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go. They are known by the hash of their text, so ids may be null or repeat."""
+    found = pigeonhole.leaks(docs.select(F.xxhash64("text").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    gone = found.select(F.col("doc_id").alias("its_text_hash")).distinct()
+    return docs.withColumn("its_text_hash", F.xxhash64("text")).join(gone, "its_text_hash", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the hierarchical budgets select; the one at a leaf's end stays whole."""
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string"))
+    keyed = docs.withColumn("its_key", key)
+    tree = budget.with_tree(keyed.withColumn("doc_id", F.col("its_key")))
+    mixed = budget.hierarchical_mix(tree, budget.LEVELS, budget.WEIGHTS, share=SHARE, max_epochs=1)
+    taken = mixed.filter("full_epochs > 0 OR part_tokens > 0").select(F.col("doc_id").alias("its_key")).distinct()
+    return keyed.join(taken, "its_key", "left_semi").select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, size, text_crc32, cell, shard, slot: runs along the Hilbert curve."""
+    return hilbert.hilbert_shards(docs, SHARDS)
+
+
+STAGES = [("language ID", language_id), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
+
+#: Learned models and set similarity are beyond SQL; tests/llm hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import budget, gru, hilbert, huffman, pigeonhole, sigtree, suffix, urllists
+from . import additive, budget, crf, gru, hilbert, huffman, pigeonhole, sigtree, suffix, urllists
 from .common import read
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hilbert.hilbert_shards(read(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.identify(read(spark, sf_dir, "documents"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return urllists.evaluate(urllists.demo_captures(pages), urllists.demo_entries(pages))
@@ -46,7 +54,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_hilbert_shards": op2, "op4_url_lists": op4, "op5_huffman_tokens": op5, "op6_suffix_dedup": op6, "op7_signature_tree_join": op7, "op8_hierarchical_mix": op8, "op9_gated_lm": op9, "op10_pigeonhole_leaks": op10}
+    return {"op1_additive_ann": op1, "op2_hilbert_shards": op2, "op3_crf_language": op3, "op4_url_lists": op4, "op5_huffman_tokens": op5, "op6_suffix_dedup": op6, "op7_signature_tree_join": op7, "op8_hierarchical_mix": op8, "op9_gated_lm": op9, "op10_pigeonhole_leaks": op10}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import forget, free_shuffles, written
 from .components import components
@@ -280,8 +280,8 @@ def _join_chunks(rows: DataFrame, tasks: int, percent: int) -> DataFrame:
     return rows.repartition(tasks, "block", "chunk").sortWithinPartitions("block", "chunk", "node").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_tokens: int = CHUNK, leaders: int = LEADERS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_tokens: int = CHUNK, leaders: int = LEADERS) -> DataFrame:
+    """doc_id, version (hash of the text), n (its shingles), label (the component's; null for no shingles) of every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
 
@@ -339,7 +339,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         edges = edges.unionAll(more)
     roots = components(edges)
     forget(members)
-    labelled = sets.select("doc_id", "n", "node").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("label"))
+    return sets.select("doc_id", "version", "n", "node").join(roots, "node", "left").select("doc_id", "version", "n", F.expr("CASE WHEN n > 0 THEN coalesce(root, node) END").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_tokens: int = CHUNK, leaders: int = LEADERS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    labelled = labels(docs, percent, size, chunk_tokens, leaders)
     least = labelled.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component"))
     with_words = labelled.filter("n > 0").join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return with_words.unionAll(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return with_words.unionAll(labelled.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row with the least id, and every row without words."""
+    labelled = labels(docs, percent, size)
+    kept = labelled.filter("n > 0").groupBy("label").agg(F.min(F.struct("doc_id", "version")).alias("k")).select("k.*", F.lit(True).alias("stays"))
+    wordless = labelled.filter("n = 0").select("doc_id", "version", F.lit(False).alias("stays")).distinct()
+    chosen = kept.unionAll(wordless).select(F.col("doc_id").alias("its_id"), F.col("version").alias("its_version"), "stays")
+    rows = docs.withColumn("its_text_hash", F.xxhash64("text"))
+    rows = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["its_id"]) & (rows["its_text_hash"] == chosen["its_version"]))
+    # Rows that are equal in id and text are copies of each other.
+    copy = F.row_number().over(Window.partitionBy("its_id", "its_version").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]))
+    return rows.withColumn("its_copy", copy).filter("its_copy = 1 OR NOT stays").select(*docs.columns)
