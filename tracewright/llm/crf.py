@@ -31,7 +31,7 @@ LEXICON = 150
 #: Labels at most: the languages with the most training documents.
 LABELS = 64
 SEQUENCE, STEPS, SPEED, DECAY = 48, 45, 0.08, 1e-4
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 U = np.uint64
 

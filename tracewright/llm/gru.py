@@ -34,7 +34,7 @@ CLASSES = HEAD + TAIL
 WINDOW, RATE, REPLICA, ROUNDS = 64, 8, 40_000, 3
 BATCH, SPEED = 96, 0.012
 COMMON = 1 << 19
-SCORED = 8 << 20
+SCORED = 4 << 20
 #: Stands for the end of a document among hashes of words, and is the first class.
 END = -7046029254386353131
 

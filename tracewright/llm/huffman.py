@@ -36,7 +36,7 @@ BLOCK = 1 << 16
 #: Tokens of a part of the file.
 PART = 1 << 24
 #: Distinct pieces that a worker keeps.
-KEPT = 3_000_000
+KEPT = 2_000_000
 MAGIC = b"TWH1"
 
 _LETTER = np.zeros(256, bool)

@@ -21,7 +21,7 @@ LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are looked at together; a longer document is looked at alone.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
