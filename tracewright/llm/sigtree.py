@@ -40,6 +40,7 @@ SHINGLE = 4
 PERCENT = 85
 LEAF = 16
 FAN = 4
+HUBS = 12
 #: Tokens of a task's share of a block.
 CHUNK = 6_000_000
 LEADERS = 32
@@ -126,10 +127,10 @@ def digests(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Node:
-    __slots__ = ("bits", "children", "excess", "high", "low", "members")
+    __slots__ = ("bits", "children", "excess", "high", "low", "members", "most")
 
-    def __init__(self, bits, excess, low, high, members, children=()):
-        self.bits, self.excess, self.low, self.high, self.members, self.children = bits, excess, low, high, members, children
+    def __init__(self, bits, excess, low, high, most, members, children=()):
+        self.bits, self.excess, self.low, self.high, self.most, self.members, self.children = bits, excess, low, high, most, members, children
 
 
 class Tree:
@@ -137,47 +138,49 @@ class Tree:
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.sets, self.percent = sets, percent
-        self.size = [len(s) for s in sets]
-        self.up = list(range(len(sets)))
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+        self.size = np.array([len(s) for s in sets])
+        self.label = np.arange(len(sets))
+        self.of = {i: [i] for i in range(len(sets))}
+        # A member can share only those of its tokens that another member holds too.
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens)
+        ranked = tokens[order]
+        same = ranked[1:] == ranked[:-1]
+        twice = np.zeros(len(tokens), np.int64)
+        twice[order[1:][same]] = twice[order[:-1][same]] = 1
+        self.shared = np.add.reduceat(twice, np.cumsum(self.size) - self.size)
 
     def union(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
+        i, j = int(self.label[i]), int(self.label[j])
         if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-    def least(self, a: int, b: int) -> int:
-        """The least overlap with which sets of these sizes link."""
-        return -(-self.percent * (a + b) // (100 + self.percent))
-
-    def linked(self, i: int, j: int) -> bool:
-        a, b = self.sets[i], self.sets[j]
-        if len(a) > len(b):
-            a, b = b, a
-        if 100 * len(a) < self.percent * len(b):
-            return False
-        place = np.searchsorted(b, a)
-        place[place == len(b)] = 0
-        return int((b[place] == a).sum()) >= self.least(len(a), len(b))
-
-    def compare(self, i: int, j: int) -> None:
-        if self.find(i) != self.find(j) and self.linked(i, j):
-            self.union(i, j)
-
-    def build(self, members: list[int]) -> Node:
+            if len(self.of[i]) < len(self.of[j]):
+                i, j = j, i
+            moved = self.of.pop(j)
+            self.label[moved] = i
+            self.of[i] += moved
+
+    def compare(self, i: int, others: np.ndarray) -> None:
+        """Links i with those of the others that it isn't connected with yet and that are similar enough."""
+        others = others[self.label[others] != self.label[i]]
+        if not len(others):
+            return
+        need = -(-self.percent * (self.size[i] + self.size[others]) // (100 + self.percent))
+        may = np.minimum(self.shared[i], self.shared[others]) >= need
+        others, need = others[may], need[may]
+        for at in range(0, len(others), 512):
+            some = others[at : at + 512]
+            tokens = np.concatenate([self.sets[j] for j in some])
+            own = self.sets[i]
+            place = np.searchsorted(own, tokens)
+            place[place == len(own)] = 0
+            overlap = np.add.reduceat((own[place] == tokens).astype(np.int64), np.cumsum(self.size[some]) - self.size[some])
+            for j in some[overlap >= need[at : at + 512]]:
+                self.union(i, j)
+
+    def build(self) -> Node:
         """Leaves of neighbours in the order of their first tokens, in which near copies lie together; then levels above."""
-        members = sorted(members, key=lambda i: (int(self.sets[i][0]), int(self.sets[i][-1]), i))
-        for i, j in zip(members, members[1:], strict=False):
-            self.compare(i, j)
-        for i in members[1:]:
-            self.compare(members[0], i)
-        width = 1 << min(16, max(10, int(np.ceil(np.log2(16 * (1 + np.median([self.size[i] for i in members])))))))
+        members = np.array(sorted(range(len(self.sets)), key=lambda i: (int(self.sets[i][0]), int(self.sets[i][-1]), i)))
+        width = 1 << min(16, max(10, int(np.ceil(np.log2(16 * (1 + np.median(self.size)))))))
         level = []
         for at in range(0, len(members), LEAF):
             some = members[at : at + LEAF]
@@ -185,59 +188,61 @@ class Tree:
             for i in some:
                 own = np.zeros(width, bool)
                 own[(self.sets[i] & U(width - 1)).astype(np.int64)] = True
-                excess = max(excess, self.size[i] - int(own.sum()))
+                excess = max(excess, int(self.size[i]) - int(own.sum()))
                 bits |= own
-            sizes = [self.size[i] for i in some]
-            level.append(Node(np.packbits(bits).view(U), excess, min(sizes), max(sizes), some))
+            level.append(Node(np.packbits(bits).view(U), excess, int(self.size[some].min()), int(self.size[some].max()), int(self.shared[some].max()), some))
         while len(level) > 1:
             above = []
             for at in range(0, len(level), FAN):
                 c = level[at : at + FAN]
-                above.append(Node(np.bitwise_or.reduce([x.bits for x in c]), max(x.excess for x in c), min(x.low for x in c), max(x.high for x in c), [i for x in c for i in x.members], c))
+                above.append(Node(np.bitwise_or.reduce([x.bits for x in c]), max(x.excess for x in c), min(x.low for x in c), max(x.high for x in c), max(x.most for x in c), np.concatenate([x.members for x in c]), c))
             level = above
         return level[0]
 
     def one_component(self, a: Node, b: Node) -> bool:
-        root = self.find(a.members[0])
-        return all(self.find(i) == root for i in a.members) and (a is b or all(self.find(i) == root for i in b.members))
+        root = self.label[a.members[0]]
+        return bool((self.label[a.members] == root).all() and (a is b or (self.label[b.members] == root).all()))
 
     def hopeless(self, a: Node, b: Node) -> bool:
         if 100 * a.high < self.percent * b.low or 100 * b.high < self.percent * a.low:
             return True
-        most = min(int(np.bitwise_count(a.bits & b.bits).sum()) + min(a.excess, b.excess), a.high, b.high)
-        return most < self.least(a.low, b.low)
+        need = -(-self.percent * (a.low + b.low) // (100 + self.percent))
+        if min(a.most, b.most) < need:
+            return True
+        return int(np.bitwise_count(a.bits & b.bits).sum()) + min(a.excess, b.excess) < need
 
     def traverse(self, a: Node, b: Node) -> None:
         """Compares the members of a with those of b (of one tree)."""
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
-            if a is not b and self.hopeless(a, b) or self.one_component(a, b):
+            if self.one_component(a, b) or a is not b and self.hopeless(a, b):
                 continue
             if a is b:
                 if a.children:
                     todo += [(x, y) for k, x in enumerate(a.children) for y in a.children[k:]]
                 else:
                     for k, i in enumerate(a.members):
-                        for j in a.members[k + 1 :]:
-                            self.compare(i, j)
+                        self.compare(i, a.members[k + 1 :])
             elif a.children and (len(a.members) >= len(b.members) or not b.children):
                 todo += [(x, b) for x in a.children]
             elif b.children:
                 todo += [(a, y) for y in b.children]
             else:
                 for i in a.members:
-                    for j in b.members:
-                        self.compare(i, j)
+                    self.compare(i, b.members)
 
     def join(self) -> None:
-        if len(self.sets) <= LEAF:
-            for i in range(len(self.sets)):
-                for j in range(i):
-                    self.compare(i, j)
-        else:
-            root = self.build(list(range(len(self.sets))))
-            self.traverse(root, root)
+        everyone = np.arange(len(self.sets))
+        if len(everyone) <= LEAF:
+            for i in everyone:
+                self.compare(i, everyone[:i])
+            return
+        # Members that share most of their tokens connect most of a group of near copies at once.
+        for i in np.lexsort((everyone, self.size - self.shared))[:HUBS]:
+            self.compare(i, everyone)
+        root = self.build()
+        self.traverse(root, root)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray], list]]:
@@ -271,9 +276,8 @@ def _join_chunks(rows: DataFrame, tasks: int, percent: int) -> DataFrame:
             for i, old in enumerate(known):
                 if old is not None:
                     tree.union(first.setdefault(old, i), i)
-            before = [tree.find(i) for i in range(len(nodes))]
             tree.join()
-            found = [(nodes[i], nodes[r]) for i in range(len(nodes)) if (r := tree.find(i)) != i and r != before[i]]
+            found = [(nodes[i], nodes[r]) for i, r in enumerate(tree.label.tolist()) if r != i]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
 
