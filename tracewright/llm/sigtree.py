@@ -141,14 +141,24 @@ class Tree:
         self.size = np.array([len(s) for s in sets])
         self.label = np.arange(len(sets))
         self.of = {i: [i] for i in range(len(sets))}
-        # A member can share only those of its tokens that another member holds too.
-        tokens = np.concatenate(sets)
+        self.shared = np.zeros(len(sets), np.int64)
+        self.active = np.arange(len(sets))
+        while len(self.active):
+            self.shared[self.active] = self.counted()
+            may = 100 * self.shared[self.active] >= percent * self.size[self.active]
+            if may.all():
+                break
+            self.active = self.active[may]
+
+    def counted(self) -> np.ndarray:
+        """How many of its tokens each active member can share: those that another one holds too. Under the threshold, it links with none."""
+        tokens = np.concatenate([self.sets[i] for i in self.active])
         order = np.argsort(tokens)
         ranked = tokens[order]
         same = ranked[1:] == ranked[:-1]
         twice = np.zeros(len(tokens), np.int64)
         twice[order[1:][same]] = twice[order[:-1][same]] = 1
-        self.shared = np.add.reduceat(twice, np.cumsum(self.size) - self.size)
+        return np.add.reduceat(twice, np.cumsum(self.size[self.active]) - self.size[self.active])
 
     def union(self, i: int, j: int) -> None:
         i, j = int(self.label[i]), int(self.label[j])
@@ -179,7 +189,7 @@ class Tree:
 
     def build(self) -> Node:
         """Leaves of neighbours in the order of their first tokens, in which near copies lie together; then levels above."""
-        members = np.array(sorted(range(len(self.sets)), key=lambda i: (int(self.sets[i][0]), int(self.sets[i][-1]), i)))
+        members = np.array(sorted(self.active.tolist(), key=lambda i: (int(self.sets[i][0]), int(self.sets[i][-1]), i)))
         width = 1 << min(16, max(10, int(np.ceil(np.log2(16 * (1 + np.median(self.size)))))))
         level = []
         for at in range(0, len(members), LEAF):
@@ -233,13 +243,13 @@ class Tree:
                     self.compare(i, b.members)
 
     def join(self) -> None:
-        everyone = np.arange(len(self.sets))
+        everyone = self.active
         if len(everyone) <= LEAF:
-            for i in everyone:
-                self.compare(i, everyone[:i])
+            for k, i in enumerate(everyone):
+                self.compare(i, everyone[:k])
             return
         # Members that share most of their tokens connect most of a group of near copies at once.
-        for i in np.lexsort((everyone, self.size - self.shared))[:HUBS]:
+        for i in everyone[np.lexsort((everyone, (self.size - self.shared)[everyone]))[:HUBS]]:
             self.compare(i, everyone)
         root = self.build()
         self.traverse(root, root)
