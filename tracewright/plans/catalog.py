@@ -1,11 +1,300 @@
-"""The registered queries over the account tables and their SQL twins."""
+"""The registered queries over the account tables and their SQL twins for DuckDB."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import parsing
+from ..operators import cleaning, detectors, evaluation, features, graph
+from ..sources.tables import read, txn_events
+
+# ---------------------------------------------------------------- Spark
+
+
+def _t(operator):
+    """A query that applies an operator to the transactions."""
+    return lambda spark, sf_dir: operator(txn_events(spark, sf_dir))
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    """checkpoint() needs its folder set on the context; it is the one that the session names."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not folder:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="tracewright-")
+        context.setCheckpointDir(folder)
+
+
+def layering(spark, sf_dir):
+    _checkpoints(spark)
+    return detectors.layering(txn_events(spark, sf_dir), hours=6)
+
+
+def wcc(spark, sf_dir):
+    _checkpoints(spark)
+    return graph.weak_components(graph.account_edges(txn_events(spark, sf_dir).filter("debit >= 12000")))
+
+
+def ego(spark, sf_dir):
+    _checkpoints(spark)
+    return graph.ego(graph.account_edges(txn_events(spark, sf_dir).filter("debit >= 10000")), "ACC000001", 2)
+
+
+def risk(spark, sf_dir):
+    t = txn_events(spark, sf_dir)
+    flags = {"round_trip": detectors.round_trips(t), "fan_in": detectors.fan_in(t), "fan_out": detectors.fan_out(t), "smurfing": detectors.smurfing(t), "odd_hour": detectors.odd_hours(t), "velocity": detectors.bursts(t)}
+    return detectors.risk_scores(t, flags, detectors.beneficiaries(t).filter("is_new_high_value"))
+
+
+def lines(spark, sf_dir):
+    key = ["l_orderkey", "l_linenumber"]
+    rows = read(spark, sf_dir, "lineitem").select(*key, "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("price"), F.concat_ws("/", "l_returnflag", "l_linestatus").alias("text"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+    return key, rows.withColumn("seq", F.concat_ws(":", "day", F.lpad(F.col("l_partkey").cast("string"), 9, "0"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"), F.format_string("%.2f", "price")))
+
+
+def exact_dedup(spark, sf_dir):
+    key, rows = lines(spark, sf_dir)
+    return cleaning.exact_duplicates(rows, key, "seq").select(*key, "seq", F.col("copy").cast("long").alias("copy"))
+
+
+def near_dedup(spark, sf_dir):
+    key, rows = lines(spark, sf_dir)
+    return cleaning.near_duplicates(rows, key, "text", "seq").select(*key, "seq", "text")
+
+
+def balances(t: DataFrame) -> DataFrame:
+    """A reported balance that drops every seventh row's movement."""
+    kept = t.withColumn("credit_", F.when(F.col("seq") % 7 == 0, 0).otherwise(F.col("credit"))).withColumn("debit_", F.when(F.col("seq") % 7 == 0, 0).otherwise(F.col("debit")))
+    b = cleaning.running_balance(kept.select("seq", "account_id", "t", F.col("credit_").alias("credit"), F.col("debit_").alias("debit")))
+    return t.join(b.select("seq", "balance"), "seq")
+
+
+def breach(spark, sf_dir):
+    return cleaning.balance_breaches(balances(txn_events(spark, sf_dir))).filter("is_breach").select("seq", "account_id", F.col("gap").cast("double").alias("gap"))
+
+
+def suspects(spark, sf_dir):
+    return cleaning.suspects(cleaning.balance_breaches(balances(txn_events(spark, sf_dir))))
+
+
+def running(spark, sf_dir):
+    return cleaning.running_balance(txn_events(spark, sf_dir)).select("seq", "account_id", F.col("balance").cast("double").alias("balance"))
+
+
+def edges(spark, sf_dir):
+    return graph.account_edges(txn_events(spark, sf_dir))
+
+
+def graph_summary(spark, sf_dir):
+    return graph.vertices(graph.account_edges(txn_events(spark, sf_dir)))
+
+
+def narration(spark, sf_dir):
+    """Conversations serve as narrations."""
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+
+
+def channels(spark, sf_dir):
+    return narration(spark, sf_dir).groupBy(parsing.channel_of(F.col("text")).alias("channel")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalised(spark, sf_dir):
+    return narration(spark, sf_dir).select("conv_id", "turn", F.md5(parsing.normal_text(F.col("text"))).alias("digest"))
+
+
+def scored(spark, sf_dir):
+    """Documents' length as a score of their quality label."""
+    d = read(spark, sf_dir, "documents").groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
+    pairs = d.join(read(spark, sf_dir, "labels"), "doc_id").filter("quality IS NOT NULL")
+    return pairs.select(F.round(F.least(F.lit(1.0), F.col("n_chars") / 5000.0), 4).alias("score"), F.col("quality").cast("long").alias("label"))
+
+
+def search(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.filter((F.col("o_totalprice") >= 50000) & (F.col("o_totalprice") <= 150000) & F.col("c_mktsegment").ilike("%build%") & (F.col("o_orderstatus") == "O")).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "c_name", "o_totalprice")
+
+
+def accounts(spark, sf_dir):
+    return read(spark, sf_dir, "customer").filter(F.col("c_name").ilike("%00001%") & (F.col("c_acctbal") >= 0)).select("c_custkey", "c_name", "c_acctbal")
+
+
+def stats(spark, sf_dir):
+    t = txn_events(spark, sf_dir)
+    return t.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"), F.sum("debit").cast("double").alias("debits"), F.sum("credit").cast("double").alias("credits"), F.max("amount").cast("double").alias("largest"), F.min(F.date_format("ts", "yyyy-MM-dd")).alias("first_day"), F.max(F.date_format("ts", "yyyy-MM-dd")).alias("last_day"))
+
+
+def dashboard(spark, sf_dir):
+    t = txn_events(spark, sf_dir)
+    return t.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("account_id").alias("accounts"), F.sum("amount").cast("double").alias("total"), F.count_if(F.col("amount") >= 100000).alias("large"))
+
+
+def unknown_counterparties(spark, sf_dir):
+    t = txn_events(spark, sf_dir)
+    return t.join(t.select(F.col("account_id").alias("node")).distinct(), "node", "left_anti").select("node").distinct()
+
+
+def top_flagged(spark, sf_dir):
+    return txn_events(spark, sf_dir).orderBy(F.desc("amount"), "seq").limit(500).select("seq", "account_id", F.col("amount").cast("double").alias("amount"))
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "fan_in": _t(detectors.fan_in),
+        "fan_out": _t(detectors.fan_out),
+        "smurfing": _t(detectors.smurfing),
+        "odd_hours": _t(detectors.odd_hours),
+        "round_trip": _t(detectors.round_trips),
+        "velocity_burst": _t(detectors.bursts),
+        "layering": layering,
+        "beneficiary_profile": _t(detectors.beneficiaries),
+        "risk_scores": risk,
+        "wcc": wcc,
+        "ego_graph": ego,
+        "account_graph": edges,
+        "graph_summary": graph_summary,
+        "exact_dedup": exact_dedup,
+        "near_dedup": near_dedup,
+        "balance_breach": breach,
+        "suspect_accounts": suspects,
+        "running_balance": running,
+        "iqr_outliers": _t(cleaning.iqr_outliers),
+        "velocity_features": _t(lambda t: features.velocity(t, [24, 168])),
+        "temporal_features": _t(features.temporal),
+        "account_stats": _t(features.account_stats),
+        "structuring_flags": _t(features.structuring),
+        "pair_freq": _t(features.pair_frequency),
+        "channel_infer": channels,
+        "text_normalise": normalised,
+        "confusion": lambda s, d: evaluation.confusion(scored(s, d), 0.3),
+        "roc_auc": lambda s, d: evaluation.areas(scored(s, d)),
+        "pr_curve": lambda s, d: evaluation.curve(scored(s, d)).select("score", "tp", "fp"),
+        "score_hist": lambda s, d: evaluation.histogram(scored(s, d), 20),
+        "search_txns": search,
+        "account_list": accounts,
+        "txn_stats": stats,
+        "dashboard": dashboard,
+        "counterparties_anti": unknown_counterparties,
+        "top_amounts": top_flagged,
+    }
+
+
+# ---------------------------------------------------------------- DuckDB
+
+_TXN = """t AS (
+  SELECT event_id AS seq, 'ACC' || lpad(user_id::VARCHAR, 6, '0') AS account_id, 'ACC' || lpad(json_extract_string(props, '$.k'), 6, '0') AS node,
+         ts, epoch_us(ts) AS t, round(value * 1000, 2)::DECIMAL(18,2) AS amount,
+         (CASE WHEN event_type IN ('purchase', 'click', 'view') THEN round(value * 1000, 2) ELSE 0 END)::DECIMAL(18,2) AS debit,
+         (CASE WHEN event_type IN ('purchase', 'click', 'view') THEN 0 ELSE round(value * 1000, 2) END)::DECIMAL(18,2) AS credit
+  FROM events)"""
+
+
+def _window(side: str, width: str, test: str, critical: int) -> str:
+    over = f"(PARTITION BY account_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL {width} FOLLOWING)"
+    return f"""WITH {_TXN}, side AS ({side}),
+    w AS (SELECT account_id, ts, seq, max(ts) OVER {over} AS last_ts, count(DISTINCT node) OVER {over} AS peers, count(*) OVER {over} AS txns, sum(amount) OVER {over} AS total FROM side),
+    p AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY ts, seq) AS r FROM w WHERE {test})
+    SELECT account_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS window_end, peers, txns, total::DOUBLE AS total,
+           CASE WHEN peers >= {critical} THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM p WHERE r = 1"""
+
+
+_FAN_IN = _window("SELECT account_id, ts, seq, node, credit AS amount FROM t WHERE credit > 0", "72 HOUR", "peers >= 4 AND total >= 20000", 8)
+_FAN_OUT = _window("SELECT account_id, ts, seq, node, debit AS amount FROM t WHERE debit > 0", "48 HOUR", "peers >= 4 AND total >= 20000", 8)
+_SMURF = _window("SELECT account_id, ts, seq, node, debit AS amount FROM t WHERE debit >= 35000 AND debit < 50000", "14 DAY", "peers >= 2 AND txns >= 3", 1 << 30)
+_ODD = f"WITH {_TXN} SELECT account_id, count(*) AS txns, sum(amount)::DOUBLE AS total, count(DISTINCT hour(ts)) AS hours FROM t WHERE hour(ts) < 5 GROUP BY account_id HAVING count(*) >= 3"
+_TRIP = f"""WITH {_TXN} SELECT d.account_id, d.node, d.seq AS debit_seq, c.seq AS credit_seq, round(c.credit::DOUBLE / d.debit::DOUBLE, 4) AS ratio,
+  round((c.t - d.t) / 86400000000.0::DOUBLE, 4) AS gap_days, CASE WHEN c.t - d.t < 3 * 86400000000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
+  FROM t d JOIN t c ON d.account_id = c.account_id AND d.node = c.node AND c.t > d.t AND c.t <= d.t + 30 * 86400000000
+  WHERE d.debit > 5000 AND c.credit > 5000 AND c.credit >= d.debit * 0.70::DECIMAL(4,2)"""
+_BURST = f"""WITH {_TXN}, a AS (SELECT *, count(*) OVER (PARTITION BY account_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 30 MINUTE FOLLOWING) AS ahead FROM t WHERE debit > 0),
+  b AS (SELECT *, max(ahead) OVER (PARTITION BY account_id ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS best FROM a)
+  SELECT seq, account_id, best AS window_txns FROM b WHERE best >= 3"""
+_BENE = f"""{_TXN}, g AS (SELECT account_id, node, sum(debit) AS total, count(*) AS txns, max(debit) AS largest FROM t WHERE debit > 0 GROUP BY ALL),
+  z AS (SELECT *, coalesce((total::DOUBLE - avg(total::DOUBLE) OVER w) / nullif(stddev_pop(total::DOUBLE) OVER w, 0), 0) AS z, max(total) OVER w AS top FROM g WINDOW w AS (PARTITION BY account_id)),
+  bene AS (SELECT account_id, node, total::DOUBLE AS total, txns, largest::DOUBLE AS largest, round(z, 4) AS z, z >= 2.5 AS is_high_value, txns = 1 AND total::DOUBLE >= 0.5 * top::DOUBLE AS is_new_high_value FROM z)"""
+_RISK = f"""WITH a AS (SELECT DISTINCT account_id FROM (WITH {_TXN} SELECT * FROM t)),
+  f1 AS (SELECT DISTINCT account_id FROM ({_TRIP})), f2 AS (SELECT DISTINCT account_id FROM ({_FAN_IN})), f3 AS (SELECT DISTINCT account_id FROM ({_FAN_OUT})),
+  f4 AS (SELECT DISTINCT account_id FROM ({_SMURF})), f5 AS (SELECT DISTINCT account_id FROM ({_ODD})), f6 AS (SELECT DISTINCT account_id FROM ({_BURST})),
+  f7 AS (SELECT DISTINCT account_id FROM (WITH {_BENE} SELECT * FROM bene WHERE is_new_high_value)),
+  h AS (SELECT account_id, account_id IN (FROM f1) AS h1, account_id IN (FROM f2) AS h2, account_id IN (FROM f3) AS h3, account_id IN (FROM f4) AS h4, account_id IN (FROM f5) AS h5, account_id IN (FROM f6) AS h6, account_id IN (FROM f7) AS h7 FROM a),
+  s AS (SELECT *, round((h1::INT * 20 + h2::INT * 10 + h3::INT * 10 + h4::INT * 15 + h5::INT * 8 + h6::INT * 7 + h7::INT * 5)::DOUBLE, 2) AS score FROM h)
+  SELECT account_id, score, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS tier,
+    concat_ws('|', CASE WHEN h1 THEN 'ROUND_TRIP' END, CASE WHEN h2 THEN 'FAN_IN' END, CASE WHEN h3 THEN 'FAN_OUT' END, CASE WHEN h4 THEN 'SMURFING' END, CASE WHEN h5 THEN 'ODD_HOUR' END, CASE WHEN h6 THEN 'VELOCITY' END, CASE WHEN h7 THEN 'NEW_HV_BENE' END) AS active_patterns FROM s"""
+_EDGES = f"{_TXN}, e AS (SELECT account_id AS src, node AS dst, sum(debit)::DOUBLE AS total, count(*) AS txns FROM t WHERE debit > 0 AND account_id <> node GROUP BY ALL)"
+_LINES = """r AS (SELECT l_orderkey, l_linenumber, l_returnflag || '/' || l_linestatus AS text,
+  strftime(l_shipdate, '%Y-%m-%d') || ':' || lpad(l_partkey::VARCHAR, 9, '0') || ':' || lpad(l_suppkey::VARCHAR, 9, '0') || ':' || printf('%.2f', l_extendedprice) AS seq FROM lineitem)"""
+_BREACH = f"""{_TXN}, b AS (SELECT *, sum(CASE WHEN seq % 7 = 0 THEN 0 ELSE credit - debit END) OVER (PARTITION BY account_id ORDER BY t, seq) AS balance FROM t),
+  c AS (SELECT *, abs(balance - (lag(balance) OVER (PARTITION BY account_id ORDER BY t, seq) + credit - debit)) AS gap FROM b)"""
+_SCORED = """s AS (SELECT round(least(1.0::DOUBLE, n / 5000.0::DOUBLE), 4) AS score, quality::BIGINT AS label FROM (SELECT doc_id, max(n_chars) AS n FROM documents GROUP BY doc_id) JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"""
+_CURVE = _SCORED + """, g AS (SELECT round(score, 4) AS score, sum(label) AS p, sum(1 - label) AS n FROM s GROUP BY 1),
+  c AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS ps, sum(n) OVER () AS ns FROM g)"""
+
+
+def _channel_sql() -> str:
+    cases = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{k}')" for k in keys) + f" THEN '{name}'" for name, keys in parsing.CHANNELS)
+    return f"SELECT CASE {cases} ELSE 'OTHER' END AS channel, count(*) AS n FROM conversations GROUP BY 1"
+
+
+def _velocity_sql(hours: list[int]) -> str:
+    cols = []
+    for h in hours:
+        back = f"OVER (PARTITION BY account_id ORDER BY ts RANGE BETWEEN INTERVAL {h} HOUR PRECEDING AND CURRENT ROW)"
+        after = "OVER (PARTITION BY account_id, ts ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+        cols += [f"(sum(amount) {back} - sum(amount) {after})::DOUBLE AS sum_{h}h", f"count(*) {back} - count(*) {after} AS n_{h}h"]
+    return f"WITH {_TXN} SELECT seq, account_id, {', '.join(cols)} FROM t"
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {
+        "fan_in": _FAN_IN,
+        "fan_out": _FAN_OUT,
+        "smurfing": _SMURF,
+        "odd_hours": _ODD,
+        "round_trip": _TRIP,
+        "velocity_burst": _BURST,
+        "beneficiary_profile": f"WITH {_BENE} SELECT * FROM bene",
+        "risk_scores": _RISK,
+        "layering": f"""WITH RECURSIVE {_TXN}, e AS (SELECT account_id AS src, node AS dst, t, debit AS amount, seq FROM t WHERE debit >= 10000 AND node <> account_id),
+          l AS (SELECT [src, dst] AS path, [seq] AS seqs, dst AS fin, t AS last_t, amount AS a, amount AS z, 1 AS hops FROM e
+                UNION ALL SELECT list_append(path, dst), list_append(seqs, seq), dst, e.t, a, e.amount, hops + 1 FROM l JOIN e ON e.src = l.fin AND e.t >= last_t AND e.t <= last_t + 6 * 3600000000 AND NOT list_contains(path, e.dst) WHERE hops < 8)
+          SELECT array_to_string(path, '>') AS path, array_to_string(seqs, '>') AS seqs, hops::BIGINT AS hops, round(1 - z::DOUBLE / a::DOUBLE, 4) AS skim, CASE WHEN hops >= 5 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM l WHERE hops >= 3""",
+        "wcc": f"""WITH RECURSIVE {_TXN}, b AS (SELECT DISTINCT account_id AS x, node AS y FROM t WHERE debit >= 12000 AND account_id <> node),
+          e AS (SELECT x, y FROM b UNION SELECT y, x FROM b), r AS (SELECT x AS node, x AS reach FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.reach)
+          SELECT node, min(reach) AS component FROM r GROUP BY node""",
+        "ego_graph": f"""WITH RECURSIVE {_TXN}, e AS (SELECT DISTINCT account_id AS x, node AS y FROM t WHERE debit >= 10000 AND account_id <> node),
+          r AS (SELECT 'ACC000001' AS node, 0 AS hop UNION SELECT e.y, hop + 1 FROM r JOIN e ON e.x = r.node WHERE hop < 2) SELECT node, min(hop)::BIGINT AS hop FROM r GROUP BY node""",
+        "account_graph": f"WITH {_EDGES} SELECT * FROM e",
+        "graph_summary": f"""WITH {_EDGES}, u AS (SELECT src AS node, 1 AS o, 0 AS i, total AS sent, 0.0::DOUBLE AS received FROM e UNION ALL SELECT dst, 0, 1, 0.0::DOUBLE, total FROM e)
+          SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, round(sum(sent), 2) AS sent, round(sum(received), 2) AS received FROM u GROUP BY node""",
+        "exact_dedup": f"WITH {_LINES}, c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY seq) AS copy FROM r) SELECT l_orderkey, l_linenumber, seq, copy FROM c WHERE copy > 1",
+        "near_dedup": f"WITH {_LINES}, c AS (SELECT *, first_value(text) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY seq) AS f FROM r) SELECT l_orderkey, l_linenumber, seq, text FROM c WHERE text IS DISTINCT FROM f",
+        "balance_breach": f"WITH {_BREACH} SELECT seq, account_id, gap::DOUBLE AS gap FROM c WHERE gap > 1.0",
+        "suspect_accounts": f"""WITH {_BREACH}, g AS (SELECT account_id, count(*) AS n_rows, count(*) FILTER (WHERE gap > 1.0) AS breaches FROM c GROUP BY account_id HAVING count(*) >= 2)
+          SELECT account_id, n_rows, breaches, round(breaches / n_rows, 4) AS ratio, CASE WHEN breaches / n_rows > 0.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM g WHERE breaches / n_rows > 0.05""",
+        "running_balance": f"WITH {_TXN} SELECT seq, account_id, (sum(credit - debit) OVER (PARTITION BY account_id ORDER BY t, seq))::DOUBLE AS balance FROM t",
+        "iqr_outliers": f"""WITH {_TXN}, q AS (SELECT account_id, quantile_cont(debit::DOUBLE, 0.25) FILTER (WHERE debit > 0) AS q1, quantile_cont(debit::DOUBLE, 0.75) FILTER (WHERE debit > 0) AS q3 FROM t GROUP BY account_id HAVING count(*) >= 10 AND count(*) FILTER (WHERE debit > 0) >= 4)
+          SELECT seq, account_id, debit::DOUBLE AS debit, round(q3 + 3.0 * (q3 - q1), 4) AS fence FROM t JOIN q USING (account_id) WHERE debit > 0 AND debit::DOUBLE > q3 + 3.0 * (q3 - q1)""",
+        "velocity_features": _velocity_sql([24, 168]),
+        "temporal_features": f"""WITH {_TXN}, g AS (SELECT *, (t - lag(t) OVER (PARTITION BY account_id ORDER BY t, seq)) / 60000000.0::DOUBLE AS gap FROM t)
+          SELECT seq, account_id, hour(ts) AS hour, isodow(ts) - 1 AS dow, isodow(ts) >= 6 AS is_weekend, hour(ts) >= 22 OR hour(ts) <= 5 AS is_night, round(coalesce(gap, 99999.0), 4) AS gap_minutes, coalesce(gap < 120, false) AS is_rapid FROM g""",
+        "account_stats": f"""WITH {_TXN}, g AS (SELECT account_id, count(*) AS n, avg(amount::DOUBLE) AS mean, stddev_samp(amount::DOUBLE) AS std, count(*) FILTER (WHERE debit > 0) AS debits, count(DISTINCT node) AS peers, (max(t) - min(t)) / 86400000000.0::DOUBLE AS days FROM t GROUP BY account_id)
+          SELECT account_id, n, round(mean, 4) AS mean, round(coalesce(std, (SELECT median(std) FROM g), 1.0), 4) AS std, round(debits / n, 4) AS debit_ratio, peers, round(n / (floor(days) + 1), 4) AS txns_per_day FROM g""",
+        "structuring_flags": f"""WITH {_TXN} SELECT seq, amount % 1000 = 0 AS is_round, (amount >= 9000 AND amount < 10000) OR (amount >= 49000 AND amount < 50000) OR (amount >= 99000 AND amount < 100000) OR (amount >= 199000 AND amount < 200000) AS is_near_threshold,
+          (CASE WHEN amount <= 1000 THEN 0 WHEN amount <= 5000 THEN 1 WHEN amount <= 10000 THEN 2 WHEN amount <= 50000 THEN 3 WHEN amount <= 100000 THEN 4 WHEN amount <= 500000 THEN 5 ELSE 6 END)::BIGINT AS bucket FROM t""",
+        "pair_freq": f"WITH {_TXN} SELECT account_id, node, count(*) AS pair_txns, sum(amount)::DOUBLE AS pair_total FROM t GROUP BY ALL",
+        "channel_infer": _channel_sql(),
+        "text_normalise": r"SELECT conv_id, turn, md5(upper(trim(regexp_replace(replace(text, 'ß', 'SS'), '[|\s]+', ' ', 'g')))) AS digest FROM conversations",
+        "confusion": f"""WITH {_SCORED}, c AS (SELECT count(*) FILTER (WHERE score >= 0.3 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.3 AND label <> 1) AS fp, count(*) FILTER (WHERE score < 0.3 AND label <> 1) AS tn, count(*) FILTER (WHERE score < 0.3 AND label = 1) AS fn FROM s),
+          m AS (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r FROM c) SELECT tp, fp, tn, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / nullif(p + r, 0), 6) AS f1 FROM m""",
+        "roc_auc": f"WITH {_CURVE} SELECT round(sum(n * (tp - p / 2)) / max(ps * ns), 6) AS roc_auc, round(sum(p * tp / (tp + fp)) / max(ps), 6) AS average_precision FROM c",
+        "pr_curve": f"WITH {_CURVE} SELECT score, tp::BIGINT AS tp, fp::BIGINT AS fp FROM c",
+        "score_hist": f"WITH {_SCORED} SELECT least(floor(score * 20), 19)::BIGINT AS bin, label, count(*) AS n FROM s GROUP BY ALL",
+        "search_txns": "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice BETWEEN 50000 AND 150000 AND c_mktsegment ILIKE '%build%' AND o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
+        "account_list": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_name ILIKE '%00001%' AND c_acctbal >= 0",
+        "txn_stats": f"WITH {_TXN} SELECT account_id, count(*) AS n, sum(debit)::DOUBLE AS debits, sum(credit)::DOUBLE AS credits, max(amount)::DOUBLE AS largest, strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day FROM t GROUP BY account_id",
+        "dashboard": f"WITH {_TXN} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT account_id) AS accounts, sum(amount)::DOUBLE AS total, count(*) FILTER (WHERE amount >= 100000) AS large FROM t GROUP BY 1",
+        "counterparties_anti": f"WITH {_TXN} SELECT DISTINCT node FROM t WHERE node NOT IN (SELECT account_id FROM t)",
+        "top_amounts": f"WITH {_TXN} SELECT seq, account_id, amount::DOUBLE AS amount FROM t ORDER BY t.amount DESC, seq LIMIT 500",
+    }
