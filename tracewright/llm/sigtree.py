@@ -7,7 +7,8 @@ A document's set holds its distinct SHINGLE-word shingles as 64-bit hashes; docu
 2. Candidates, exactly: two sets that link differ in at most D = 15/185 of their sizes' sum of elements, so when the hash
    range is cut into D + 1 + s parts, at least s + 1 parts are equal; some part that is not empty, unless both sets have
    more than s empty ones, in which case the empty parts are emitted too. Parts are numbered within classes of sizes; a
-   set near a class's top is emitted in the next as well. Sets that share no part link with nothing and end here.
+   set near a class's top is emitted in the next as well. Sets that share fewer
+   parts with others than a link takes have none and end here.
 3. The candidates' connected components are the blocks. In a block, a signature tree holds at each node the OR of its
    members' token bitmaps, the range of their sizes and what bitmaps may undercount. A dual traversal of the tree with
    itself drops pairs of nodes whose greatest possible overlap is below the least one needed, whose sizes don't fit, or
@@ -87,38 +88,35 @@ def classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, np.where(differ > 0, differ + 1 + slack, 0), slack
 
 
-def signatures(tokens: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Document and signature of every part that is emitted."""
+def signatures(tokens: np.ndarray, offsets: np.ndarray, step: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document and signature of every part that is emitted in the documents' own class of sizes (step 0) or the next (1), and of
+    each document how many of its signatures it has in common, at least, with any set that it links with there."""
     low, parts_of, slack_of = classes(percent)
     size = np.diff(offsets)
-    own = np.searchsorted(low, size, "right") - 1
-    docs, sigs = [np.zeros(0, np.int64)], [np.zeros(0, U)]
-    mixed = mix(tokens * _STEP[1])
-    for step in (0, 1):
-        at = own + step
-        wanted = (size > 0) & (parts_of[np.maximum(at, 0)] > 0)
-        if step:
-            wanted &= 100 * size >= percent * low[at]
-        row = np.repeat(np.arange(len(size)), size)
-        use = wanted[row]
-        row, token, value = row[use], tokens[use], mixed[use]
-        if not len(row):
-            continue
-        count = parts_of[at][row].astype(U)
-        # Tokens ascend in a document, and so do their parts.
-        part = (token >> U(32)) * count >> U(32)
-        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(part.view(np.int64), prepend=-1) != 0))
-        total = np.add.reduceat(value, first)
-        kind = at[row[first]].astype(U) << U(40) | part[first]
-        docs.append(row[first])
-        sigs.append(mix(total ^ mix(kind * _STEP[2] + U(1))))
-        empty = parts_of[at] - np.bincount(row[first], minlength=len(size))
-        for d in np.flatnonzero(wanted & (empty > slack_of[np.maximum(at, 0)])):
-            there = part[first][row[first] == d].astype(np.int64)
-            gone = np.setdiff1d(np.arange(parts_of[at[d]]), there).astype(U)
-            docs.append(np.full(len(gone), d))
-            sigs.append(mix(mix((U(at[d]) << U(40) | gone) * _STEP[2] + U(1)) ^ U(0)))
-    return np.concatenate(docs), np.concatenate(sigs)
+    at = np.maximum(np.searchsorted(low, size, "right") - 1, 0) + step
+    wanted = (size > 0) & (parts_of[at] > 0)
+    if step:
+        wanted &= 100 * size >= percent * low[at]
+    row = np.repeat(np.arange(len(size)), size)
+    use = wanted[row]
+    row, token = row[use], tokens[use]
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(len(size), np.int64)
+    count = parts_of[at][row].astype(U)
+    # Tokens ascend in a document, and so do their parts.
+    part = (token >> U(32)) * count >> U(32)
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(part.view(np.int64), prepend=-1) != 0))
+    row, part, total = row[first], part[first], np.add.reduceat(mix(token * _STEP[1]), first)
+    kind = at[row].astype(U) << U(40) | part
+    docs, sigs = [row], [mix(total ^ mix(kind * _STEP[2] + U(1)))]
+    empty = parts_of[at] - np.bincount(row, minlength=len(size))
+    # s + 1 parts are equal; of them at most the smaller number of empty parts is not emitted.
+    need = np.where(empty > slack_of[at], 1, slack_of[at] + 1 - empty)
+    for d in np.flatnonzero(wanted & (empty > slack_of[at])):
+        gone = np.setdiff1d(np.arange(parts_of[at[d]]), part[row == d].astype(np.int64)).astype(U)
+        docs.append(np.full(len(gone), d))
+        sigs.append(mix(mix((U(at[d]) << U(40) | gone) * _STEP[2] + U(1)) ^ U(0)))
+    return np.concatenate(docs), np.concatenate(sigs), need
 
 
 def digests(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -303,17 +301,30 @@ def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_t
         for batch in batches:
             for texts in slices(batch.column(2)):
                 tokens, offsets = shingle_sets(texts, size)
-                row, sigs = signatures(tokens, offsets, percent)
-                order = np.argsort(row, kind="stable")
-                n = len(offsets) - 1
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)), pa.array(sigs[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.row, n), batch.column(1).slice(texts.row, n), pa.array(np.diff(offsets)), pa.array(digests(tokens, offsets)), lists], ["doc_id", "version", "n", "node", "sigs"])
-
-    sets = written(docs.mapInArrow(sets_of, "doc_id long, version long, n long, node long, sigs array<long>"), "sets")
-    emitted = sets.filter("n > 0").select("node", F.explode("sigs").alias("sig"))
+                n, both = len(offsets) - 1, []
+                for step in (0, 1):
+                    row, sigs, need = signatures(tokens, offsets, step, percent)
+                    order = np.argsort(row, kind="stable")
+                    both += [pa.array(need), pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)), pa.array(sigs[order].view(np.int64)))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.row, n), batch.column(1).slice(texts.row, n), pa.array(np.diff(offsets)), pa.array(digests(tokens, offsets)), *both], ["doc_id", "version", "n", "node", "need0", "sigs0", "need1", "sigs1"])
+
+    sets = written(docs.mapInArrow(sets_of, "doc_id long, version long, n long, node long, need0 long, sigs0 array<long>, need1 long, sigs1 array<long>"), "sets")
+    emitted = sets.filter("n > 0").select("node", F.explode(F.concat("sigs0", "sigs1")).alias("sig"))
     shared = written(emitted.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("sig", "least"), "shared")
     free_shuffles(spark)
-    blocks = components(emitted.join(shared, "sig").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    steps = [sets.filter("n > 0").select("node", F.lit(k).alias("step"), F.col(f"need{k}").alias("need"), F.explode(f"sigs{k}").alias("sig")) for k in (0, 1)]
+    met = written(steps[0].unionAll(steps[1]).join(shared, "sig").distinct(), "met")
+    free_shuffles(spark)
+    # A set with fewer signatures in common with others than a link takes has no link there; twice, as others go with it.
+    for _ in range(2):
+        able = met.groupBy("node", "step").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("most_needed")).filter("c >= most_needed").select("node", "step")
+        left = met.join(able, ["node", "step"], "left_semi")
+        again = left.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("sig", "least")
+        new = written(left.drop("least").join(again, "sig"), "met")
+        forget(met)
+        met = new
+    blocks = components(met.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    forget(met)
     forget(shared)
     free_shuffles(spark)
     blocks = blocks.unionAll(blocks.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "block")
