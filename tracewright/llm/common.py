@@ -44,11 +44,14 @@ def forget(*tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished plans now instead of at its next collection of garbage."""
+    """Lets Spark delete the shuffle files of finished plans now instead of at its next collection of garbage; its cleaner takes a moment."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
