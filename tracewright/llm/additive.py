@@ -78,16 +78,17 @@ def fit(x: np.ndarray, books: int = CODEBOOKS, words: int = WORDS, rounds: int =
     out = np.stack(out)
     for _ in range(rounds):
         codes = encode(x, out)[0].astype(np.int64) + np.arange(books) * words
-        gram, right = np.zeros((books * words, books * words)), np.zeros((books * words, x.shape[1]))
+        gram, right = np.zeros((books * words, books * words), np.float32), np.zeros((books * words, x.shape[1]), np.float32)
         for a in range(books):
             order = np.argsort(codes[:, a], kind="stable")
             at, first = np.unique(codes[order, a], return_index=True)
-            right[at] = np.add.reduceat(x[order].astype(float), first)
+            right[at] = np.add.reduceat(x[order], first)
             for b in range(books):
                 np.add.at(gram, (codes[:, a], codes[:, b]), 1)
         gram[np.diag_indices_from(gram)] += 0.5
         right += 0.5 * out.reshape(-1, x.shape[1])
-        out = np.linalg.solve(gram, right).reshape(out.shape).astype(np.float32)
+        out = np.linalg.solve(gram, right).reshape(out.shape)
+        del gram
     return out
 
 
