@@ -9,7 +9,8 @@ A document's set holds its distinct SHINGLE-word shingles as 64-bit hashes; docu
    more than s empty ones, in which case the empty parts are emitted too. Parts are numbered within classes of sizes; a
    set near a class's top is emitted in the next as well. Sets that share fewer
    parts with others than a link takes have none and end here.
-3. The candidates' connected components are the blocks. In a block, a signature tree holds at each node the OR of its
+3. The candidates' connected components are the blocks. Blocks above CHUNK tokens are divided first, by the same filter with
+   FINE instead of COARSE spare parts, which takes more signatures and lets less through. In a block, a signature tree holds at each node the OR of its
    members' token bitmaps, the range of their sizes and what bitmaps may undercount. A dual traversal of the tree with
    itself drops pairs of nodes whose greatest possible overlap is below the least one needed, whose sizes don't fit, or
    whose members are all connected already. What is left is compared exactly.
@@ -42,9 +43,13 @@ PERCENT = 85
 LEAF = 16
 FAN = 4
 HUBS = 12
+#: Parts to spare (s) as hundredths of the elements in which linked sets may differ: for all sets, and for those of large blocks.
+COARSE, FINE = 6, 100
 #: Tokens of a task's share of a block.
 CHUNK = 6_000_000
 LEADERS = 32
+#: Ids of large blocks that are broadcast (8 MB); more are joined by a shuffle.
+BROADCAST_BLOCKS = 1_000_000
 
 U = np.uint64
 _STEP = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -77,21 +82,21 @@ def shingle_sets(texts: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 
 
 @lru_cache
-def classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def classes(percent: int, spare: int = COARSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least size of each class, its parts, and its slack of empty parts."""
     low = [1]
     while low[-1] < 1 << 40:
         low.append(max(low[-1] * 3 // 2, low[-1] * 100 // percent + 2, 7))
     low = np.array(low, np.int64)
     differ = 2 * (100 - percent) * (low[1:] - 1) // (100 + percent)
-    slack = 2 + -(-differ * 6 // 100)
+    slack = 2 + -(-differ * spare // 100)
     return low, np.where(differ > 0, differ + 1 + slack, 0), slack
 
 
-def signatures(tokens: np.ndarray, offsets: np.ndarray, step: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, offsets: np.ndarray, step: int, percent: int = PERCENT, spare: int = COARSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document and signature of every part that is emitted in the documents' own class of sizes (step 0) or the next (1), and of
     each document how many of its signatures it has in common, at least, with any set that it links with there."""
-    low, parts_of, slack_of = classes(percent)
+    low, parts_of, slack_of = classes(percent, spare)
     size = np.diff(offsets)
     at = np.maximum(np.searchsorted(low, size, "right") - 1, 0) + step
     wanted = (size > 0) & (parts_of[at] > 0)
@@ -124,6 +129,19 @@ def digests(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(U)).view(np.int64)
 
 
+SIGNED = "need0 long, sigs0 array<long>, need1 long, sigs1 array<long>"
+
+
+def signed(tokens: np.ndarray, offsets: np.ndarray, percent: int, spare: int) -> list[pa.Array]:
+    """The columns SIGNED: signatures() of both steps as lists."""
+    n, out = len(offsets) - 1, []
+    for step in (0, 1):
+        row, sigs, need = signatures(tokens, offsets, step, percent, spare)
+        order = np.argsort(row, kind="stable")
+        out += [pa.array(need), pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)), pa.array(sigs[order].view(np.int64)))]
+    return out
+
+
 class Node:
     __slots__ = ("bits", "children", "excess", "high", "low", "members", "most")
 
@@ -292,27 +310,13 @@ def _join_chunks(rows: DataFrame, tasks: int, percent: int) -> DataFrame:
     return rows.repartition(tasks, "block", "chunk").sortWithinPartitions("block", "chunk", "node").mapInArrow(run, "u long, v long")
 
 
-def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_tokens: int = CHUNK, leaders: int = LEADERS) -> DataFrame:
-    """doc_id, version (hash of the text), n (its shingles), label (the component's; null for no shingles) of every document."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts in slices(batch.column(2)):
-                tokens, offsets = shingle_sets(texts, size)
-                n, both = len(offsets) - 1, []
-                for step in (0, 1):
-                    row, sigs, need = signatures(tokens, offsets, step, percent)
-                    order = np.argsort(row, kind="stable")
-                    both += [pa.array(need), pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)), pa.array(sigs[order].view(np.int64)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.row, n), batch.column(1).slice(texts.row, n), pa.array(np.diff(offsets)), pa.array(digests(tokens, offsets)), *both], ["doc_id", "version", "n", "node", "need0", "sigs0", "need1", "sigs1"])
-
-    sets = written(docs.mapInArrow(sets_of, "doc_id long, version long, n long, node long, need0 long, sigs0 array<long>, need1 long, sigs1 array<long>"), "sets")
-    emitted = sets.filter("n > 0").select("node", F.explode(F.concat("sigs0", "sigs1")).alias("sig"))
+def _candidates(table: DataFrame) -> DataFrame:
+    """node and root of the components of candidates, roots left out. table: node and SIGNED."""
+    spark = table.sparkSession
+    emitted = table.select("node", F.explode(F.concat("sigs0", "sigs1")).alias("sig"))
     shared = written(emitted.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("sig", "least"), "shared")
     free_shuffles(spark)
-    steps = [sets.filter("n > 0").select("node", F.lit(k).alias("step"), F.col(f"need{k}").alias("need"), F.explode(f"sigs{k}").alias("sig")) for k in (0, 1)]
+    steps = [table.select("node", F.lit(k).alias("step"), F.col(f"need{k}").alias("need"), F.explode(f"sigs{k}").alias("sig")) for k in (0, 1)]
     met = written(steps[0].unionAll(steps[1]).join(shared, "sig").distinct(), "met")
     free_shuffles(spark)
     # A set with fewer signatures in common with others than a link takes has no link there; twice, as others go with it.
@@ -323,12 +327,36 @@ def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_t
         new = written(left.drop("least").join(again, "sig"), "met")
         forget(met)
         met = new
-    blocks = components(met.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
-    forget(met)
-    forget(shared)
+    found = components(met.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    forget(met, shared)
     free_shuffles(spark)
-    blocks = blocks.unionAll(blocks.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "block")
-    chosen = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "version", "n")).alias("d")).join(blocks, "node").select("node", "block", F.col("d.doc_id").alias("its_id"), F.col("d.version").alias("its_version"))
+    return found
+
+
+def _members(rows: DataFrame, found: DataFrame, on: str) -> DataFrame:
+    """rows with column block, the component found of column on; those outside all components go."""
+    blocks = found.unionAll(found.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias(on), F.col("root").alias("block"))
+    return rows.join(blocks, on)
+
+
+def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_tokens: int = CHUNK, leaders: int = LEADERS) -> DataFrame:
+    """doc_id, version (hash of the text), n (its shingles), label (the component's; null for no shingles) of every document."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in slices(batch.column(2)):
+                tokens, offsets = shingle_sets(texts, size)
+                n = len(offsets) - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.row, n), batch.column(1).slice(texts.row, n), pa.array(np.diff(offsets)), pa.array(digests(tokens, offsets)), *signed(tokens, offsets, percent, COARSE)], ["doc_id", "version", "n", "node", "need0", "sigs0", "need1", "sigs1"])
+
+    both = written(docs.mapInArrow(sets_of, f"doc_id long, version long, n long, node long, {SIGNED}"), "sets")
+    sets = written(both.select("doc_id", "version", "n", "node"), "sets")
+    found = _candidates(both.filter("n > 0"))
+    forget(both)
+    chosen = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "version", "n")).alias("d"))
+    chosen = _members(chosen, found, "node").select("node", "block", F.col("d.doc_id").alias("its_id"), F.col("d.version").alias("its_version"))
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,6 +368,26 @@ def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_t
     fetched = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["its_id"]) & (docs["version"] == chosen["its_version"])).select("node", "block", "text")
     members = written(fetched.mapInArrow(tokens_of, "block long, node long, n long, tokens binary"), "members")
     free_shuffles(spark)
+    heavy = members.groupBy("block").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > chunk_tokens).select("block")
+    heavy = written(heavy, "heavy")
+    blocks = heavy.count()
+    if blocks:
+        if blocks <= BROADCAST_BLOCKS:
+            heavy = F.broadcast(heavy)
+
+        def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = flat(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *signed(data.copy().view(U), offsets // 8, percent, FINE)], ["node", "need0", "sigs0", "need1", "sigs1"])
+
+        both = written(members.join(heavy, "block", "left_semi").select("node", "tokens").mapInArrow(finer, f"node long, {SIGNED}"), "fine")
+        found = _candidates(both)
+        forget(both)
+        light = members.join(heavy, "block", "left_anti")
+        divided = _members(members.join(heavy, "block", "left_semi").drop("block"), found, "node")
+        whole, members = members, written(light.unionByName(divided).select("block", "node", "n", "tokens"), "members")
+        forget(whole)
+        free_shuffles(spark)
     total = members.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk_tokens))
     weight = members.groupBy("block").agg(F.ceil(F.sum("n") / chunk_tokens).cast("int").alias("chunks"))
@@ -353,6 +401,7 @@ def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_t
         heads = members.join(first.select(F.col("block").alias("b"), F.explode("heads").alias("node")), "node").join(large, "block")
         rows = rows.unionAll(heads.select("block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "node", "tokens", none))
     edges = written(_join_chunks(rows, tasks, percent), "links")
+    free_shuffles(spark)
     if many:
         # What is outside a large block's largest component is compared with all of the block.
         now = components(edges)
@@ -362,6 +411,7 @@ def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_t
         outside = held.join(biggest, "block").filter("known <> main").select("block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "node", "tokens", "known")
         more = written(_join_chunks(held.select("block", "chunk", "node", "tokens", "known").unionAll(outside), tasks, percent), "links")
         edges = edges.unionAll(more)
+        free_shuffles(spark)
     roots = components(edges)
     forget(members)
     return sets.select("doc_id", "version", "n", "node").join(roots, "node", "left").select("doc_id", "version", "n", F.expr("CASE WHEN n > 0 THEN coalesce(root, node) END").alias("label"))
