@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import parsing
-from ..operators import cleaning, detectors, evaluation, features, graph
+from ..operators import cleaning, detectors, evaluation, features, forest, graph, trails
 from ..sources.tables import read, txn_events
 
 # ---------------------------------------------------------------- Spark
@@ -33,6 +33,32 @@ def layering(spark, sf_dir):
     return detectors.layering(txn_events(spark, sf_dir), hours=6)
 
 
+def maximal_layering(spark, sf_dir):
+    return trails.maximal_chains(layering(spark, sf_dir).select("path", "seqs"))
+
+
+def money_trail(forward: bool):
+    """Trails of the five accounts that paid the most."""
+
+    def run(spark, sf_dir):
+        _checkpoints(spark)
+        t = txn_events(spark, sf_dir)
+        roots = t.groupBy("account_id").agg(F.sum("debit").alias("paid")).orderBy(F.desc("paid"), "account_id").limit(5).select(F.col("account_id").alias("node"))
+        return trails.trails(t, roots, forward, hours=6)
+
+    return run
+
+
+def forest_scores(spark, sf_dir):
+    """Every transaction's isolation score from its temporal, structuring and velocity features."""
+    t = txn_events(spark, sf_dir)
+    flags = features.structuring(t).select("seq", F.col("bucket").alias("bucket"), F.col("is_round").cast("double").alias("is_round"), F.col("is_near_threshold").cast("double").alias("near"))
+    rows = t.select("seq", "account_id", F.log1p(F.col("amount").cast("double")).alias("log_amount"))
+    rows = rows.join(features.temporal(t).select("seq", "hour", "dow", "gap_minutes"), "seq").join(features.velocity(t, [24, 168]).drop("account_id"), "seq").join(flags, "seq")
+    columns = ["log_amount", "hour", "dow", "gap_minutes", "sum_24h", "n_24h", "sum_168h", "n_168h", "bucket", "is_round", "near"]
+    return forest.flag(forest.score(rows, "seq", forest.fit(rows, "seq", columns)), 0.03).select("seq", F.round("score", 6).alias("score"), "tier", "is_flagged")
+
+
 def wcc(spark, sf_dir):
     _checkpoints(spark)
     return graph.weak_components(graph.account_edges(txn_events(spark, sf_dir).filter("debit >= 12000")))
@@ -149,6 +175,11 @@ def queries() -> dict:
         "round_trip": _t(detectors.round_trips),
         "velocity_burst": _t(detectors.bursts),
         "layering": layering,
+        "layering_maximal": maximal_layering,
+        "money_trail_forward": money_trail(True),
+        "money_trail_backward": money_trail(False),
+        "first_edges": _t(trails.first_edges),
+        "forest_scores": forest_scores,
         "beneficiary_profile": _t(detectors.beneficiaries),
         "risk_scores": risk,
         "wcc": wcc,
@@ -246,8 +277,18 @@ def _velocity_sql(hours: list[int]) -> str:
     return f"WITH {_TXN} SELECT seq, account_id, {', '.join(cols)} FROM t"
 
 
+_LAYERS = f"""WITH RECURSIVE {_TXN}, e AS (SELECT account_id AS src, node AS dst, t, debit AS amount, seq FROM t WHERE debit >= 10000 AND node <> account_id),
+  l AS (SELECT [src, dst] AS path, [seq] AS seqs, dst AS fin, t AS last_t, 1 AS hops FROM e
+        UNION ALL SELECT list_append(path, dst), list_append(seqs, seq), dst, e.t, hops + 1 FROM l JOIN e ON e.src = l.fin AND e.t >= last_t AND e.t <= last_t + 6 * 3600000000 AND NOT list_contains(path, e.dst) WHERE hops < 8),
+  c AS (SELECT path, array_to_string(path, '>') AS p, array_to_string(seqs, '>') AS s FROM l WHERE hops >= 3)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "layering_maximal": f"""{_LAYERS} SELECT p AS path, s AS seqs FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE list_has_all(b.path, a.path)
+          AND (len(b.path) > len(a.path) OR (len(b.path) = len(a.path) AND (b.p < a.p OR (b.p = a.p AND b.s < a.s)))))""",
+        "first_edges": f"""WITH {_TXN}, r AS (SELECT least(account_id, node) AS a, greatest(account_id, node) AS b, strftime(ts, '%Y-%m-%d') AS day, seq, debit::DOUBLE AS amount,
+          row_number() OVER (PARTITION BY least(account_id, node), greatest(account_id, node), strftime(ts, '%Y-%m-%d') ORDER BY seq) AS k FROM t WHERE debit > 0) SELECT a, b, day, seq, amount FROM r WHERE k = 1""",
         "fan_in": _FAN_IN,
         "fan_out": _FAN_OUT,
         "smurfing": _SMURF,
