@@ -6,17 +6,23 @@ from pyspark.sql import Column, functions as F
 
 # Channel keywords in the order in which they are tried.
 CHANNELS = [
-    ("UPI", ["upi"]),
-    ("NEFT", ["neft"]),
+    ("UPI", ["upi", "gpay", "phonepe", "paytm", "bhim", "googlepay", "@okhdfcbank", "@oksbi", "@ybl", "@axl", "@okaxis", "@ibl", "@kotak", "@okicici"]),
+    ("NEFT", ["neft", "nft/", "inft"]),
     ("IMPS", ["imps"]),
-    ("RTGS", ["rtgs"]),
-    ("ATM", ["atm", "cash withdrawal"]),
-    ("ECS", ["ecs", "nach"]),
-    ("CHEQUE", ["cheque", "chq"]),
-    ("CASH", ["cash"]),
-    ("INTEREST", ["interest"]),
-    ("CHARGES", ["charge", "fee"]),
+    ("RTGS", ["rtgs", "blkrtgs"]),
+    ("ATM", ["atm", "cash withdrawal", "atm wdl", "cwdl", "nfs cash"]),
+    ("ECS", ["ecs", "nach", "si-", "standing instruction", "auto debit"]),
+    ("CHEQUE", ["clg", "clearing", "chq", "cheque", "chq dep", "bb/chq", "cheque deposit"]),
+    ("BILLPAY", ["billdesk", "billpay", "bbps", "electricity", "utility", "broadband", "recharge"]),
+    ("CASH", ["cash dep", "cash deposit", "counter deposit", "cash credit", "by cash", "branch cash"]),
+    ("WIRE", ["swift", "wire transfer", "foreign", "remittance", "international", "nostro"]),
+    ("LOAN", ["loan disbursement", "emi", "loan emi", "housing loan", "vehicle loan", "personal loan"]),
+    ("INTEREST", ["interest credit", "int credit", "sbint", "interest", "int on", "tds on int"]),
+    ("CHARGES", ["charges", "service charge", "gst", "maintenance", "fee", "penalty", "fine"]),
+    ("REVERSAL", ["reversal", "reverse", "refund", "cashback", "chargeback"]),
 ]
+# Channel names that stand for others.
+CHANNEL_NAMES = {"UPI/IMPS": "UPI", "UPI-IMPS": "UPI", "IMPS/UPI": "IMPS", "NEFT/RTGS": "NEFT", "ATM WDL": "ATM", "ATM-WDL": "ATM", "NACH": "ECS", "SI": "ECS", "CHQ": "CHEQUE", "CLG": "CHEQUE"}
 # Date formats in the order in which they are tried.
 DATE_FORMATS = ["dd/MM/yyyy", "dd/MM/yy", "dd-MM-yyyy", "dd-MM-yy", "dd-MMM-yyyy", "dd-MMM-yy", "dd MMM yyyy", "dd MMM yy", "dd MMMM yyyy", "dd-MMMM-yyyy", "dd.MM.yyyy", "dd.MM.yy", "yyyy-MM-dd", "MM/dd/yyyy", "yyyy/MM/dd", "ddMMyyyy"]
 
@@ -52,8 +58,14 @@ def channel_of(narration: Column) -> Column:
 
 
 def normal_text(raw: Column) -> Column:
-    """Upper case, pipes and runs of white space as one space."""
-    return F.upper(F.trim(F.regexp_replace(raw, r"[|\s]+", " ")))
+    """Upper case; marks that scanners leave, and runs of white space, as one space."""
+    return F.upper(F.trim(F.regexp_replace(raw, r"[|\\<>{}\[\]~`°\s]+", " ")))
+
+
+def normal_channel(raw: Column) -> Column:
+    """The usual name of a channel; others stay, in upper case without spaces around."""
+    name = F.upper(F.trim(raw))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in CHANNEL_NAMES.items() for x in pair]), name), name)
 
 
 def counterparty_of(narration: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, Thresholds
 
+FIRST_YEAR, LAST_YEAR = 2000, 2030
+
 
 def exact_duplicates(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
     """Rows after the first (by seq) of equal keys."""
@@ -42,3 +44,45 @@ def iqr_outliers(rows: DataFrame, p: Thresholds = DEFAULT) -> DataFrame:
     s = rows.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("debit") > 0).alias("k"), F.expr("percentile(CASE WHEN debit > 0 THEN cast(debit AS double) END, array(0.25, 0.75))").alias("q"))
     s = s.filter((F.col("n") >= p.iqr_rows) & (F.col("k") >= p.iqr_values)).select("account_id", (F.col("q")[1] + p.iqr_factor * (F.col("q")[1] - F.col("q")[0])).alias("fence"))
     return rows.filter("debit > 0").join(s, "account_id").filter(F.col("debit").cast("double") > F.col("fence")).select("seq", "account_id", F.col("debit").cast("double").alias("debit"), F.round("fence", 4).alias("fence"))
+
+
+def date_flags(date: Column) -> Column:
+    """What is wrong with a yyyy-MM-dd string: NULL_DATE, BAD_DATE_FORMAT, DATE_OUT_OF_RANGE, else null."""
+    year = F.year(F.try_to_timestamp(date, F.lit("yyyy-MM-dd")))
+    blank = date.isNull() | (F.trim(date) == "")
+    return F.when(blank, "NULL_DATE").when(year.isNull(), "BAD_DATE_FORMAT").when(~year.between(FIRST_YEAR, LAST_YEAR), "DATE_OUT_OF_RANGE")
+
+
+def flag_text(flags: dict[str, Column]) -> Column:
+    """The names of the true flags, in the given order, parted by ' | '."""
+    return F.concat_ws(" | ", *[F.when(test, name) for name, test in flags.items()])
+
+
+def inferred_movements(rows: DataFrame) -> DataFrame:
+    """Rows without debit and credit take theirs from the change of the balance against the account's row before."""
+    w = Window.partitionBy("account_id").orderBy("t", "seq")
+    step = F.when((F.col("debit") == 0) & (F.col("credit") == 0) & (F.col("balance") != 0), F.col("balance") - F.lag("balance").over(w))
+    out = rows.withColumn("step", step)
+    credit, debit = F.when(F.col("step") > 0, F.col("step")).otherwise(F.col("credit")), F.when(F.col("step") < 0, -F.col("step")).otherwise(F.col("debit"))
+    return out.withColumn("credit", credit).withColumn("debit", debit).withColumn("is_inferred", F.coalesce(F.col("step") != 0, F.lit(False))).drop("step")
+
+
+def across_files(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds copy, 1 for the first of rows with equal account, date, narration and money to the cent (nulls as '' and 0); higher ones are removed by callers."""
+    key = [F.coalesce(c, F.lit("")) for c in ("account_id", "date", "narration")] + [F.coalesce(F.col(c).cast("decimal(18,2)"), F.lit(0)) for c in ("debit", "credit")]
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+
+
+def named_holders(rows: DataFrame) -> DataFrame:
+    """Blank holders become 'Person N', one per account (per file without one), in the order of files and lines.
+
+    Accounts are numbered within their first file, and files' counts are summed over a window of one row per file.
+    """
+    key = F.coalesce(F.nullif(F.trim("account_id"), F.lit("")), F.trim("source_file"))
+    blank = F.trim(F.lower(F.coalesce("account_holder", F.lit("")))).isin("", "nan")
+    first = rows.filter(blank).groupBy(key.alias("its_key")).agg(F.min(F.struct("source_file", "seq")).alias("first"))
+    first = first.withColumn("nth", F.row_number().over(Window.partitionBy("first.source_file").orderBy("first.seq", "its_key")))
+    per_file = first.groupBy(F.col("first.source_file").alias("its_file")).agg(F.count(F.lit(1)).alias("n"))
+    before = per_file.select("its_file", (F.sum("n").over(Window.orderBy("its_file")) - F.col("n")).alias("before"))
+    labels = first.join(before, F.col("first.source_file") == F.col("its_file")).select("its_key", F.format_string("Person %d", F.col("before") + F.col("nth")).alias("label"))
+    return rows.withColumn("its_key", key).join(labels, "its_key", "left").withColumn("account_holder", F.when(blank, F.col("label")).otherwise(F.col("account_holder"))).drop("its_key", "label")

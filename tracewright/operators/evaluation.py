@@ -33,3 +33,35 @@ def areas(scored: DataFrame) -> DataFrame:
 def histogram(scored: DataFrame, bins: int) -> DataFrame:
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))
     return scored.groupBy(b.cast("long").alias("bin"), "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+TIERS = ["Very Low", "Low", "Medium", "High", "Critical"]
+
+
+def accounts(scored: DataFrame) -> DataFrame:
+    """Per account of rows (account_id, score, is_flagged): rows, flagged rows, whether any is flagged, largest and mean score."""
+    return scored.groupBy("account_id").agg(F.count(F.lit(1)).alias("txns"), F.count_if("is_flagged").alias("flagged"), F.max("is_flagged").alias("detected"), F.round(F.max("score"), 6).alias("max_score"), F.round(F.avg("score"), 6).alias("avg_score"))
+
+
+def rings(labelled: DataFrame) -> DataFrame:
+    """Per ring of fraudulent accounts (ring_id, role, detected, max_score): accounts, detected ones, their percentage, mean score, roles."""
+    g = labelled.filter("ring_id IS NOT NULL").groupBy("ring_id").agg(F.count(F.lit(1)).alias("accounts"), F.count_if("detected").alias("found"), F.round(F.avg("max_score"), 6).alias("avg_max_score"), F.array_join(F.sort_array(F.collect_set("role")), ", ").alias("roles"))
+    return g.select("ring_id", "accounts", "found", F.round(100 * F.col("found") / F.col("accounts"), 2).alias("detection_pct"), "avg_max_score", "roles")
+
+
+def personas(labelled: DataFrame) -> DataFrame:
+    """False alarms per persona over legitimate accounts (persona, is_fraud, detected)."""
+    g = labelled.filter(~F.coalesce("is_fraud", F.lit(False))).groupBy("persona").agg(F.count(F.lit(1)).alias("accounts"), F.count_if("detected").alias("false_alarms"))
+    return g.withColumn("false_alarm_pct", F.round(100 * F.col("false_alarms") / F.col("accounts"), 2))
+
+
+def tier_counts(scored: DataFrame) -> DataFrame:
+    """Rows per tier, 0 for tiers without any, with the tier's place."""
+    all_tiers = scored.sparkSession.createDataFrame(list(enumerate(TIERS)), "place long, tier string")
+    return all_tiers.join(scored.groupBy("tier").agg(F.count(F.lit(1)).alias("its_n")), "tier", "left").select("place", "tier", F.coalesce("its_n", F.lit(0)).alias("n"))
+
+
+def best_threshold(scored: DataFrame) -> DataFrame:
+    """The score that gives the best F1, the highest of equals."""
+    f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("positives"))
+    return curve(scored).agg(F.max_by(F.struct("score", F.round(f1, 6).alias("f1")), F.struct(F.round(f1, 9), F.col("score"))).alias("b")).select(F.col("b.score").alias("threshold"), F.col("b.f1").alias("f1"))

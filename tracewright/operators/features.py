@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import HOUR
 
@@ -43,3 +43,42 @@ def structuring(txns: DataFrame) -> DataFrame:
 
 def pair_frequency(txns: DataFrame) -> DataFrame:
     return txns.groupBy("account_id", "node").agg(F.count(F.lit(1)).alias("pair_txns"), F.sum("amount").cast("double").alias("pair_total"))
+
+
+def frozen(txns: DataFrame, stats: DataFrame) -> DataFrame:
+    """Each row's amount against its account's frozen statistics; accounts that these lack take the mean over accounts. z is clipped to +-10."""
+    mean = stats.agg(F.avg("mean").alias("mean_"), F.avg("std").alias("std_"))
+    d = txns.join(stats.select("account_id", "mean", "std"), "account_id", "left").crossJoin(F.broadcast(mean))  # one row
+    centre, spread = F.coalesce("mean", "mean_"), F.coalesce("std", "std_")
+    z = F.when(spread > 0, (F.col("amount").cast("double") - centre) / spread).otherwise(0.0)
+    return d.select("seq", "account_id", F.round(F.least(F.lit(10.0), F.greatest(F.lit(-10.0), z)), 4).alias("z"), F.col("mean").isNull().alias("is_unseen"))
+
+
+def rapid_transfers(txns: DataFrame) -> DataFrame:
+    """Debits under two hours after the account's row before, when that was a credit."""
+    w = Window.partitionBy("account_id").orderBy("t", "seq")
+    d = txns.withColumn("gap", F.col("t") - F.lag("t").over(w)).withColumn("last_credit", F.lag("credit").over(w))
+    return d.filter((F.col("debit") > 0) & (F.col("last_credit") > 0) & (F.col("gap") < 2 * HOUR)).select("seq", "account_id", F.round(F.col("gap") / 60_000_000, 4).alias("gap_minutes"))
+
+
+def balance_features(rows: DataFrame) -> DataFrame:
+    """Change of the balance as a part of the last one (clipped to +-5) and whether it is nearly zero (below 500)."""
+    last = F.lag("balance").over(Window.partitionBy("account_id").orderBy("t", "seq")).cast("double")
+    now = F.col("balance").cast("double")
+    drop = F.when(F.abs(last) > 0, (last - now) / F.abs(last))
+    return rows.select("seq", "account_id", (F.round(F.least(F.lit(5.0), F.greatest(F.lit(-5.0), F.coalesce(drop, F.lit(0.0)))), 4) + 0.0).alias("drop_pct"), (now < 500).alias("is_near_zero"))
+
+
+# channels' codes; others are 0.
+CHANNEL_CODES = ["NEFT", "RTGS", "IMPS", "UPI", "ATM", "POS", "ONLINE", "CASH", "CHARGES", "CHEQUE"]
+
+
+def narration_flags(narration: Column, channel: Column) -> dict[str, Column]:
+    low = F.lower(F.coalesce(narration, F.lit("")))
+    code = F.array_position(F.array(*[F.lit(c) for c in CHANNEL_CODES]), F.coalesce(channel, F.lit("")))
+    return {"channel_code": code, "is_transfer": low.rlike("transfer|neft|rtgs|imps"), "is_cash": low.rlike("cash|atm"), "is_salary": low.rlike("salary|payroll"), "is_upi": low.rlike("upi")}
+
+
+def cyclical(hour: Column, dow: Column) -> dict[str, Column]:
+    turn = lambda c, n: 2 * F.pi() * c / n
+    return {"hour_sin": F.sin(turn(hour, 24)), "hour_cos": F.cos(turn(hour, 24)), "dow_sin": F.sin(turn(dow, 7)), "dow_cos": F.cos(turn(dow, 7))}

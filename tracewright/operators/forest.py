@@ -7,12 +7,15 @@ robust scaling, which is affine for each feature, changes no split's probability
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from . import evaluation
 
 TREES, ROWS, SEED = 300, 256, 42
 # Score tiers, right-closed.
@@ -114,3 +117,49 @@ def flag(scored: DataFrame, contamination: float = 0.05) -> DataFrame:
     out = scored.crossJoin(F.broadcast(s))  # one row
     out = out.withColumn("score", F.when(width > 0, (F.col("raw") - F.col("low")) / width).otherwise(0.0))
     return out.withColumn("tier", tier(F.col("score"))).withColumn("is_flagged", F.col("raw") >= F.col("limit")).drop("low", "high", "limit")
+
+
+def save(model: dict, spark: SparkSession, path: str) -> None:
+    """The model as one row of JSON: at most TREES * 2 * ROWS nodes."""
+    plain = model | {"trees": [{k: np.asarray(v).tolist() for k, v in tree.items()} for tree in model["trees"]]}
+    spark.createDataFrame([(json.dumps(plain),)], "model string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> dict:
+    model = json.loads(spark.read.parquet(path).first().model)
+    return model | {"trees": [{k: np.array(v) if isinstance(v, list) else v for k, v in tree.items()} for tree in model["trees"]]}
+
+
+def importance(table: DataFrame, key: str, model: dict, repeats: int = 5, seed: int = SEED) -> list[tuple[str, float]]:
+    """Mean absolute change of raw scores when a column's values change places, as shares of the sum, largest first.
+
+    Values change places among rows of a group of about ROWS that share a hash of their key, so no task holds more than a group.
+    """
+    groups = max(1, table.count() // ROWS)
+    base = score(table, key, model).withColumnRenamed("raw", "base")
+    change = {}
+    for column in model["columns"]:
+        total = 0.0
+        for r in range(repeats):
+            salt = lambda *parts: F.xxhash64(F.lit(seed), F.lit(r), *parts)
+            group = F.pmod(salt(F.col(key)), F.lit(groups))
+            w = Window.partitionBy("its_group")
+            d = table.withColumn("its_group", group)
+            d = d.withColumn("its_a", F.row_number().over(w.orderBy(key))).withColumn("its_b", F.row_number().over(w.orderBy(salt(F.lit(column), F.col(key)), key)))
+            moved = d.select("its_group", F.col("its_b").alias("its_a"), F.col(column).alias("its_value"))
+            other = d.join(moved, ["its_group", "its_a"]).withColumn(column, F.col("its_value")).select(*table.columns)
+            total += score(other, key, model).join(base, key).agg(F.avg(F.abs(F.col("raw") - F.col("base")))).first()[0] or 0.0
+        change[column] = total / repeats
+    whole = sum(change.values()) or 1.0
+    return sorted(((c, v / whole) for c, v in change.items()), key=lambda p: (-p[1], p[0]))
+
+
+def grid_search(table: DataFrame, key: str, columns: list[str], labels: DataFrame, grid: list[dict], seed: int = SEED) -> tuple[dict, float]:
+    """The setting of fit() with the best average precision against labels (key, label), the first of equals."""
+    best: tuple[dict, float] = ({}, -1.0)
+    for setting in grid:
+        raw = score(table, key, fit(table, key, columns, seed=seed, **setting)).join(labels, key).select(F.col("raw").alias("score"), "label")
+        found = evaluation.areas(raw).first().average_precision or 0.0
+        if found > best[1]:
+            best = (setting, found)
+    return best

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import parsing
-from ..operators import cleaning, detectors, evaluation, features, forest, graph, trails
+from ..operators import cases, cleaning, detectors, evaluation, features, forest, graph, synthetic, trails
 from ..sources.tables import read, txn_events
 
 # ---------------------------------------------------------------- Spark
@@ -166,8 +166,102 @@ def top_flagged(spark, sf_dir):
     return txn_events(spark, sf_dir).orderBy(F.desc("amount"), "seq").limit(500).select("seq", "account_id", F.col("amount").cast("double").alias("amount"))
 
 
+def date_validation(spark, sf_dir):
+    """Days of events, some of them spoilt by a rule on seq, by what is wrong with them."""
+    seq, day = F.col("seq"), F.date_format("ts", "yyyy-MM-dd")
+    spoilt = F.when(seq % 11 == 0, "").when(seq % 13 == 0, "not a date").when(seq % 17 == 0, "1999-12-31").otherwise(day)
+    flagged = txn_events(spark, sf_dir).select(F.coalesce(cleaning.date_flags(spoilt), F.lit("OK")).alias("flag"))
+    return flagged.groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def delta_inference(spark, sf_dir):
+    """Every fifth row's movement is blanked and found again from the balance."""
+    t = cleaning.running_balance(txn_events(spark, sf_dir))
+    blank = lambda c: F.when(F.col("seq") % 5 == 0, 0).otherwise(F.col(c)).cast("decimal(18,2)").alias(c)
+    found = cleaning.inferred_movements(t.select("seq", "account_id", "t", blank("debit"), blank("credit"), "balance"))
+    return found.filter("is_inferred").select("seq", "account_id", F.col("debit").cast("double").alias("debit"), F.col("credit").cast("double").alias("credit"))
+
+
+def frozen_join(spark, sf_dir):
+    """Statistics of payments, applied to all rows; accounts that paid nothing take the mean."""
+    t = txn_events(spark, sf_dir)
+    return features.frozen(t, features.account_stats(t.filter("debit > 0")))
+
+
+def balance_features(spark, sf_dir):
+    return features.balance_features(cleaning.running_balance(txn_events(spark, sf_dir)))
+
+
+def edge_dedup(spark, sf_dir):
+    t = txn_events(spark, sf_dir).select("seq", "account_id", "node", F.when(F.col("debit") > 0, "DR").otherwise("CR").alias("channel"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return cases.first_of_pairs(t, ["seq"])
+
+
+def counterparties_semi(spark, sf_dir):
+    t = txn_events(spark, sf_dir)
+    return cases.counterparties(t, t.select("account_id").distinct(), "ACC000001")
+
+
+def cross_file_dedup(spark, sf_dir):
+    """Lines of orders: customers are accounts, ship days dates."""
+    d = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("account_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_returnflag").alias("narration"), F.floor(F.col("l_quantity")).alias("debit"), F.lit(0).alias("credit"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return cleaning.across_files(d, ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]).filter("copy > 1").groupBy("account_id").agg(F.count(F.lit(1)).alias("removed"))
+
+
+def generic_names(spark, sf_dir):
+    """Users stand for accounts, event types for files; no holder is known."""
+    t = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("account_id"), F.lit("").alias("account_holder"), F.col("event_type").alias("source_file"), F.col("event_id").alias("seq"))
+    return cleaning.named_holders(t).groupBy("account_id").agg(F.min("account_holder").alias("account_holder"), F.count(F.lit(1)).alias("n"))
+
+
+def _people(spark, sf_dir):
+    """Documents stand for accounts: sources are rings, languages roles and personas, toxic ones fraud, long ones detected."""
+    d = read(spark, sf_dir, "documents").groupBy("doc_id").agg(F.max("n_chars").alias("n"), F.max("lang").alias("lang"), F.max("source").alias("source"))
+    fraud = F.col("toxic") == 1
+    return d.join(read(spark, sf_dir, "labels"), "doc_id").filter("toxic IS NOT NULL").select(F.when(fraud, F.col("source")).alias("ring_id"), F.col("lang").alias("role"), F.col("lang").alias("persona"), fraud.alias("is_fraud"), (F.col("n") >= 1000).alias("detected"), F.least(F.lit(1.0), F.round(F.col("n") / 5000.0, 4)).alias("max_score"))
+
+
+def account_detection(spark, sf_dir):
+    t = txn_events(spark, sf_dir)
+    return evaluation.accounts(t.select("account_id", F.least(F.lit(1.0), F.round(F.col("amount").cast("double") / 100000, 4)).alias("score"), (F.col("amount") >= 50000).alias("is_flagged")))
+
+
+def tier_counts(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return evaluation.tier_counts(s.select(forest.tier(F.col("score")).alias("tier")))
+
+
+def narration_features(spark, sf_dir):
+    n = narration(spark, sf_dir)
+    flags = features.narration_flags(F.col("text"), parsing.channel_of(F.col("text")))
+    return n.select("conv_id", "turn", *[c.cast("long").alias(name) for name, c in flags.items()])
+
+
+def synth_ledger(spark, sf_dir):
+    """A ledger of as many synthetic accounts as there are customers, over three months."""
+    people = synthetic.population(spark, read(spark, sf_dir, "customer").count())
+    events = synthetic.legitimate(people, "2024-01-01", 3).unionByName(synthetic.fraudulent(people, "2024-01-01"))
+    return synthetic.ledger(people, events)
+
+
 def queries() -> dict:
     return {
+        "date_validation": date_validation,
+        "delta_inference": delta_inference,
+        "frozen_join": frozen_join,
+        "rapid_transfer": _t(features.rapid_transfers),
+        "balance_features": balance_features,
+        "edge_dedup": edge_dedup,
+        "counterparties_semi": counterparties_semi,
+        "cross_file_dedup": cross_file_dedup,
+        "generic_names": generic_names,
+        "ring_breakdown": lambda s, d: evaluation.rings(_people(s, d)),
+        "persona_fp": lambda s, d: evaluation.personas(_people(s, d)),
+        "account_detection": account_detection,
+        "tier_counts": tier_counts,
+        "best_threshold": lambda s, d: evaluation.best_threshold(scored(s, d)),
+        "narration_features": narration_features,
+        "synth_ledger": synth_ledger,
         "fan_in": _t(detectors.fan_in),
         "fan_out": _t(detectors.fan_out),
         "smurfing": _t(detectors.smurfing),
@@ -283,8 +377,52 @@ _LAYERS = f"""WITH RECURSIVE {_TXN}, e AS (SELECT account_id AS src, node AS dst
   c AS (SELECT path, array_to_string(path, '>') AS p, array_to_string(seqs, '>') AS s FROM l WHERE hops >= 3)"""
 
 
-def oracle_sql() -> dict[str, str]:
+_PEOPLE = """d AS (SELECT doc_id, max(n_chars) AS n, max(lang) AS lang, max(source) AS source FROM documents GROUP BY doc_id),
+  p AS (SELECT CASE WHEN toxic = 1 THEN source END AS ring_id, lang AS role, lang AS persona, toxic = 1 AS is_fraud, n >= 1000 AS detected, least(1.0::DOUBLE, round(n / 5000.0::DOUBLE, 4)) AS max_score
+        FROM d JOIN labels USING (doc_id) WHERE toxic IS NOT NULL)"""
+_ORDER = "(PARTITION BY account_id ORDER BY t, seq)"
+
+
+def _more_sql() -> dict:
+    codes = ", ".join(f"'{c}'" for c in features.CHANNEL_CODES)
+    cases_ = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{k}')" for k in keys) + f" THEN '{name}'" for name, keys in parsing.CHANNELS)
     return {
+        "date_validation": f"""WITH {_TXN}, s AS (SELECT CASE WHEN seq % 11 = 0 THEN '' WHEN seq % 13 = 0 THEN 'not a date' WHEN seq % 17 = 0 THEN '1999-12-31' ELSE strftime(ts, '%Y-%m-%d') END AS d FROM t)
+            SELECT CASE WHEN d = '' THEN 'NULL_DATE' WHEN try_strptime(d, '%Y-%m-%d') IS NULL THEN 'BAD_DATE_FORMAT' WHEN year(try_strptime(d, '%Y-%m-%d')) NOT BETWEEN 2000 AND 2030 THEN 'DATE_OUT_OF_RANGE' ELSE 'OK' END AS flag, count(*) AS n FROM s GROUP BY 1""",
+        "delta_inference": f"""WITH {_TXN}, b AS (SELECT *, sum(credit - debit) OVER {_ORDER} AS balance FROM t), l AS (SELECT *, balance - lag(balance) OVER {_ORDER} AS step FROM b)
+            SELECT seq, account_id, greatest(-step, 0)::DOUBLE AS debit, greatest(step, 0)::DOUBLE AS credit FROM l WHERE seq % 5 = 0 AND balance <> 0 AND step IS NOT NULL AND step <> 0""",
+        "frozen_join": f"""WITH {_TXN}, g AS (SELECT account_id, avg(amount::DOUBLE) AS mean, stddev_samp(amount::DOUBLE) AS std FROM t WHERE debit > 0 GROUP BY 1),
+            s AS (SELECT account_id, round(mean, 4) AS mean, round(coalesce(std, (SELECT median(std) FROM g), 1.0), 4) AS std FROM g), m AS (SELECT avg(mean) AS mean_, avg(std) AS std_ FROM s)
+            SELECT seq, t.account_id, round(least(10.0, greatest(-10.0, CASE WHEN coalesce(std, std_) > 0 THEN (amount::DOUBLE - coalesce(mean, mean_)) / coalesce(std, std_) ELSE 0 END)), 4) AS z, mean IS NULL AS is_unseen FROM t LEFT JOIN s USING (account_id), m""",
+        "rapid_transfer": f"""WITH {_TXN}, l AS (SELECT *, t - lag(t) OVER {_ORDER} AS gap, lag(credit) OVER {_ORDER} AS last_credit FROM t)
+            SELECT seq, account_id, round(gap / 60000000.0::DOUBLE, 4) AS gap_minutes FROM l WHERE debit > 0 AND last_credit > 0 AND gap < 7200000000""",
+        "balance_features": f"""WITH {_TXN}, b AS (SELECT *, (sum(credit - debit) OVER {_ORDER})::DOUBLE AS now FROM t), l AS (SELECT *, lag(now) OVER {_ORDER} AS was FROM b)
+            SELECT seq, account_id, round(least(5.0, greatest(-5.0, coalesce(CASE WHEN abs(was) > 0 THEN (was - now) / abs(was) END, 0))), 4)::DOUBLE + 0.0::DOUBLE AS drop_pct, now < 500 AS is_near_zero FROM l""",
+        "edge_dedup": f"""WITH {_TXN}, e AS (SELECT seq, account_id, node, CASE WHEN debit > 0 THEN 'DR' ELSE 'CR' END AS channel, strftime(ts, '%Y-%m-%d') AS day FROM t)
+            SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY least(account_id, node), greatest(account_id, node), channel, day ORDER BY seq) = 1""",
+        "counterparties_semi": f"WITH {_TXN} SELECT DISTINCT account_id FROM t WHERE account_id IN (SELECT node FROM t WHERE account_id = 'ACC000001')",
+        "cross_file_dedup": """SELECT account_id, sum(n - 1)::BIGINT AS removed FROM (SELECT l_suppkey::VARCHAR AS account_id, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_shipdate::DATE, l_returnflag, floor(l_quantity))
+            GROUP BY 1 HAVING sum(n - 1) > 0""",
+        "generic_names": """WITH f AS (SELECT user_id::VARCHAR AS account_id, min((event_type, event_id)) AS first, count(*) AS n FROM events GROUP BY 1)
+            SELECT account_id, 'Person ' || row_number() OVER (ORDER BY first) AS account_holder, n FROM f""",
+        "ring_breakdown": f"""WITH {_PEOPLE} SELECT ring_id, count(*) AS accounts, count(*) FILTER (detected) AS found, round(100.0::DOUBLE * count(*) FILTER (detected) / count(*), 2) AS detection_pct, round(avg(max_score), 6) AS avg_max_score,
+            coalesce(string_agg(DISTINCT role, ', ' ORDER BY role), '') AS roles FROM p WHERE ring_id IS NOT NULL GROUP BY 1""",
+        "persona_fp": f"WITH {_PEOPLE} SELECT persona, count(*) AS accounts, count(*) FILTER (detected) AS false_alarms, round(100.0::DOUBLE * count(*) FILTER (detected) / count(*), 2) AS false_alarm_pct FROM p WHERE NOT is_fraud GROUP BY 1",
+        "account_detection": f"""WITH {_TXN}, s AS (SELECT account_id, least(1.0::DOUBLE, round(amount::DOUBLE / 100000, 4)) AS score, amount >= 50000 AS is_flagged FROM t)
+            SELECT account_id, count(*) AS txns, count(*) FILTER (is_flagged) AS flagged, bool_or(is_flagged) AS detected, round(max(score), 6) AS max_score, round(avg(score), 6) AS avg_score FROM s GROUP BY 1""",
+        "tier_counts": f"""WITH {_SCORED}, k AS (SELECT CASE WHEN score <= 0.30 THEN 0 WHEN score <= 0.50 THEN 1 WHEN score <= 0.65 THEN 2 WHEN score <= 0.80 THEN 3 ELSE 4 END AS place FROM s),
+            names AS (SELECT unnest([0, 1, 2, 3, 4])::BIGINT AS place, unnest(['Very Low', 'Low', 'Medium', 'High', 'Critical']) AS tier)
+            SELECT names.place, tier, count(k.place) AS n FROM names LEFT JOIN k ON k.place = names.place GROUP BY 1, 2""",
+        "best_threshold": f"""WITH {_CURVE}, f AS (SELECT score, 2 * tp / (tp + fp + ps)::DOUBLE AS f1 FROM c)
+            SELECT score AS threshold, round(f1, 6) AS f1 FROM f ORDER BY round(f1, 9) DESC, score DESC LIMIT 1""",
+        "narration_features": f"""WITH c AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS low, CASE {cases_} ELSE 'OTHER' END AS channel FROM conversations)
+            SELECT conv_id, turn, coalesce(list_position([{codes}], channel), 0)::BIGINT AS channel_code, regexp_matches(low, 'transfer|neft|rtgs|imps')::BIGINT AS is_transfer, regexp_matches(low, 'cash|atm')::BIGINT AS is_cash,
+              regexp_matches(low, 'salary|payroll')::BIGINT AS is_salary, contains(low, 'upi')::BIGINT AS is_upi FROM c""",
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return _more_sql() | {
         "layering_maximal": f"""{_LAYERS} SELECT p AS path, s AS seqs FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE list_has_all(b.path, a.path)
           AND (len(b.path) > len(a.path) OR (len(b.path) = len(a.path) AND (b.p < a.p OR (b.p = a.p AND b.s < a.s)))))""",
         "first_edges": f"""WITH {_TXN}, r AS (SELECT least(account_id, node) AS a, greatest(account_id, node) AS b, strftime(ts, '%Y-%m-%d') AS day, seq, debit::DOUBLE AS amount,
@@ -326,7 +464,7 @@ def oracle_sql() -> dict[str, str]:
           (CASE WHEN amount <= 1000 THEN 0 WHEN amount <= 5000 THEN 1 WHEN amount <= 10000 THEN 2 WHEN amount <= 50000 THEN 3 WHEN amount <= 100000 THEN 4 WHEN amount <= 500000 THEN 5 ELSE 6 END)::BIGINT AS bucket FROM t""",
         "pair_freq": f"WITH {_TXN} SELECT account_id, node, count(*) AS pair_txns, sum(amount)::DOUBLE AS pair_total FROM t GROUP BY ALL",
         "channel_infer": _channel_sql(),
-        "text_normalise": r"SELECT conv_id, turn, md5(upper(trim(regexp_replace(replace(text, 'ß', 'SS'), '[|\s]+', ' ', 'g')))) AS digest FROM conversations",
+        "text_normalise": r"SELECT conv_id, turn, md5(upper(trim(regexp_replace(replace(text, 'ß', 'SS'), '[|\\<>{}\[\]~`°\s]+', ' ', 'g')))) AS digest FROM conversations",
         "confusion": f"""WITH {_SCORED}, c AS (SELECT count(*) FILTER (WHERE score >= 0.3 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.3 AND label <> 1) AS fp, count(*) FILTER (WHERE score < 0.3 AND label <> 1) AS tn, count(*) FILTER (WHERE score < 0.3 AND label = 1) AS fn FROM s),
           m AS (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r FROM c) SELECT tp, fp, tn, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / nullif(p + r, 0), 6) AS f1 FROM m""",
         "roc_auc": f"WITH {_CURVE} SELECT round(sum(n * (tp - p / 2)) / max(ps * ns), 6) AS roc_auc, round(sum(p * tp / (tp + fp)) / max(ps), 6) AS average_precision FROM c",
