@@ -145,6 +145,21 @@ def test_base_scores_and_gradient(spark, odd_texts):
         assert abs((gru.gradient(a, w)[0] - gru.gradient(b, w)[0]) / 0.02 - g[i]) < 1e-3
 
 
+def test_network_learns_from_every_token_and_end(spark):
+    texts = [None, "", "one two three", "w " * 63, "w " * 64, "a b c " * 70, "one two three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = gru.Words(gru.count_words(docs), gru.COMMON)
+    rows = [np.frombuffer(r.classes, np.uint8) for r in gru.training_windows(docs, known, gru.RATE).collect()]
+    assert len(rows) == 5 * 1 + 2 + 4 and all(len(r) == gru.WINDOW for r in rows)
+    seen = np.concatenate([r[r != gru.PAD] for r in rows])
+    assert len(seen) == sum(len(WORD.findall(t or "")) + 1 for t in texts) and (seen == 0).sum() == len(texts)
+    flat = gru.new_network(np.ones(gru.CLASSES))
+    short = np.array([[5, 9, 0]], np.uint8)
+    padded = np.concatenate([short, np.full((1, 4), gru.PAD, np.uint8)], 1)
+    for a, b in zip(gru.gradient(flat, short), gru.gradient(flat, padded)):
+        assert np.allclose(a, b, atol=1e-6)
+
+
 def test_languages_and_letterless_texts(spark):
     rng = random.Random(4)
     kinds = {"aa": ["the", "thing", "with", "ing", "that"], "bb": ["ción", "mente", "los", "que", "ñas"]}

@@ -5,9 +5,10 @@ belongs to one of TAIL classes by its last two bytes. log p(word) = log p(class
 by add-one counts over the whole training corpus, with one more place for all unseen words.
 
 1. Counts of all words of all training documents, by Spark.
-2. Training by truncated backpropagation: every training document is cut into windows of WINDOW tokens, of which the hash
-   of its text takes one in RATE, so that the sample grows with the corpus. Replicas of REPLICA windows train side by
-   side for ROUNDS rounds; after each, Spark averages their parameters.
+2. Training by truncated backpropagation: every training document is cut into windows of WINDOW tokens, the last one filled
+   up with PAD, which is neither given nor a target that counts, so every token and every end is learned from. Replicas of
+   about REPLICA windows, dealt by text and id so that copies spread, train side by side for ROUNDS rounds; after each,
+   Spark averages their parameters.
 3. Scoring: all documents of a slice advance together, each carrying its state to its end, so a document's
    log-likelihood is that of the whole. Words of the at most COMMON most frequent have their counts at hand (that many
    are broadcast, whatever the corpus); the rest is joined with the table of counts.
@@ -31,10 +32,12 @@ from .textbytes import Texts, distinct, mix, slices, words
 
 HEAD, TAIL, HIDDEN = 64, 64, 16
 CLASSES = HEAD + TAIL
-WINDOW, RATE, REPLICA, ROUNDS = 64, 8, 40_000, 3
+WINDOW, RATE, REPLICA, ROUNDS = 64, 1, 40_000, 3
 BATCH, SPEED = 96, 0.012
 COMMON = 1 << 19
 SCORED = 4 << 20
+#: Fills the last window of a document.
+PAD = 255
 #: Stands for the end of a document among hashes of words, and is the first class.
 END = -7046029254386353131
 
@@ -157,11 +160,13 @@ def log_softmax_at(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def gradient(flat: np.ndarray, windows: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean loss of a batch of windows (rows of classes, from an empty state) and its gradient, through all steps of the window."""
+    """Mean loss of a batch of windows (rows of classes, PAD after a document's end, from an empty state) and its gradient, through all steps of the window."""
     p, g_flat = unpack(flat), np.zeros(SIZE, np.float32)
     g = unpack(g_flat)
     n, steps = windows.shape
     h, kept = np.zeros((n, HIDDEN), np.float32), []
+    real = windows != PAD
+    windows = np.where(real, windows, 0).astype(windows.dtype)
     given = np.concatenate([np.zeros((n, 1), windows.dtype), windows[:, :-1]], 1)
     for t in range(steps):
         old = h
@@ -173,10 +178,11 @@ def gradient(flat: np.ndarray, windows: np.ndarray) -> tuple[float, np.ndarray]:
     out -= out.max(1, keepdims=True)
     np.exp(out, out=out)
     out /= out.sum(1, keepdims=True)
-    row = np.arange(len(target))
-    loss = float(-np.log(out[row, target] + 1e-30).mean())
+    row, counts = np.arange(len(target)), real.T.reshape(-1)
+    loss = float(-np.log(out[row, target] + 1e-30)[counts].mean())
     out[row, target] -= 1
-    out /= len(target)
+    out[~counts] = 0  # and so no step after the end has a gradient
+    out /= counts.sum()
     g["o"][:] = states.T @ out
     g["c"][:] = out.sum(0)
     back = (out @ p["o"].T).reshape(steps, n, HIDDEN)
@@ -214,7 +220,7 @@ def train(flat: np.ndarray, windows: np.ndarray, speed: float = SPEED) -> np.nda
 
 
 def training_windows(docs: DataFrame, known: Words, rate: int) -> DataFrame:
-    """place (a hash that orders and deals out) and classes (WINDOW bytes) of the sampled windows of the training texts."""
+    """place (a hash that orders and deals out) and classes (WINDOW bytes) of the windows of the training texts, at a rate above 1 of one in so many."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,16 +230,16 @@ def training_windows(docs: DataFrame, known: Words, rate: int) -> DataFrame:
             for texts in slices(batch.column(0)):
                 s = Slice(texts)
                 classes = known.class_of(s.keys, s.tails)[s.token]
-                count = np.diff(s.first) // WINDOW
+                count = -(-np.diff(s.first) // WINDOW)
                 doc = np.repeat(np.arange(len(count)), count)
                 index = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
                 place = mix(version[texts.row + doc] + index.astype(U) * U(0x9E3779B97F4A7C15))
                 use = place % U(rate) == 0
-                start = s.first[doc[use]] + index[use] * WINDOW
-                picked = classes[start[:, None] + np.arange(WINDOW)].astype(np.uint8)
+                at = (s.first[doc[use]] + index[use] * WINDOW)[:, None] + np.arange(WINDOW)
+                picked = np.where(at < s.first[doc[use] + 1][:, None], classes[np.minimum(at, len(classes) - 1)], PAD).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([pa.array(place[use].view(np.int64)), binary(picked.reshape(-1), np.arange(len(picked) + 1) * WINDOW)], ["place", "classes"])
 
-    return docs.select("text", F.xxhash64("text").alias("version")).mapInArrow(run, "place long, classes binary")
+    return docs.select("text", F.xxhash64("text", "doc_id").alias("version")).mapInArrow(run, "place long, classes binary")
 
 
 def train_network(windows: DataFrame, start: np.ndarray, replica: int, rounds: int) -> np.ndarray:
