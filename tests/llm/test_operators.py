@@ -170,6 +170,13 @@ def test_languages_and_letterless_texts(spark):
     assert all(r.held_out == (d is not None and zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 for d, r in got.items())
 
 
+def test_copies_of_a_text_take_one_training_place(spark, monkeypatch):
+    monkeypatch.setattr(crf, "fit", lambda texts, langs: (texts, langs))
+    rows = [(f"text {i}", lang) for lang in ("aa", "bb") for i in range(12) for _ in range(30)]
+    texts, langs = crf.train(spark.createDataFrame(rows, "text string, lang string"), per_label=5)
+    assert langs == ["aa"] * 5 + ["bb"] * 5 and len(set(texts[:5])) == len(set(texts[5:])) == 5
+
+
 def test_forward_backward_against_all_paths():
     import itertools
 

@@ -5,7 +5,7 @@ A word's features are its prefixes and suffixes of one to three bytes, its byte
 with transitions between them. A document's words get their marginals by forward-backward over the whole text; the
 language is the one with the largest mean marginal over words that have a letter, the score is that mean.
 
-Training: at most PER_LABEL labelled documents a language (whole texts; those of least hash). Documents have one label
+Training: at most PER_LABEL distinct labelled texts a language (whole texts; those of least hash). Documents have one label
 each, so sequences that switch are made by dealing short stretches of different documents one after the other.
 
 Defined results: null, empty and letterless texts are 'und' with score 0; words without letters have no emission; without
@@ -206,8 +206,8 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model | None:
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").alias("lang"), F.xxhash64("text").alias("place"), "text")
     top = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()]
     first = Window.partitionBy("lang").orderBy("place")
-    # Places alone are ranked; Spark keeps so many a language of each task before it shuffles.
-    least = labelled.filter(F.col("lang").isin(top)).select("lang", "place").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_label).select("lang", "place").distinct()
+    # Places alone are ranked, each once however many copies its text has; Spark keeps so many a language of each task before it shuffles.
+    least = labelled.filter(F.col("lang").isin(top)).select("lang", "place").distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_label).select("lang", "place")
     rows = labelled.join(F.broadcast(least), ["lang", "place"]).groupBy("lang", "place").agg(F.first("text").alias("text")).orderBy("lang", "place").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
