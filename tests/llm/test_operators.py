@@ -177,6 +177,16 @@ def test_copies_of_a_text_take_one_training_place(spark, monkeypatch):
     assert langs == ["aa"] * 5 + ["bb"] * 5 and len(set(texts[:5])) == len(set(texts[5:])) == 5
 
 
+def test_all_labelled_languages_are_learned(spark):
+    rng = random.Random(8)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4)] for k in range(70)}
+    rows = [(f"{w[0]} {w[1]} {w[2]} {w[3]} " * 3 + w[i], k) for k, w in words.items() for i in range(2 if k > "l63" else 3)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = crf.train(docs)
+    assert model.labels == sorted(words) and model.weights.shape == (crf.BUCKETS + 70, 70)
+    assert all(r.lang == r.lang_pred for r in crf.predict(docs, model, ["lang"]).collect())
+
+
 def test_forward_backward_against_all_paths():
     import itertools
 

@@ -1,8 +1,8 @@
 """Language ID of code-switched text by a linear-chain conditional random field over words.
 
 A word's features are its prefixes and suffixes of one to three bytes, its byte bigrams and trigrams, and the lexicons
-(each language's frequent training words) that hold it; all are hashed into BUCKETS rows of weights. Labels are learned
-with transitions between them. A document's words get their marginals by forward-backward over the whole text; the
+(each language's frequent training words) that hold it. The first are hashed into BUCKETS rows of weights, each lexicon has
+a row of its own after them. All languages that label a training text are learned, with transitions between them. A document's words get their marginals by forward-backward over the whole text; the
 language is the one with the largest mean marginal over words that have a letter, the score is that mean.
 
 Training: at most PER_LABEL distinct labelled texts a language (whole texts; those of least hash). Documents have one label
@@ -28,8 +28,6 @@ from .textbytes import Texts, distinct, flat, gather, mix, prefix_hashes, ranges
 BUCKETS = 1 << 16
 PER_LABEL = 200
 LEXICON = 150
-#: Labels at most: the languages with the most training documents.
-LABELS = 64
 SEQUENCE, STEPS, SPEED, DECAY = 48, 45, 0.08, 1e-4
 SLICE = 4 << 20
 
@@ -38,7 +36,7 @@ U = np.uint64
 
 class Model(NamedTuple):
     labels: list[str]
-    weights: np.ndarray  # BUCKETS rows, the last of them a lexicon each
+    weights: np.ndarray  # BUCKETS rows, then one a lexicon
     transitions: np.ndarray  # probabilities up to a factor
     lexicon_keys: np.ndarray
     lexicon_of: np.ndarray
@@ -65,7 +63,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     out[ranges(first[:-1], np.full(n, 6))] = parts[0]
     out[ranges(first[:-1] + 6, counts[0])] = parts[1]
     out[ranges(first[:-1] + 6 + counts[0], counts[1])] = parts[2]
-    return (mix(out) % U(BUCKETS - LABELS)).astype(np.int64), first
+    return (mix(out) % U(BUCKETS)).astype(np.int64), first
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -97,7 +95,7 @@ class Vocabulary:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         place = np.minimum(np.searchsorted(keys, self.keys), len(keys) - 1)
         hit = np.flatnonzero(keys[place] == self.keys)
-        return hit, BUCKETS - LABELS + of[place[hit]].astype(np.int64)
+        return hit, BUCKETS + of[place[hit]].astype(np.int64)
 
     def emissions(self, weights: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """A row of label scores for each distinct word, the largest 1, and all 1 for words without letters."""
@@ -181,7 +179,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     inner = np.setdiff1d(np.arange(1, len(token)), first)
     seen = np.zeros((k, k))
     np.add.at(seen, (gold[inner - 1], gold[inner]), 1)
-    weights, trans = np.zeros((BUCKETS, k)), np.zeros((k, k))
+    weights, trans = np.zeros((BUCKETS + k, k)), np.zeros((k, k))
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(trans), np.zeros_like(trans)]
     repeat = np.diff(v.at)
     target = np.zeros((len(token), k))
@@ -192,7 +190,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
         error = target - post
         by_word = np.stack([np.bincount(token, error[:, j], len(v.keys)) for j in range(k)], 1)
         by_word[~v.letter] = 0
-        g = np.stack([np.bincount(v.buckets, np.repeat(by_word[:, j], repeat), BUCKETS) + np.bincount(lexicon[1], by_word[lexicon[0], j], BUCKETS) for j in range(k)], 1) / len(token) - DECAY * weights
+        g = np.stack([np.bincount(v.buckets, np.repeat(by_word[:, j], repeat), BUCKETS + k) + np.bincount(lexicon[1], by_word[lexicon[0], j], BUCKETS + k) for j in range(k)], 1) / len(token) - DECAY * weights
         gt = (seen - pairs) / len(token)
         for x, grad, m, s in ((weights, g, state[0], state[1]), (trans, gt, state[2], state[3])):
             m += 0.2 * (grad - m)
@@ -204,10 +202,9 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model | None:
     """fit() on the labelled documents of least hash, so many a language. docs: text, lang of training documents."""
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").alias("lang"), F.xxhash64("text").alias("place"), "text")
-    top = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()]
     first = Window.partitionBy("lang").orderBy("place")
     # Places alone are ranked, each once however many copies its text has; Spark keeps so many a language of each task before it shuffles.
-    least = labelled.filter(F.col("lang").isin(top)).select("lang", "place").distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_label).select("lang", "place")
+    least = labelled.select("lang", "place").distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_label).select("lang", "place")
     rows = labelled.join(F.broadcast(least), ["lang", "place"]).groupBy("lang", "place").agg(F.first("text").alias("text")).orderBy("lang", "place").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
