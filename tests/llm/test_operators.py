@@ -291,6 +291,16 @@ def test_list_entries_hold_at_fetch_time(spark):
     assert sorted((r.page_id, r.verdict, r.n_active) for r in got) == [(1, "none", 0), (2, "block", 1), (3, "allow", 2), (4, "none", 0), (5, "none", 0), (6, "none", 0), (7, "block", 1), (7, "block", 1), (8, "none", 0)]
 
 
+def test_domains_of_many_labels_match(spark):
+    from datetime import date
+
+    deep, day = "a.b.c.d.e.f.ex.com", date(2024, 1, 2)
+    entries = [("l", "allow", "domain", "ex.com", "add", day), ("l", "block", "domain", deep, "add", day)]
+    captures = [(1, f"http://{deep}/p", day), (2, f"http://x.y.{deep}", day), (3, "http://z.b.c.d.e.f.ex.com", day)]
+    got = urllists.evaluate(spark.createDataFrame(captures, "page_id long, url string, day date"), spark.createDataFrame(entries, "list string, verdict string, kind string, pattern string, action string, day date")).collect()
+    assert sorted((r.page_id, r.verdict, r.pattern, r.n_active) for r in got) == [(1, "block", deep, 2), (2, "block", deep, 2), (3, "allow", "ex.com", 1)]
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [(1, "a")]).limit(0)
     for out in (hilbert.hilbert_shards(docs), crf.identify(docs), suffix.remove_repeats(docs), sigtree.near_duplicates(docs), gru.score_documents(docs), budget.hierarchical_mix(budget.with_tree(docs), budget.LEVELS, budget.WEIGHTS), pigeonhole.leaks(docs, spark.createDataFrame([], "item_id long, text string")), additive.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"))):

@@ -14,8 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Parent domains looked up, from the host's end; longer hosts are looked up whole besides.
-LABELS = 6
 #: How specific a kind is.
 RANK = {"prefix": 3, "host": 2, "domain": 1}
 
@@ -42,7 +40,7 @@ def keys_of(captures: DataFrame) -> DataFrame:
     """A row for each capture and key under which an entry can match it."""
     labels = F.split("host", r"\.")
     n = F.size(labels)
-    parents = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(n, F.lit(LABELS)))), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, F.greatest(F.lit(1), n - k + 1), k), ".").alias("pattern")))
+    parents = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), n)), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, F.greatest(F.lit(1), n - k + 1), k), ".").alias("pattern")))
     own = F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("pattern")), F.struct(F.lit("prefix").alias("kind"), F.concat_ws("/", "host", "segment").alias("pattern")))
     return captures.filter("host IS NOT NULL AND day IS NOT NULL").select("page_id", "host", "day", F.explode(F.array_distinct(F.concat(own, F.when(n >= 2, parents).otherwise(F.array().cast("array<struct<kind:string,pattern:string>>"))))).alias("key")).select("page_id", "host", "day", "key.kind", "key.pattern")
 
