@@ -61,12 +61,12 @@ def forest_scores(spark, sf_dir):
 
 def wcc(spark, sf_dir):
     _checkpoints(spark)
-    return graph.weak_components(graph.account_edges(txn_events(spark, sf_dir).filter("debit >= 12000")))
+    return graph.weak_components(graph.account_edges(txn_events(spark, sf_dir)))
 
 
 def ego(spark, sf_dir):
     _checkpoints(spark)
-    return graph.ego(graph.account_edges(txn_events(spark, sf_dir).filter("debit >= 10000")), "ACC000001", 2)
+    return graph.ego(graph.account_edges(txn_events(spark, sf_dir)), "ACC000001", 2)
 
 
 def risk(spark, sf_dir):
