@@ -27,8 +27,24 @@ def name(*accounts):
     return ">".join(f"ACC{a:06}" for a in accounts)
 
 
+CHAIN = [(1, 2, 0, 50000.0), (2, 3, 48, 49000.0), (3, 4, 120, 48000.0), (4, 9, 400, 10.0), (4, 1, 600, 20.0)]
+
+
 def test_graph_queries_follow_small_payments(query):
     rows = [(1, 2, 0, 5.0), (2, 3, 1, 20000.0), (3, 4, 2, 7.0), (7, 8, 3, 9000.0), (8, 9, 4, -50000.0)]
     least = {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7}
     assert {(r.node, r.component) for r in query("wcc", rows)} == {(name(a), name(b)) for a, b in least.items()}
     assert {(r.node, r.hop) for r in query("ego_graph", rows)} == {(name(1), 0), (name(2), 1), (name(3), 2)}
+
+
+def test_all_flags_reach_the_score(query):
+    trip = [(5, 6, 0, 10000.0), (5, 6, 48, -9000.0), (6, 5, 700, 1.0)]
+    outlier = [(7, 20, 30 * i, 100.0 + i) for i in range(1, 10)] + [(7, 20, 400, 9000.0)]
+    got = {r.account_id: r for r in query("risk_scores", CHAIN + trip + outlier)}
+    flagged = lambda flag: {a for a, r in got.items() if flag in r.active_patterns.split("|")}
+    assert flagged("LAYERING") == {name(a) for a in (1, 2, 3, 4)}
+    assert flagged("ROUND_TRIP") == {name(5), name(6)}
+    assert flagged("HIGH_VALUE") == {name(7)}
+    # Of the rows whose movement the made-up balance drops (every seventh), 14 has an earlier one of its account.
+    assert flagged("BALANCE_BREACH") == {name(7)}
+    assert got[name(6)].score == 20.0 + 5.0

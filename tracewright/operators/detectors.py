@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DAY, DEFAULT, HOUR, Thresholds
@@ -94,6 +96,12 @@ def layering(txns: DataFrame, p: Thresholds = DEFAULT, hours: int | None = None,
     return found.select(F.array_join("path", ">").alias("path"), F.array_join(F.transform("seqs", lambda s: s.cast("string")), ">").alias("seqs"), F.col("hops").cast("long").alias("hops"), F.round(skim, 4).alias("skim"), F.when(F.col("hops") >= 5, "CRITICAL").otherwise("HIGH").alias("severity"))
 
 
+def layered_accounts(txns: DataFrame, p: Thresholds = DEFAULT) -> DataFrame:
+    """account_id of every account in a chain of layering(). Each is on a stretch of layer_hops hops, itself a chain, so longer ones are not grown."""
+    chains = layering(txns, replace(p, layer_max_hops=p.layer_hops))
+    return chains.select(F.explode(F.split("path", ">")).alias("account_id")).distinct()
+
+
 def beneficiaries(txns: DataFrame, p: Thresholds = DEFAULT) -> DataFrame:
     """Totals per counterparty, their z score within the account, and the high-value and new-high-value tests."""
     g = txns.filter("debit > 0").groupBy("account_id", "node").agg(F.sum("debit").alias("total"), F.count(F.lit(1)).alias("txns"), F.max("debit").alias("largest"))
@@ -104,14 +112,13 @@ def beneficiaries(txns: DataFrame, p: Thresholds = DEFAULT) -> DataFrame:
 
 
 def risk_scores(accounts: DataFrame, flags: dict[str, DataFrame], new_high_value: DataFrame, p: Thresholds = DEFAULT) -> DataFrame:
-    """Weighted flags of every account, 5 points for a new high-value beneficiary, and the tier. flags: tables with account_id."""
+    """Weighted flags of every account, 5 points for a new high-value beneficiary, and the tier. flags: a table with account_id for each weight."""
     score, names, out = F.lit(0.0), [], accounts.select("account_id").distinct()
     for name, weight in p.weights.items():
-        if name in flags:
-            out = out.join(flags[name].select("account_id").distinct().withColumn(f"is_{name}", F.lit(True)), "account_id", "left")
-            hit = F.coalesce(f"is_{name}", F.lit(False))
-            score = score + F.when(hit, 100 * weight).otherwise(0.0)
-            names.append(F.when(hit, name.upper()))
+        out = out.join(flags[name].select("account_id").distinct().withColumn(f"is_{name}", F.lit(True)), "account_id", "left")
+        hit = F.coalesce(f"is_{name}", F.lit(False))
+        score = score + F.when(hit, 100 * weight).otherwise(0.0)
+        names.append(F.when(hit, name.upper()))
     out = out.join(new_high_value.select("account_id").distinct().withColumn("is_new", F.lit(True)), "account_id", "left")
     new = F.coalesce("is_new", F.lit(False))
     score = F.round(F.least(F.lit(100.0), score + F.when(new, 5.0).otherwise(0.0)), 2)

@@ -70,8 +70,12 @@ def ego(spark, sf_dir):
 
 
 def risk(spark, sf_dir):
+    """All nine flags: both ends of round trips, every account of a chain, breaches of the balances of balance_breach."""
+    _checkpoints(spark)
     t = txn_events(spark, sf_dir)
-    flags = {"round_trip": detectors.round_trips(t), "fan_in": detectors.fan_in(t), "fan_out": detectors.fan_out(t), "smurfing": detectors.smurfing(t), "odd_hour": detectors.odd_hours(t), "velocity": detectors.bursts(t)}
+    trips = detectors.round_trips(t)
+    ends = trips.select("account_id").unionAll(trips.select(F.col("node").alias("account_id")))
+    flags = {"round_trip": ends, "layering": detectors.layered_accounts(t), "high_value": cleaning.iqr_outliers(t), "balance_breach": breach(spark, sf_dir), "fan_in": detectors.fan_in(t), "fan_out": detectors.fan_out(t), "smurfing": detectors.smurfing(t), "odd_hour": detectors.odd_hours(t), "velocity": detectors.bursts(t)}
     return detectors.risk_scores(t, flags, detectors.beneficiaries(t).filter("is_new_high_value"))
 
 
