@@ -37,6 +37,12 @@ def test_graph_queries_follow_small_payments(query):
     assert {(r.node, r.hop) for r in query("ego_graph", rows)} == {(name(1), 0), (name(2), 1), (name(3), 2)}
 
 
+def test_hops_of_up_to_three_days_are_followed(query):
+    assert {r.path for r in query("layering", CHAIN)} == {name(1, 2, 3, 4)}
+    assert {r.path for r in query("layering_maximal", CHAIN)} == {name(1, 2, 3, 4)}
+    assert name(1, 2, 3, 4) in {r.path for r in query("money_trail_forward", CHAIN)}
+
+
 def test_all_flags_reach_the_score(query):
     trip = [(5, 6, 0, 10000.0), (5, 6, 48, -9000.0), (6, 5, 700, 1.0)]
     outlier = [(7, 20, 30 * i, 100.0 + i) for i in range(1, 10)] + [(7, 20, 400, 9000.0)]

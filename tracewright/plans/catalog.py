@@ -30,7 +30,7 @@ def _checkpoints(spark: SparkSession) -> None:
 
 def layering(spark, sf_dir):
     _checkpoints(spark)
-    return detectors.layering(txn_events(spark, sf_dir), hours=6)
+    return detectors.layering(txn_events(spark, sf_dir))
 
 
 def maximal_layering(spark, sf_dir):
@@ -44,7 +44,7 @@ def money_trail(forward: bool):
         _checkpoints(spark)
         t = txn_events(spark, sf_dir)
         roots = t.groupBy("account_id").agg(F.sum("debit").alias("paid")).orderBy(F.desc("paid"), "account_id").limit(5).select(F.col("account_id").alias("node"))
-        return trails.trails(t, roots, forward, hours=6)
+        return trails.trails(t, roots, forward)
 
     return run
 
