@@ -254,6 +254,13 @@ def test_leaks_against_plain_distances(spark):
     assert got == want
 
 
+def test_short_items_are_found_at_word_limits(spark):
+    items = [(1, "Paris"), (2, "4 2"), (3, "Who won it in 1998, eh?"), (4, " "), (5, "c++"), (6, None)]
+    docs = [(10, "In  PARIS, 4\n2 times"), (11, "Parisian 14 2 and 4 23"), (12, "x who won it in 199, eh? y"), (13, "parisian paris c++ a"), (14, "pari s")]
+    got = {(r.doc_id, r.item_id, r.distance, r.start, r.stop) for r in pigeonhole.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(10, 1, 0, 3, 8), (10, 2, 0, 10, 13), (12, 3, 1, 2, 24), (13, 1, 0, 9, 14), (13, 5, 0, 15, 18)}
+
+
 def test_curve_visits_neighbours(spark):
     from pyspark.sql import functions as F
 

@@ -7,8 +7,10 @@ compared with Myers' bit-parallel distance, whose result is exact.
 Both sides are lower-cased (A-Z) and every run of white space counts as one space. k is a twentieth of an item's
 characters, rounded down.
 
-Defined results: null or empty documents hold nothing; null items and items under MIN_ITEM characters are not searched
-(a word or two is not a leak); equal items are each reported; equal documents each get their rows; of several places
+Items under MIN_ITEM characters are found unchanged and at word limits only: a limit is an end of the text or lies between two
+characters that are not both letters or digits.
+
+Defined results: null or empty documents hold nothing; null and empty items are in no document; equal items are each reported; equal documents each get their rows; of several places
 that hold one item in a document the one with the least distance is reported, the first on ties; no documents or no
 items give no rows; other columns are ignored.
 """
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Errors allowed for each character of an item.
 RATE = 0.05
-MIN_ITEM = 24
+#: Shorter items allow no error, and an item of a word or two is not one inside other words.
+MIN_ITEM = 20
 #: Characters of items in one automaton; more are searched in further passes over the documents, so that what is
 #: broadcast has this bound.
 BLOCK_CHARS = 4_000_000
@@ -37,6 +40,11 @@ def normal(text: str) -> str:
     return " ".join(text.translate(_lower).split())
 
 
+def at_limits(text: str, start: int, stop: int) -> bool:
+    """Whether text[start:stop] begins and ends at word limits."""
+    return not any(0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum() for i in (start, stop))
+
+
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
     """k + 1 pieces that cover the item, with their offsets; lengths differ by one at most."""
     cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
@@ -79,8 +87,8 @@ class Matcher:
         self.items, self.where = [], {}
         for item_id, text in items:
             item = normal(text)
-            if len(item) >= MIN_ITEM:
-                k = int(len(item) * rate)
+            if item:
+                k = int(len(item) * rate) if len(item) >= MIN_ITEM else 0
                 n = len(self.items)
                 self.items.append((item_id, item, masks(item), masks(item[::-1]), k))
                 for offset, piece in pieces(item, k):
@@ -110,6 +118,11 @@ class Matcher:
                     continue
                 done = s + k
                 low, high = max(0, s - k), max(0, s + len(item) + 2 * k)
+                if len(item) < MIN_ITEM:
+                    if not at_limits(text, s, s + len(item)):
+                        continue
+                    best = (0, s, s + len(item))
+                    break
                 if text.startswith(item, max(s, 0)):
                     hit = (0, max(s, 0), max(s, 0) + len(item))
                 elif found := myers(item, at, text[low:high], k):
