@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Separators of words everywhere in this subpackage: space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts of a batch that goes to Python.
+BATCH_BYTES = "4m"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,11 +32,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session (underscores for dots) that hold inside the block."""
+    values = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The rows of df, written as Parquet in the shared folder and read again: lineage ends here, lost executors cost no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of df, written as Parquet in the shared folder and read again: lineage ends here, lost executors cost no recomputation.
+
+    The plan's shuffle files go when it is done, its Arrow batches have a bound in bytes, and the table goes with forget()
+    or else when the application ends."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_execution_arrow_maxBytesPerBatch=BATCH_BYTES):
+        df.write.option("compression", codec).parquet(path)
+    system, at = _file_system(spark, path)
+    system.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
     out._tracewright_path = path
     return out
 
@@ -38,20 +73,20 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Deletes tables made by written(); only for those that no later plan reads."""
     for t in tables:
-        jvm = t.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t._tracewright_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        system, at = _file_system(t.sparkSession, t._tracewright_path)
+        system.delete(at, True)
+
 
+def lean(run: Callable) -> Callable:
+    """run (a function over Arrow batches) that gives the memory it freed back to the system, as Spark uses its worker again for other stages."""
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished plans now instead of at its next collection of garbage; its cleaner takes a moment."""
-    import gc
-    import time
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # not glibc
+            ctypes.CDLL(None).malloc_trim(0)
 
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+    return wrapped
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -20,16 +20,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import crc32_of
+from .common import crc32_of, lean
 from .textbytes import Texts, distinct, flat, gather, mix, prefix_hashes, ranges, slices, span_hashes, strings, words
 
 BUCKETS = 1 << 16
 PER_LABEL = 200
 LEXICON = 150
 SEQUENCE, STEPS, SPEED, DECAY = 48, 45, 0.08, 1e-4
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 U = np.uint64
 
@@ -219,9 +220,12 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], slice_bytes:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
+            # Texts of like length lie together: a slice takes as many steps as its longest has words.
+            batch = batch.take(pc.array_sort_indices(pc.binary_length(batch.column(columns.index("text")))))
             for texts in slices(batch.column(columns.index("text")), slice_bytes):
                 n = len(texts.offsets) - 1
                 lang, score = np.full(n, -1), np.zeros(n)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import crc32_of, forget, free_shuffles, written
+from .common import crc32_of, forget, lean, written
 from .huffman import binary
 from .textbytes import Texts, distinct, mix, slices, words
 
@@ -358,7 +358,6 @@ def score_documents(docs: DataFrame, rate: int = RATE, replica: int = REPLICA, r
                 row += n
 
     scored = written(docs.select("doc_id", "held_out", "text").mapInArrow(run, SCORED_AS), "scored")
-    free_shuffles(spark)
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.n")
     # Unseen words add log10(1) = 0 and are known 0 times, so an inner join is enough.
     more = rare.join(counts.select("key", "c"), "key").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("logs"), F.sum("n").alias("times"))

@@ -25,14 +25,15 @@ component of nulls alone has a null id; very long texts are whole; other columns
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import forget, free_shuffles, written
+from .common import forget, lean, written
 from .components import components
 from .huffman import binary
 from .textbytes import Texts, flat, mix, slices, words
@@ -44,7 +45,9 @@ LEAF = 16
 FAN = 4
 HUBS = 12
 #: Parts to spare (s) as hundredths of the elements in which linked sets may differ: for all sets, and for those of large blocks.
-COARSE, FINE = 6, 100
+COARSE, FINE = 20, 100
+#: Bytes of text whose sets are made at once.
+SLICE = 1 << 20
 #: Tokens of a task's share of a block.
 CHUNK = 6_000_000
 LEADERS = 32
@@ -315,10 +318,8 @@ def _candidates(table: DataFrame) -> DataFrame:
     spark = table.sparkSession
     emitted = table.select("node", F.explode(F.concat("sigs0", "sigs1")).alias("sig"))
     shared = written(emitted.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("sig", "least"), "shared")
-    free_shuffles(spark)
     steps = [table.select("node", F.lit(k).alias("step"), F.col(f"need{k}").alias("need"), F.explode(f"sigs{k}").alias("sig")) for k in (0, 1)]
     met = written(steps[0].unionAll(steps[1]).join(shared, "sig").distinct(), "met")
-    free_shuffles(spark)
     # A set with fewer signatures in common with others than a link takes has no link there; twice, as others go with it.
     for _ in range(2):
         able = met.groupBy("node", "step").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("most_needed")).filter("c >= most_needed").select("node", "step")
@@ -329,7 +330,6 @@ def _candidates(table: DataFrame) -> DataFrame:
         met = new
     found = components(met.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
     forget(met, shared)
-    free_shuffles(spark)
     return found
 
 
@@ -344,9 +344,10 @@ def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_t
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
 
+    @lean
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column(2)):
+            for texts in slices(batch.column(2), SLICE):
                 tokens, offsets = shingle_sets(texts, size)
                 n = len(offsets) - 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.row, n), batch.column(1).slice(texts.row, n), pa.array(np.diff(offsets)), pa.array(digests(tokens, offsets)), *signed(tokens, offsets, percent, COARSE)], ["doc_id", "version", "n", "node", "need0", "sigs0", "need1", "sigs1"])
@@ -358,16 +359,16 @@ def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_t
     chosen = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "version", "n")).alias("d"))
     chosen = _members(chosen, found, "node").select("node", "block", F.col("d.doc_id").alias("its_id"), F.col("d.version").alias("its_version"))
 
+    @lean
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column(2)):
+            for texts in slices(batch.column(2), SLICE):
                 tokens, offsets = shingle_sets(texts, size)
                 n = len(offsets) - 1
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(texts.row, n), batch.column(0).slice(texts.row, n), pa.array(np.diff(offsets)), binary(tokens.view(np.uint8), offsets * 8)], ["block", "node", "n", "tokens"])
 
     fetched = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["its_id"]) & (docs["version"] == chosen["its_version"])).select("node", "block", "text")
     members = written(fetched.mapInArrow(tokens_of, "block long, node long, n long, tokens binary"), "members")
-    free_shuffles(spark)
     heavy = members.groupBy("block").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > chunk_tokens).select("block")
     heavy = written(heavy, "heavy")
     blocks = heavy.count()
@@ -387,7 +388,6 @@ def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_t
         divided = _members(members.join(heavy, "block", "left_semi").drop("block"), found, "node")
         whole, members = members, written(light.unionByName(divided).select("block", "node", "n", "tokens"), "members")
         forget(whole)
-        free_shuffles(spark)
     total = members.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk_tokens))
     weight = members.groupBy("block").agg(F.ceil(F.sum("n") / chunk_tokens).cast("int").alias("chunks"))
@@ -401,7 +401,6 @@ def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_t
         heads = members.join(first.select(F.col("block").alias("b"), F.explode("heads").alias("node")), "node").join(large, "block")
         rows = rows.unionAll(heads.select("block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "node", "tokens", none))
     edges = written(_join_chunks(rows, tasks, percent), "links")
-    free_shuffles(spark)
     if many:
         # What is outside a large block's largest component is compared with all of the block.
         now = components(edges)
@@ -411,7 +410,6 @@ def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_t
         outside = held.join(biggest, "block").filter("known <> main").select("block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "node", "tokens", "known")
         more = written(_join_chunks(held.select("block", "chunk", "node", "tokens", "known").unionAll(outside), tasks, percent), "links")
         edges = edges.unionAll(more)
-        free_shuffles(spark)
     roots = components(edges)
     forget(members)
     return sets.select("doc_id", "version", "n", "node").join(roots, "node", "left").select("doc_id", "version", "n", F.expr("CASE WHEN n > 0 THEN coalesce(root, node) END").alias("label"))
@@ -426,13 +424,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row with the least id, and every row without words."""
-    labelled = labels(docs, percent, size)
-    kept = labelled.filter("n > 0").groupBy("label").agg(F.min(F.struct("doc_id", "version")).alias("k")).select("k.*", F.lit(True).alias("stays"))
-    wordless = labelled.filter("n = 0").select("doc_id", "version", F.lit(False).alias("stays")).distinct()
-    chosen = kept.unionAll(wordless).select(F.col("doc_id").alias("its_id"), F.col("version").alias("its_version"), "stays")
-    rows = docs.withColumn("its_text_hash", F.xxhash64("text"))
-    rows = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["its_id"]) & (rows["its_text_hash"] == chosen["its_version"]))
-    # Rows that are equal in id and text are copies of each other.
-    copy = F.row_number().over(Window.partitionBy("its_id", "its_version").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]))
-    return rows.withColumn("its_copy", copy).filter("its_copy = 1 OR NOT stays").select(*docs.columns)
+    """The rows of docs without near duplicates: of each component the row with the least id, and every row without words.
+
+    Rows that are equal in id and text are copies of each other; of them the least in the other columns stays."""
+    labelled = labels(docs, percent, size).filter("n > 0")
+    stays = labelled.groupBy("label").agg(F.min(F.struct("doc_id", "version")).alias("k")).select("label", "k")
+    # Texts leave their rows only where their row may go or has an equal.
+    judged = labelled.groupBy("label", "doc_id", "version").agg(F.count(F.lit(1)).alias("c")).join(stays, "label").withColumn("first", F.struct("doc_id", "version").eqNullSafe(F.col("k")))
+    judged = written(judged.filter("NOT first OR c > 1").select("doc_id", "version", "first"), "judged")
+
+    def has(some: DataFrame) -> Column:
+        return docs["doc_id"].cast("long").eqNullSafe(some["doc_id"]) & (F.xxhash64(docs["text"]) == some["version"])
+
+    several = judged.filter("first")
+    rows = docs.join(several, has(several), "left_semi").select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    others = [F.col("row")[f.name] for f in docs.schema if f.name not in ("doc_id", "text") and not re.search("map<|variant|interval", f.dataType.simpleString())]
+    one = rows.groupBy(F.col("row")["doc_id"].alias("doc_id"), F.xxhash64(F.col("row")["text"]).alias("version")).agg(F.min_by("row", F.struct(*others, F.lit(0))).alias("row"))
+    return docs.join(judged, has(judged), "left_anti").unionByName(one.select("row.*"))

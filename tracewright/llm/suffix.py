@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import forget, free_shuffles, written
+from .common import forget, lean, written
 from .huffman import binary
 from .textbytes import SLICE, Texts, gather, flat, mix, powers, prefix_hashes, ranges, slices, span_hashes
 
@@ -184,7 +184,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     spots = docs.join(wanted, same(docs, wanted)).select(docs["doc_id"], docs["version"], "text", "spots")
     around = written(spots.mapInArrow(surroundings, "doc_id long, version long, first int, shift int, h long, own long, bytes binary"), "around")
     forget(found)
-    free_shuffles(spark)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, rows, sizes, many = Family(), [], [], []
@@ -218,12 +217,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes // TASK))
     different = around.groupBy("h", "shift", "own", "bytes").agg(F.count(F.lit(1)).alias("n")).select("h", "shift", "own", "bytes", "n")
     marks = written(different.repartition(tasks, "h").mapInArrow(index, "h long, shift int, own long, `from` int, `to` int"), "marks")
-    free_shuffles(spark)
     where = around.select("doc_id", "version", "first", "shift", "h", "own").join(marks, ["h", "shift", "own"])
     span = F.struct((F.col("first") + F.col("from")).alias("start"), (F.col("first") + F.col("to") + length).alias("stop"))
     out = written(where.groupBy("doc_id", "version").agg(F.collect_set(span).alias("spans")), "spans")
     forget(around, marks)
-    free_shuffles(spark)
     return out
 
 
