@@ -6,10 +6,10 @@ each stage's rows to the shared folder and reads them again as the next stage's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracewright.llm import budget, crf, hilbert, pigeonhole, sigtree
-from tracewright.llm.common import read, written
+from tracewright.llm.common import forget, read, written
 
 #: Near duplicates here take five words and a similarity of 0.8.
 SHINGLE, PERCENT = 5, 80
@@ -20,11 +20,21 @@ SHARE = 0.7
 SHARDS = 40
 
 
+def text_key(docs: DataFrame) -> Column:
+    """What a text is known by between stages (64 bits), so that rows need not go through Python or a shuffle for what is decided on their text."""
+    return F.xxhash64(docs["text"])
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs but those whose text's key is in keys (a column doc_id); all columns stay as they are, whatever their names."""
+    gone = written(keys.distinct(), "gone")
+    return docs.join(gone, text_key(docs) == gone["doc_id"], "left_anti")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters (null texts too) and those whose best language has a mean marginal under LEAST_SCORE."""
-    model = crf.train(docs)
-    found = crf.predict(docs, model, docs.columns)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = crf.predict(docs.select(text_key(docs).alias("doc_id"), docs["text"]), crf.train(docs), ["doc_id"])
+    return without(docs, found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,20 +43,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go. They are known by the hash of their text, so ids may be null or repeat."""
-    found = pigeonhole.leaks(docs.select(F.xxhash64("text").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    gone = found.select(F.col("doc_id").alias("its_text_hash")).distinct()
-    return docs.withColumn("its_text_hash", F.xxhash64("text")).join(gone, "its_text_hash", "left_anti").select(*docs.columns)
+    """Documents that hold a test item go. They are known by their text, so ids may be null or repeat."""
+    found = pigeonhole.leaks(docs.select(text_key(docs).alias("doc_id"), docs["text"]), read(spark, sf_dir, "benchmark"))
+    return without(docs, found.select("doc_id"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the hierarchical budgets select; the one at a leaf's end stays whole."""
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string"))
-    keyed = docs.withColumn("its_key", key)
-    tree = budget.with_tree(keyed.withColumn("doc_id", F.col("its_key")))
+    """Documents that the hierarchical budgets select; the one at a leaf's end stays whole, and so do rows equal to one taken in id and text."""
+    key = F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.xxhash64(docs["text"]).cast("string"))
+    tree = budget.with_tree(docs.select(key.alias("doc_id"), docs["lang"], docs["source"], docs["text"]))
     mixed = budget.hierarchical_mix(tree, budget.LEVELS, budget.WEIGHTS, share=SHARE, max_epochs=1)
-    taken = mixed.filter("full_epochs > 0 OR part_tokens > 0").select(F.col("doc_id").alias("its_key")).distinct()
-    return keyed.join(taken, "its_key", "left_semi").select(*docs.columns)
+    taken = written(mixed.filter("full_epochs > 0 OR part_tokens > 0").select(F.col("doc_id").alias("its_key")).distinct(), "taken")
+    return docs.join(taken, key == taken["its_key"], "left_semi")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +70,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
