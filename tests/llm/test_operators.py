@@ -203,13 +203,15 @@ def test_forward_backward_against_all_paths():
         assert np.allclose(got[a:b], want / want.sum(1, keepdims=True))
 
 
-def test_nearest_vectors(spark):
+@pytest.mark.parametrize("part", [additive.PART, 200])
+def test_nearest_vectors(spark, part):
+    """With parts of 200 codes there are several waves, which changes nothing."""
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1500, 16))
     x[700:760] = x[50]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (2150, [1.0, None] * 8), (2200, [1.0])]
     got = defaultdict(list)
-    for r in additive.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+    for r in additive.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), part=part).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     hits, u = 0, x / np.linalg.norm(x, axis=1, keepdims=True)
     for q in range(0, 1500, 50):
@@ -222,6 +224,20 @@ def test_nearest_vectors(spark):
     assert [v for _, v, _ in sorted(got[50])] == [700, 701, 702, 703, 704]
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e-308])
+def test_vectors_of_extreme_size(spark, size):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((120, 8))
+    scaled = x * np.where(np.arange(120) % 3 == 0, size, 1.0)[:, None]
+    got = {(r.query_id, r.vec_id): r.score for r in additive.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(scaled)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 50, 100):
+        s = u @ u[q]
+        s[q] = -2
+        for v in np.argsort(-s)[:5]:
+            assert abs(got[q, v] - s[v]) < 1e-6
+
+
 def distance(a, b):
     """Least edit distance of a to any part of b."""
     row = [0] * (len(b) + 1)

@@ -5,12 +5,17 @@ that sum. Codebooks come from residuals and a joint least-squares fit on a bound
 from a beam search over partial sums. A query's table of inner products with all codewords scores a vector by CODEBOOKS
 look-ups; the RERANK best by 2 <q, x> - |x|^2 are compared exactly on the original vectors in double precision.
 
-Every vector is indexed. Equal vectors are one entry with its least ids, as many as an answer can hold, so thousands of copies
-cost one. Queries go out in blocks of QUERIES; each block is scored against all codes, and each task returns its best.
+Every vector is indexed and every code scored: on vectors without clusters, lists by the first codeword would have to be
+probed to more than a third for a recall of 0.9. Equal vectors are one entry with its least ids, as many as an answer can
+hold, so thousands of copies cost one. Codes travel packed in chunks, a row each. Chunks lie in parts of about PART codes,
+queries in blocks of at most BLOCK, and a task scores one block against one part. Parts are taken in waves that double: a
+wave's tasks return what is no worse than the RERANK-th best of all parts before, which is about RERANK rows a query and
+wave however many tasks there are.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part; the query's own id is no candidate, its copies are; a query with fewer candidates gets all of them; ties go to the
-smaller id; repeated ids are candidates once; no vectors give no rows; other columns are ignored.
+part; components of any finite size are scaled by a power of two first, which changes no cosine; the query's own id is no
+candidate, its copies are; a query with fewer candidates gets all of them; ties go to the smaller id; repeated ids are
+candidates once; no vectors or no queries give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +26,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import written
+from .common import forget, lean, written
 
 CODEBOOKS, WORDS = 16, 256
 SAMPLE = 8192
 BEAM = 6
 RERANK = 500
-QUERIES = 8192
-#: Vectors of a scoring task, at least.
-TASK = 4096
+#: Codes of a chunk, codes of a part (about) and queries of a block (at most).
+CHUNK, PART, BLOCK = 4096, 1 << 20, 1 << 14
+#: Smaller tables have up to so many blocks, of this many queries or more, so that there are tasks enough.
+FEW_BLOCKS, LEAST_BLOCK = 32, 48
+#: Queries and codes that are scored together within a task.
+SOME_QUERIES, SOME_CODES = 256, 8192
+#: Codes as they travel.
+CHUNKS = "chunk long, n long, entries binary, codes binary, norms binary"
+FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
     return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
 
 
@@ -93,15 +105,79 @@ def fit(x: np.ndarray, books: int = CODEBOOKS, words: int = WORDS, rounds: int =
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array of double) of the vectors that take part, each id once."""
+    """vec_id, v (array of double, scaled by a power of two so that squares neither overflow nor vanish) of the vectors that take part, each id once."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
     sizes = v.groupBy(F.size("v").alias("d")).count().filter("d > 0").orderBy(F.desc("count"), "d").first()
     v = v.filter(F.size("v") == (sizes["d"] if sizes else 0))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return v.filter(finite).filter(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
-
-
-def nearest(vectors: DataFrame, every: int = 50, top: int = 5, rerank: int = RERANK) -> DataFrame:
+    v = v.filter(finite).filter(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    largest = F.array_max(F.transform("v", F.abs))
+    power = F.pow(F.lit(2.0), F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(largest)).cast("double"))))
+    return v.withColumn("power", power).select("vec_id", F.transform("v", lambda x: x * F.col("power")).alias("v"))
+
+
+def table_scores(q: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, floor: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, code and score of each query's best codes by look-up tables, keep at most, none under the query's floor."""
+    tables = np.ascontiguousarray((2 * np.einsum("qd,mkd->mkq", q, books)).astype(np.float32))
+    best, who = np.full((len(q), keep), -np.inf, np.float32), np.full((len(q), keep), -1, np.int64)
+    for at in range(0, len(codes), SOME_CODES):
+        c = codes[at : at + SOME_CODES]
+        s = np.repeat(-norms[at : at + SOME_CODES, None], len(q), 1)
+        for m in range(c.shape[1]):
+            s += tables[m][c[:, m]]
+        both = np.concatenate([best, s.T], 1)
+        top = np.argpartition(-both, keep - 1, axis=1)[:, :keep]
+        which = np.concatenate([who, np.broadcast_to(np.arange(at, at + len(c)), (len(q), len(c)))], 1)
+        best, who = np.take_along_axis(both, top, 1), np.take_along_axis(which, top, 1)
+    row, column = np.nonzero((who >= 0) & (best >= floor[:, None]))
+    return row, who[row, column], best[row, column]
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def candidates(codes: DataFrame, queries: DataFrame, books: np.ndarray, rerank: int, part: int = PART, block: int = BLOCK) -> DataFrame:
+    """query_id, entry, near of the rerank codes that look-up tables put first. codes: CHUNKS; queries: query_id, q."""
+    spark = codes.sparkSession
+    sent = spark.sparkContext.broadcast(books)
+    parts, asked = -(-(codes.agg(F.sum("n")).first()[0] or 0) // part), queries.count()
+    blocks = max(-(-asked // block), min(FEW_BLOCKS, -(-asked // LEAST_BLOCK)))
+    codes = codes.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int"))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        entry, norm, packed = (np.frombuffer(b"".join(left[c].to_pylist()), kind) for c, kind in (("entries", np.int64), ("norms", np.float32), ("codes", np.uint8)))
+        packed = packed.reshape(len(entry), -1) if len(entry) else packed
+        ids, floor = right["query_id"].to_numpy(), right["floor"].to_numpy()
+        found = [pa.table({"query_id": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})]
+        for at in range(0, len(ids) if len(entry) else 0, SOME_QUERIES):
+            q = unit(_matrix(right["q"].slice(at, SOME_QUERIES).combine_chunks()))
+            row, code, near = table_scores(q, packed, norm, sent.value, floor[at : at + SOME_QUERIES], rerank)
+            found.append(pa.table({"query_id": ids[at + row], "entry": entry[code], "near": near}))
+        return pa.concat_tables(found)
+
+    lowest = F.lit(float("-inf")).cast("float")
+    best, first = None, 0
+    while first < parts:
+        last = min(parts, max(1, 2 * first))
+        asking = queries.withColumn("floor", lowest)
+        if best is not None:
+            floors = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= rerank, F.min("near")).alias("floor"))
+            asking = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", lowest))
+        wave = codes.filter((F.col("part") >= first) & (F.col("part") < last)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        asking = asking.withColumn("part", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+        new = wave.groupBy("block", "part").cogroup(asking.groupBy("block", "part")).applyInArrow(score, "query_id long, entry long, near float")
+        both = new if best is None else best.unionAll(new)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "entry"))
+        best, before = written(both.withColumn("r", rank).filter(F.col("r") <= rerank).drop("r"), "candidates"), best
+        if before is not None:
+            forget(before)
+        first = last
+    return best
+
+
+def nearest(vectors: DataFrame, every: int = 50, top: int = 5, rerank: int = RERANK, part: int = PART) -> DataFrame:
     """query_id, rank, vec_id, score: the top of every query (rows whose id is divisible by every) by cosine."""
     spark = vectors.sparkSession
     v = written(usable(vectors).withColumn("same", F.struct(F.xxhash64("v").alias("a"), F.hash("v").alias("b"))), "vectors")
@@ -109,66 +185,38 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, rerank: int = RER
     rank = F.row_number().over(Window.partitionBy("same").orderBy("vec_id"))
     members = written(v.select("same", "vec_id").withColumn("r", rank).filter(F.col("r") <= top + 1), "members")
     entries = v.join(members.filter("r = 1").select(F.col("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("entry"), "v")
-    sample = [r[0] for r in entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").collect()]
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = fit(unit(np.array(sample)))
+    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    queries = v.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    if not len(sample) or queries.isEmpty():
+        return spark.createDataFrame([], FOUND)
+    books = fit(unit(_matrix(sample)))
     sent = spark.sparkContext.broadcast(books)
 
+    @lean
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                x = unit(some.column(1).flatten().to_numpy().reshape(some.num_rows, -1))
-                codes, norms = encode(x, sent.value)
-                m = codes.shape[1]
-                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(m), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([some.column(0), packed, pa.array(norms)], ["entry", "codes", "norm"])
-
-    codes = written(entries.mapInArrow(code, "entry long, codes binary, norm float"), "codes")
-    n = codes.count()
-    tasks = max(1, min(-(-n // TASK), max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (1 << 20))))
-    dealt = codes.repartition(tasks)
-    queries = v.filter(F.col("vec_id") % every == 0)
-    found, rows = None, queries.orderBy("vec_id").toLocalIterator()
-    while block := [r for _, r in zip(range(QUERIES), rows, strict=False)]:
-        ids = np.array([r["vec_id"] for r in block])
-        asked = spark.sparkContext.broadcast((ids, unit(np.array([r["v"] for r in block]))))
-
-        def score(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            ids, q = asked.value
-            tables = np.ascontiguousarray((2 * np.einsum("qd,mkd->mkq", q, sent.value)).astype(np.float32))
-            best = np.full((len(ids), rerank), -np.inf, np.float32)
-            who = np.full((len(ids), rerank), -1, np.int64)
-            for batch in batches:
-                entry, norm = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                all_codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(entry), -1)
-                for at in range(0, len(entry), 2048):
-                    c = all_codes[at : at + 2048]
-                    s = np.repeat(-norm[at : at + 2048, None], len(ids), 1)
-                    for m in range(c.shape[1]):
-                        s += tables[m][c[:, m]]
-                    both = np.concatenate([best, s.T], 1)
-                    top_of = np.argpartition(-both, rerank - 1, axis=1)[:, :rerank]
-                    new = np.concatenate([who, np.broadcast_to(entry[at : at + 2048], (len(ids), len(c)))], 1)
-                    best, who = np.take_along_axis(both, top_of, 1), np.take_along_axis(new, top_of, 1)
-            real = who >= 0 if len(ids) else np.zeros((0, rerank), bool)
-            real &= np.isfinite(best)
-            row = np.repeat(np.arange(len(ids)), rerank)[real.reshape(-1)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(who[real]), pa.array(best[real])], ["query_id", "entry", "near"])
-
-        part = dealt.mapInArrow(score, "query_id long, entry long, near float")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "entry"))
-    candidates = written(found.withColumn("r", best).filter(F.col("r") <= rerank).select("query_id", "entry"), "candidates")
-    asked_v = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+            for at in range(0, batch.num_rows, CHUNK):
+                some = batch.slice(at, CHUNK)
+                x = unit(_matrix(some.column(1)))
+                coded = [encode(x[k : k + 1000], sent.value) for k in range(0, len(x), 1000)]
+                blobs = [some.column(0).to_numpy(), *(np.concatenate(c) for c in zip(*coded, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(x)]), *[pa.array([np.ascontiguousarray(b).tobytes()], pa.binary()) for b in blobs]], ["chunk", "n", "entries", "codes", "norms"])
+                chunk += 1
+
+    codes = written(entries.mapInArrow(code, CHUNKS), "codes")
+    found = candidates(codes, queries, books, rerank, part)
+    forget(codes)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    exact = candidates.join(entries, "entry").join(asked_v, "query_id").select("query_id", "entry", (dot("q", "v") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("v", "v")))).alias("score"))
+    exact = found.join(entries, "entry").join(queries, "query_id").select("query_id", "entry", (dot("q", "v") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("v", "v")))).alias("score"))
     # Entries tie at the last score kept too: their ids decide, so all entries with one of the top + 1 scores stay.
     few = exact.withColumn("r", F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("r") <= top + 1).drop("r")
     heads = members.filter("r = 1").select("same", F.col("vec_id").alias("entry"))
     all_ids = few.join(heads, "entry").join(members.select("same", "vec_id"), "same").filter("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return all_ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    out = all_ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    out = written(out, "nearest")
+    forget(v, members, found)
+    return out
