@@ -7,13 +7,13 @@ equal anchors in the same place, so strings can only repeat where anchors do.
 2. Spark counts anchors; those that occur once are done. For the others, the bytes around them (their strings lie in these)
    are read from the documents.
 3. Equal surroundings are first counted together by Spark's partial aggregation, so what thousands of copies share travels
-   once a task. The rest meets by anchor. There each batch of suffixes is sorted, is scanned against the sorted levels that
-   exist, marks the suffixes that match on both sides, and becomes a level itself; levels of like size merge.
+   once a task. The rest meets by anchor; the surroundings of an anchor that has more than HOT of them are cut at the longer
+   anchors of LONG bytes in them and meet by both. A task adds them to a family batch by batch: a batch gets its suffix array
+   (the order of its strings by anchor, place and bytes), is merged with each level that exists to scan for strings that lie
+   side by side and are equal byte for byte, and what no level holds becomes a level itself; levels of like size merge.
+   A family can be saved, and later batches scanned against what was stored.
 4. Marked strings go back to their documents, where what they cover is removed.
 
-A level orders suffixes by a 64-bit fingerprint of their first LENGTH bytes rather than by the bytes: the scan only asks
-whether these are equal, and two suffixes count as equal if fingerprint and anchor hash (64 bits each) both are.
-
 Defined results: null and empty texts have no bytes and lose none; texts under LENGTH bytes lose none; equal rows count as
 occurrences of each other; overlapping occurrences in one document count; documents of any length are cut into pieces that
 overlap, so none is skipped; rows with one doc_id but other texts are told apart by the text; other columns are ignored.
@@ -30,12 +30,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import forget, lean, written
 from .huffman import binary
-from .textbytes import SLICE, Texts, gather, flat, mix, powers, prefix_hashes, ranges, slices, span_hashes
+from .textbytes import Texts, gather, flat, mix, powers, prefix_hashes, ranges, slices, span_hashes
 
 LENGTH = 200
 GRAM = 50
-#: Suffixes that one task of the index holds, about.
+#: Surroundings above which an anchor is split, and the bytes of the anchors that split it.
+HOT, LONG = 5_000, 150
+#: Suffixes that one task of the index holds, about; a batch has SLICE bytes of surroundings.
 TASK = 4_000_000
+#: Strings whose bytes are sorted at once.
+BLOCK = 1 << 15
+
+#: Bytes of a batch of documents or surroundings.
+SLICE = 2 << 20
 
 U = np.uint64
 _PLACE = 24  # bits for a place in a slice
@@ -85,52 +92,101 @@ def text_anchors(texts: Texts, length: int, gram: int) -> tuple[np.ndarray, ...]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def arranged(tags: np.ndarray, starts: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes by tag and by their first length bytes, and which of them equals the one before it in that order."""
+    n = len(tags)
+    order, same = np.argsort(tags, kind="stable"), np.zeros(n, bool)
+    ranked = tags[order]
+    begins = np.concatenate(([True], ranked[1:] != ranked[:-1])) if n else np.zeros(0, bool)
+    alone = begins & np.concatenate((begins[1:], [True])) if n else begins
+    tied = np.flatnonzero(~alone)
+    if not len(tied):
+        return order, same
+    run = np.cumsum(begins)[tied]
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+    at = 0
+    while at < len(tied):
+        stop = min(at + BLOCK, len(tied))
+        # Whole runs; one that is longer than a block is sorted alone.
+        if stop < len(tied) and run[stop] == run[stop - 1]:
+            stop = int(np.searchsorted(run, run[stop], "left"))
+            if stop <= at:
+                stop = int(np.searchsorted(run, run[at], "right"))
+        here = tied[at:stop]
+        which, own = order[here], run[at:stop]
+        rows = windows[starts[which]]
+        by = np.argsort(rows.view(f"S{length}").ravel(), kind="stable")
+        by = by[np.argsort(own[by], kind="stable")]
+        order[here], rows = which[by], rows[by]
+        same[here[1:]] = (own[1:] == own[:-1]) & (rows[1:] == rows[:-1]).all(1)
+        at = stop
+    return order, same
+
+
 class Family:
-    """Sorted levels of suffixes; a batch marks what it shares with itself and with them, then joins them."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.anchor: list[np.ndarray] = []
-        self.marked = np.zeros(1 << 16, bool)
-        self.count = 0
-
-    def _anchors(self, suffixes: np.ndarray) -> np.ndarray:
-        if len(self.anchor) > 1:
-            self.anchor = [np.concatenate(self.anchor)]
-        return self.anchor[0][suffixes]
-
-    def add(self, prints: np.ndarray, anchor: np.ndarray) -> None:
-        n, at = len(prints), self.count
-        if at + n > len(self.marked):
-            self.marked = np.concatenate([self.marked, np.zeros(max(n, len(self.marked)), bool)])
-        self.anchor.append(anchor)
-        self.count += n
-        order = np.argsort(prints, kind="stable")
-        prints, suffix = prints[order], order + at
-        own = anchor[order]
-        same = (prints[1:] == prints[:-1]) & (own[1:] == own[:-1])
-        self.marked[suffix[1:][same]] = self.marked[suffix[:-1][same]] = True
-        keep = np.concatenate(([True], ~same)) if n else np.zeros(0, bool)
-        # A run's first suffix stands for it; whether it is marked is read again at the end of the run's scan.
-        run = np.cumsum(keep) - 1
-        heads, head_prints, head_own = suffix[keep], prints[keep], own[keep]
-        hit = np.zeros(len(heads), bool)
-        for level_prints, level_suffix in self.levels:
-            place = np.searchsorted(level_prints, head_prints)
-            place[place == len(level_prints)] = 0
-            found = np.flatnonzero((level_prints[place] == head_prints) & ~hit)
-            found = found[self._anchors(level_suffix[place[found]]) == head_own[found]]
-            self.marked[level_suffix[place[found]]] = True
-            hit[found] = True
-        self.marked[suffix[hit[run]]] = True
-        fresh = ~hit
-        if fresh.any():
-            self.levels.append((head_prints[fresh], heads[fresh]))
-        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) > len(self.levels[-2][0]):
-            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            prints, suffixes = np.concatenate([b, a]), np.concatenate([y, x])
-            order = np.argsort(prints, kind="stable")
-            self.levels.append((prints[order], suffixes[order]))
+    """Levels of suffix arrays over distinct strings; a batch marks what it shares with itself and with them, then joins them.
+
+    A suffix has a tag (strings can only be equal if their tags are) and a start in the bytes of all batches."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.count, self.size = length, 0, 0
+        self.levels: list[np.ndarray] = []
+        self.data, self.tags, self.starts, self.marked = np.zeros(1 << 16, np.uint8), np.zeros(1 << 12, U), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
+
+    def _put(self, name: str, at: int, new: np.ndarray) -> None:
+        held = getattr(self, name)
+        if at + len(new) > len(held):
+            held = np.concatenate([held, np.zeros(max(len(new), len(held)), held.dtype)])
+            setattr(self, name, held)
+        held[at : at + len(new)] = new
+
+    def _arranged(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order, same = arranged(self.tags[suffixes], self.starts[suffixes], self.data[: self.size], self.length)
+        return suffixes[order], same
+
+    def add(self, data: np.ndarray, starts: np.ndarray, tags: np.ndarray) -> None:
+        """A batch: its bytes, where strings start in them, and the strings' tags."""
+        new = np.arange(self.count, self.count + len(starts))
+        self._put("data", self.size, data)
+        self._put("starts", self.count, starts + self.size)
+        self._put("tags", self.count, tags)
+        self._put("marked", self.count, np.zeros(len(starts), bool))
+        self.count, self.size = self.count + len(starts), self.size + len(data)
+        array, same = self._arranged(new)
+        self._mark(array, same)
+        # A run's first suffix stands for it; whether it is marked is read again at the end of the scan.
+        heads, run = array[~same], np.cumsum(~same) - 1
+        met = np.zeros(self.count, bool)
+        for level in self.levels:
+            both, same = self._arranged(np.concatenate([level, heads[~met[heads]]]))
+            # Strings of a level are distinct, and so are heads: equal ones are one of each.
+            self._mark(both, same)
+            met[both[same]] = True
+            met[both[:-1][same[1:]]] = True
+        self.marked[array] |= met[heads[run]] if len(array) else False
+        fresh = heads[~met[heads]]
+        if len(fresh):
+            self.levels.append(fresh)
+        while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
+            small, large = self.levels.pop(), self.levels.pop()
+            self.levels.append(self._arranged(np.concatenate([large, small]))[0])
+
+    def _mark(self, array: np.ndarray, same: np.ndarray) -> None:
+        self.marked[array[same]] = True
+        self.marked[array[:-1][same[1:]]] = True
+
+    def save(self, file) -> None:
+        held = {"data": self.data[: self.size], "tags": self.tags[: self.count], "starts": self.starts[: self.count], "marked": self.marked[: self.count], "length": np.array(self.length)}
+        np.savez(file, **held, **{f"level{k}": level for k, level in enumerate(self.levels)})
+
+    @staticmethod
+    def load(file) -> Family:
+        with np.load(file) as held:
+            out = Family(int(held["length"]))
+            out.data, out.tags, out.starts, out.marked = (held[k].copy() for k in ("data", "tags", "starts", "marked"))
+            out.size, out.count = len(out.data), len(out.tags)
+            out.levels = [held[f"level{k}"] for k in range(sum(x.startswith("level") for x in held.files))]
+        return out
 
 
 def runs_of(marked: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +216,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(x.astype(np.int32)) for x in (place, first, last)], pa.array(h)], ["doc_id", "version", "place", "first", "last", "h"])
 
     found = written(docs.mapInArrow(find, "doc_id long, version long, place int, first int, last int, h long"), "anchors")
-    often = found.groupBy("h").count().filter("count > 1").select("h")
+    # A table of its own, so that Spark can split the anchor that a common passage repeats.
+    often = written(found.groupBy("h").count().filter("count > 1").select("h"), "often")
     wanted = found.join(often, "h", "left_semi").groupBy("doc_id", "version").agg(F.collect_set(F.struct("h", "place", "first", "last")).alias("spots"))
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,40 +240,56 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["version"] == b["version"])
     spots = docs.join(wanted, same(docs, wanted)).select(docs["doc_id"], docs["version"], "text", "spots")
     around = written(spots.mapInArrow(surroundings, "doc_id long, version long, first int, shift int, h long, own long, bytes binary"), "around")
-    forget(found)
+    forget(found, often)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, rows, sizes, many = Family(), [], [], []
+    @lean
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(3))
-            h = batch.column(0).to_numpy()
+            row, _, first, last, key = anchors(data, offsets, length, min(LONG, length))
+            start, stop = offsets[row] + first, offsets[row] + last + length
+            rows = pa.array(row)
+            meet = mix(batch.column(0).to_numpy()[row].view(U) ^ key.view(U)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(meet), *[batch.column(k).take(rows) for k in range(3)], pa.array(first.astype(np.int32)), binary(*gather(data, start, stop)), batch.column(4).take(rows)], ["meet", "h", "shift", "own", "skip", "bytes", "n"])
+
+    @lean
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, rows, sizes, many = Family(length), [], [], []
+        for batch in batches:
+            data, offsets = flat(batch.column(5))
+            # Equal strings have the same anchors in the same places.
+            meet, shift = batch.column(0).to_numpy().view(U), batch.column(2).to_numpy() - batch.column(4).to_numpy()
             row = 0
-            while row < len(h):
+            while row < len(meet):
                 end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, "right")) - 1)
                 count = np.diff(offsets[row : end + 1]) - length + 1
                 start = ranges(offsets[row:end] - offsets[row], count)
-                prints = span_hashes(prefix_hashes(data[offsets[row] : offsets[end]]), start, start + length)
-                # Equal strings lie alike around their anchor.
-                shift = np.repeat(batch.column(1).to_numpy()[row:end], count) - (start - np.repeat(offsets[row:end] - offsets[row], count))
-                family.add(mix(prints ^ shift.astype(U)), np.repeat(h[row:end], count))
+                place = np.repeat(shift[row:end], count) - (start - np.repeat(offsets[row:end] - offsets[row], count))
+                family.add(data[offsets[row] : offsets[end]], start, mix(np.repeat(meet[row:end], count) ^ mix(place.astype(U))))
                 sizes.append(count)
                 row = end
-            rows.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2)], ["h", "shift", "own"]))
-            many.append(batch.column(4).to_numpy() > 1)
+            rows.append(pa.RecordBatch.from_arrays([batch.column(k) for k in range(1, 5)], ["h", "shift", "own", "skip"]))
+            many.append(batch.column(6).to_numpy() > 1)
         if not rows:
             return
         sizes = np.concatenate(sizes)
         marked = family.marked[: family.count] | np.repeat(np.concatenate(many), sizes)
         row, first, last = runs_of(marked, np.concatenate(([0], np.cumsum(sizes))))
         rows = pa.Table.from_batches(rows).combine_chunks().take(pa.array(row))
+        skip = rows["skip"].to_numpy()
+        rows = rows.drop_columns("skip")
         for name, x in (("from", first), ("to", last)):
-            rows = rows.append_column(name, pa.array(x.astype(np.int32)))
+            rows = rows.append_column(name, pa.array((x + skip).astype(np.int32)))
         yield from rows.to_batches(max_chunksize=10_000)
 
-    suffixes = around.agg(F.sum(F.octet_length("bytes") - length + 1)).first()[0] or 0
+    different = written(around.groupBy("h", "shift", "own", "bytes").agg(F.count(F.lit(1)).alias("n")).select("h", "shift", "own", "bytes", "n"), "different")
+    hot = written(different.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT).select("h"), "hot")
+    whole = different.join(hot, "h", "left_anti").select(F.col("h").alias("meet"), "h", "shift", "own", F.lit(0).alias("skip"), "bytes", "n")
+    cut = different.join(hot, "h", "left_semi").select("h", "shift", "own", "bytes", "n").mapInArrow(split, "meet long, h long, shift int, own long, skip int, bytes binary, n long")
+    suffixes = different.agg(F.sum(F.octet_length("bytes") - length + 1)).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes // TASK))
-    different = around.groupBy("h", "shift", "own", "bytes").agg(F.count(F.lit(1)).alias("n")).select("h", "shift", "own", "bytes", "n")
-    marks = written(different.repartition(tasks, "h").mapInArrow(index, "h long, shift int, own long, `from` int, `to` int"), "marks")
+    marks = written(whole.unionAll(cut).repartition(tasks, "meet").mapInArrow(index, "h long, shift int, own long, `from` int, `to` int"), "marks")
+    forget(different, hot)
     where = around.select("doc_id", "version", "first", "shift", "h", "own").join(marks, ["h", "shift", "own"])
     span = F.struct((F.col("first") + F.col("from")).alias("start"), (F.col("first") + F.col("to") + length).alias("stop"))
     out = written(where.groupBy("doc_id", "version").agg(F.collect_set(span).alias("spans")), "spans")
