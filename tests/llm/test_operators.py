@@ -10,8 +10,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.llm import additive, budget, crf, gru, hilbert, huffman, pigeonhole, sigtree, suffix, urllists
+from tracewright.llm.textbytes import Texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -51,16 +53,37 @@ def test_repeats_are_those_of_a_plain_scan(spark, odd_texts):
     assert order(tuple(r) for r in suffix.remove_repeats(frame(spark, odd_texts)).collect()) == order(want)
 
 
-def test_suffix_family_merges_levels():
+def test_hot_anchors_are_split_without_loss(spark, odd_texts, monkeypatch):
+    want = order(tuple(r) for r in suffix.remove_repeats(frame(spark, odd_texts)).collect())
+    monkeypatch.setattr(suffix, "HOT", 0)
+    assert order(tuple(r) for r in suffix.remove_repeats(frame(spark, odd_texts)).collect()) == want
+
+
+def test_suffix_arrays_order_by_tag_and_bytes(monkeypatch):
+    monkeypatch.setattr(suffix, "BLOCK", 7)
+    rng = np.random.default_rng(6)
+    data = rng.integers(0, 2, 400).astype(np.uint8)
+    tags, starts = rng.integers(0, 12, 300).astype(np.uint64), rng.integers(0, 395, 300)
+    order_, same = suffix.arranged(tags, starts, data, 5)
+    keys = [(int(tags[i]), data[starts[i] : starts[i] + 5].tobytes()) for i in order_]
+    assert keys == sorted(keys) and same.tolist() == [False] + [x == y for x, y in zip(keys, keys[1:])]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_suffix_family_merges_levels(tmp_path, stored):
+    """Every batch meets those before it, also where the family was stored between them."""
     rng = np.random.default_rng(0)
-    family, seen = suffix.Family(), []
-    for n in (50, 3, 70, 1, 1, 40):
-        x = rng.integers(0, 120, n).astype(np.uint64)
-        seen += x.tolist()
-        family.add(x, np.zeros(n, np.int64))
+    family, seen = suffix.Family(4), []
+    for k, n in enumerate((50, 3, 70, 1, 1, 40)):
+        data, tags = rng.integers(0, 3, n + 3).astype(np.uint8), rng.integers(0, 2, n).astype(np.uint64)
+        seen += [(t, data[i : i + 4].tobytes()) for i, t in enumerate(tags.tolist())]
+        family.add(data, np.arange(n), tags)
+        if stored:
+            family.save(tmp_path / f"{k}.npz")
+            family = suffix.Family.load(tmp_path / f"{k}.npz")
     count = Counter(seen)
-    assert family.marked[: len(seen)].tolist() == [count[x] > 1 for x in seen]
-    assert len(family.levels) < 4
+    assert family.marked[: family.count].tolist() == [count[x] > 1 for x in seen]
+    assert len(family.levels) < 5 and sum(map(len, family.levels)) == len(count)
 
 
 def components_of(rows, n, percent):
@@ -132,32 +155,94 @@ def test_base_scores_and_gradient(spark, odd_texts):
     n, v = sum(count.values()), len(count)
     want = order((d, h, len(t), sum(count[w] > 0 for w in t), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), 6)) for (d, _), t, h in zip(rows, tokens, held))
     for common in (gru.COMMON, 5):
-        got = gru.score_documents(frame(spark, rows), rate=1, common=common).collect()
+        got = gru.score_documents(frame(spark, rows), common=common).collect()
         assert order((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+
+
+class Corpus:
+    """What gru.new_network() takes of a corpus, made up: 40 listed words in 6 classes, the tenth one the end."""
+
+    class_of, end = np.sort(np.arange(40) % 6), 9
+    often, tails = np.arange(40, 0, -1.0), np.full(gru.TAIL, 3.0)
+
+
+def windows(rng, steps, lanes):
+    target = rng.integers(0, 40 + gru.TAIL, (steps, lanes))
+    given = np.concatenate([np.full((1, lanes), 9), target[:-1]])
+    return given, target, np.ones((steps, lanes), bool)
+
+
+def test_gradient_of_the_network():
     rng = np.random.default_rng(0)
-    flat, w = gru.new_network(np.ones(gru.CLASSES)), rng.integers(0, gru.CLASSES, (5, 7)).astype(np.uint8)
-    g = gru.gradient(flat, w)[1]
-    for i in rng.integers(0, gru.SIZE, 30):
-        a, b = flat.copy(), flat.copy()
-        a[i] += 0.01
-        b[i] -= 0.01
-        assert abs((gru.gradient(a, w)[0] - gru.gradient(b, w)[0]) / 0.02 - g[i]) < 1e-3
+    net, w, h = gru.new_network(Corpus), windows(rng, 9, 4), rng.standard_normal((4, gru.HIDDEN)).astype(np.float32)
+    g = gru.gradient(net, *w, h)[1]
+    places = [i for p in net.like(np.arange(len(net.flat), dtype=np.float32)).p.values() for i in rng.choice(p.reshape(-1), 12).astype(int)]
+    for i in places:
+        a, b = net.like(net.flat.copy()), net.like(net.flat.copy())
+        a.flat[i] += 0.01
+        b.flat[i] -= 0.01
+        assert abs((gru.gradient(a, *w, h)[0] - gru.gradient(b, *w, h)[0]) / 0.02 - g[i]) < 1e-3
+
+
+def test_states_are_carried_across_windows():
+    rng = np.random.default_rng(1)
+    net, (given, target, real), h = gru.new_network(Corpus), windows(rng, 12, 3), np.zeros((3, gru.HIDDEN), np.float32)
+    loss, _, state = gru.gradient(net, given, target, real, h)
+    first, _, between = gru.gradient(net, given[:7], target[:7], real[:7], h)
+    second, _, after = gru.gradient(net, given[7:], target[7:], real[7:], between)
+    assert np.allclose(state, after, atol=1e-6) and abs(loss - (7 * first + 5 * second) / 12) < 1e-5
 
 
-def test_network_learns_from_every_token_and_end(spark):
+def test_network_learns_from_every_token_and_end(spark, monkeypatch):
     texts = [None, "", "one two three", "w " * 63, "w " * 64, "a b c " * 70, "one two three"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     known = gru.Words(gru.count_words(docs), gru.COMMON)
-    rows = [np.frombuffer(r.classes, np.uint8) for r in gru.training_windows(docs, known, gru.RATE).collect()]
-    assert len(rows) == 5 * 1 + 2 + 4 and all(len(r) == gru.WINDOW for r in rows)
-    seen = np.concatenate([r[r != gru.PAD] for r in rows])
-    assert len(seen) == sum(len(WORD.findall(t or "")) + 1 for t in texts) and (seen == 0).sum() == len(texts)
-    flat = gru.new_network(np.ones(gru.CLASSES))
-    short = np.array([[5, 9, 0]], np.uint8)
-    padded = np.concatenate([short, np.full((1, 4), gru.PAD, np.uint8)], 1)
-    for a, b in zip(gru.gradient(flat, short), gru.gradient(flat, padded)):
-        assert np.allclose(a, b, atol=1e-6)
+    ids = [np.frombuffer(r.ids, "<u2") for r in gru.training_ids(docs, known).collect()]
+    assert sorted(map(len, ids)) == sorted(len(WORD.findall(t or "")) + 1 for t in texts)
+    assert all(i[-1] == known.end and (i[:-1] != known.end).all() for i in ids)
+    counted, plain = [], gru.gradient
+    monkeypatch.setattr(gru, "gradient", lambda net, given, target, real, h: counted.append(target[real]) or plain(net, given, target, real, h))
+    everything = np.concatenate(ids)
+    gru.train(gru.new_network(known), np.tile(everything, 40))
+    assert np.array_equal(np.sort(np.concatenate(counted)), np.sort(np.tile(everything, 40)))
+
+
+def test_scores_are_whole_document_likelihoods(spark):
+    """Against one step after the other with all class and word probabilities written out."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.randrange(30)))) for i in range(80)]
+    rows.append((1000, " ".join(rng.choices([*words, "never", "Seen"], k=700))))
+    docs = frame(spark, rows)
+    training = docs.filter(~gru.is_held_out(F.col("doc_id")))
+    counts = gru.count_words(training)
+    known = gru.Words(counts, gru.COMMON, 30)
+    net = gru.train_network(gru.training_ids(training, known), gru.new_network(known), 1000, 2)
+    p, n = {k: v.astype(float) for k, v in net.p.items()}, len(known.heads)
+    texts = Texts(0, np.frombuffer(low(rows[-1][1]).encode(), np.uint8), np.array([0, len(rows[-1][1])]))
+    s = gru.Slice(texts)
+    ids = known.ids(s.keys, s.tails)[s.token]
+    h, given, want = np.zeros(gru.HIDDEN), net.end, []
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for x in ids:
+        a, r = p["x"][given] + p["b"], h @ p["u"]
+        keep, reset = np.split(sigmoid((a + r)[: 2 * gru.HIDDEN]), 2)
+        new = np.tanh(a[2 * gru.HIDDEN :] + reset * r[2 * gru.HIDDEN :])
+        h = keep * h + (1 - keep) * new
+        e = np.exp(h @ p["o"] + p["c"])
+        q = e[net.class_of[x]] / e.sum()
+        if x < n:
+            e = np.exp(h @ p["w"] + p["d"])
+            q *= e[x] / e[net.class_of[:n] == net.class_of[x]].sum()
+        want.append(math.log10(q))
+        given = x
+    assert np.allclose(gru.token_logs(net, ids, s.first), want, atol=1e-4)
+
+
+def test_network_beats_counts_on_held_out_text(spark):
+    got = gru.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
 
 
 def test_languages_and_letterless_texts(spark):
@@ -304,6 +389,17 @@ def test_budgets_pass_shortages_to_siblings_first(spark):
     assert got == {("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 889}
 
 
+def test_weight_zero_leaves_a_node_out(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "xyz"[i % 3], 10) for i in range(60)], "doc_id long, lang string, source string, n_tokens long")
+    for weights in ({"lang": {"a": 0}}, {"source": {"x": 0}}, {"lang": {"b": 0}, "source": {"y": 0}}):
+        got = budget.hierarchical_mix(docs, ["lang", "source"], weights, share=0.5).collect()
+        out = [r for r in got if 0 in (weights.get("lang", {}).get(r.lang), weights.get("source", {}).get(r.source))]
+        taken = sum(r.full_epochs * r.n_tokens + r.part_tokens for r in got)
+        assert all(not r.full_epochs and not r.part_tokens for r in out) and 300 - 6 <= taken <= 300
+    got = budget.hierarchical_mix(docs, ["lang", "source"], {"lang": {"a": 0, "b": 0}}).collect()
+    assert len(got) == 60 and not any(r.full_epochs or r.part_tokens for r in got)
+
+
 def test_list_entries_hold_at_fetch_time(spark):
     from datetime import date
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts of a batch that goes to Python.
 BATCH_BYTES = "4m"
+#: Keys that are broadcast at most, about 30 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,14 +56,14 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd", batch_bytes: str = BATCH_BYTES) -> DataFrame:
     """The rows of df, written as Parquet in the shared folder and read again: lineage ends here, lost executors cost no recomputation.
 
     The plan's shuffle files go when it is done, its Arrow batches have a bound in bytes, and the table goes with forget()
     or else when the application ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_execution_arrow_maxBytesPerBatch=BATCH_BYTES):
+    with settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_execution_arrow_maxBytesPerBatch=batch_bytes):
         df.write.option("compression", codec).parquet(path)
     system, at = _file_system(spark, path)
     system.deleteOnExit(at)
@@ -70,6 +72,17 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def collected(df: DataFrame) -> list:
+    """The rows of a result of bounded size; its plan's shuffle files go when it is done."""
+    with settings(df.sparkSession, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_execution_arrow_maxBytesPerBatch=BATCH_BYTES):
+        return df.select("*").collect()  # a plan of its own, made under these settings
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table made by written(), to be broadcast if it has at most BROADCAST_ROWS rows (of a few numbers each); else Spark shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables made by written(); only for those that no later plan reads."""
     for t in tables:

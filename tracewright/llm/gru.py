@@ -1,14 +1,16 @@
 """LM scoring by a gated recurrent network with a class-factored softmax, in numpy.
 
-Tokens are words and one end a document. The HEAD most frequent training words are classes of their own; every other word
-belongs to one of TAIL classes by its last two bytes. log p(word) = log p(class | state) + log p(word | class), the second
-by add-one counts over the whole training corpus, with one more place for all unseen words.
+Tokens are words and one end a document. The LISTED most frequent ones have vectors; they are binned into CLASSES classes by
+the square roots of their counts. log p(word | state) = log p(class | state) + log p(word | class, state), both softmaxes of
+the state. Words that are not listed belong to one of TAIL further classes by their last two bytes; as their number has no
+bound, their probability within it comes from add-one counts over the whole training corpus, with one place for unseen words.
 
 1. Counts of all words of all training documents, by Spark.
-2. Training by truncated backpropagation: every training document is cut into windows of WINDOW tokens, the last one filled
-   up with PAD, which is neither given nor a target that counts, so every token and every end is learned from. Replicas of
-   about REPLICA windows, dealt by text and id so that copies spread, train side by side for ROUNDS rounds; after each,
-   Spark averages their parameters.
+2. Training by truncated backpropagation through WINDOW steps. Training documents are dealt by text and id to replicas of
+   about REPLICA tokens. A replica lays its documents one after the other in up to LANES lanes that advance side by side,
+   window by window, each carrying its state on to the next window and losing it at a document's end, so every token and
+   every end is learned from once. Replicas train for ROUNDS rounds, each on its share of documents; after each, executors
+   average their parameters and the driver gets the mean (about 1 MB).
 3. Scoring: all documents of a slice advance together, each carrying its state to its end, so a document's
    log-likelihood is that of the whole. Words of the at most COMMON most frequent have their counts at hand (that many
    are broadcast, whatever the corpus); the rest is joined with the table of counts.
@@ -24,21 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import crc32_of, forget, lean, written
+from .common import collected, crc32_of, forget, lean, written
 from .huffman import binary
-from .textbytes import Texts, distinct, mix, slices, words
+from .textbytes import Texts, distinct, flat, mix, slices, words
 
-HEAD, TAIL, HIDDEN = 64, 64, 16
-CLASSES = HEAD + TAIL
-WINDOW, RATE, REPLICA, ROUNDS = 64, 1, 40_000, 3
-BATCH, SPEED = 96, 0.012
+LISTED, CLASSES, TAIL, HIDDEN = 4096, 64, 16, 16
+WINDOW, REPLICA, ROUNDS = 64, 8_000_000, 3
+LANES, SPEED = 192, 0.012
 COMMON = 1 << 19
-SCORED = 4 << 20
-#: Fills the last window of a document.
-PAD = 255
-#: Stands for the end of a document among hashes of words, and is the first class.
+SCORED = 2 << 20
+#: Numbers of a chunk of parameters.
+CHUNK = 1 << 14
+#: Stands for the end of a document among hashes of words.
 END = -7046029254386353131
 
 U = np.uint64
@@ -47,7 +49,7 @@ U = np.uint64
 def tail_class(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     last = data[stop - 1].astype(U)
     before = np.where(stop - start > 1, data[np.maximum(stop - 2, 0)], 0).astype(U)
-    return (HEAD + (mix(last << U(8) | before) % U(TAIL)).astype(np.int64)).astype(np.uint8)
+    return (mix(last << U(8) | before) % U(TAIL)).astype(np.uint8)
 
 
 class Slice:
@@ -78,14 +80,20 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 class Words:
-    """What scoring knows of the corpus: head words, common words' counts, class totals. Its size has fixed bounds."""
+    """What scoring knows of the corpus: listed words by class, common words' counts, totals of the tail classes. Its size has fixed bounds."""
 
-    def __init__(self, counts: DataFrame, common: int):
+    def __init__(self, counts: DataFrame, common: int, listed: int = LISTED):
         self.total, self.distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-        heads = counts.filter(F.col("key") != END).orderBy(F.desc("c"), "key").limit(HEAD - 1).select("key").collect()
-        heads = np.array([r[0] for r in heads], np.int64)
+        rows = counts.filter(F.col("key") != END).orderBy(F.desc("c"), "key").limit(listed - 1).select("key", "c").unionAll(counts.filter(F.col("key") == END).select("key", "c")).collect()
+        rows = sorted([(r[1], r[0]) for r in rows], key=lambda x: (-x[0], x[1])) or [(0, END)]
+        heads, often = np.array([r[1] for r in rows], np.int64), np.array([r[0] for r in rows], float)
+        # Ids ascend by class and, in it, by count; classes hold like sums of square roots of counts.
+        share = np.cumsum(np.sqrt(often + 1))
+        of = np.minimum((share - np.sqrt(often + 1) / 2) / share[-1] * CLASSES, CLASSES - 1).astype(np.int64)
+        _, self.class_of = np.unique(of, return_inverse=True)
+        self.often, self.end = often, int(np.flatnonzero(heads == END)[0])
         order = np.argsort(heads)
-        self.heads, self.head_class = np.append(heads[order], np.iinfo(np.int64).max), np.append((order + 1).astype(np.uint8), np.uint8(0))
+        self.heads, self.head_id = heads[order], order
         # The least count at which the words counted so often are common at most.
         level = F.floor(F.log2(F.col("c").cast("double")) * 8)
         at_level = sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
@@ -95,213 +103,269 @@ class Words:
             if held > common:
                 break
             self.level = r["level"]
-        rows = counts.filter((level >= self.level) | F.col("key").isin([END, *heads.tolist()])).select("key", "c").toArrow()
-        keys, c = rows["key"].to_numpy(), rows["c"].to_numpy()
-        order = np.argsort(keys)
-        self.keys, self.counts = np.append(keys[order], np.iinfo(np.int64).max), np.append(c[order], 0)
-        sums = np.zeros(CLASSES)
-        for r in counts.filter(~F.col("key").isin([END, *heads.tolist()])).groupBy("tail").agg(F.sum("c"), F.count(F.lit(1))).collect():
-            sums[r[0]] = r[1] + r[2] + 1
-        sums[HEAD:] = np.maximum(sums[HEAD:], 1)
-        self.class_logs = np.log10(np.maximum(sums, 1))
-
-    def class_of(self, keys: np.ndarray, tails: np.ndarray) -> np.ndarray:
-        place = np.searchsorted(self.heads, keys)
-        place[place == len(self.heads)] = 0
-        out = np.where(self.heads[place] == keys, self.head_class[place], tails)
-        return np.where(keys == END, np.uint8(0), out)
+        rows = counts.filter(level >= self.level).select("key", "c").toArrow()
+        keys, c = np.concatenate([rows["key"].to_numpy(), heads]), np.concatenate([rows["c"].to_numpy(), often.astype(np.int64)])
+        self.keys, first = np.unique(keys, return_index=True)
+        self.counts = c[first]
+        unlisted = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(int(k),) for k in heads], "key long")), "key", "left_anti")  # LISTED rows
+        self.tails = np.zeros(TAIL)
+        room = np.ones(TAIL)
+        for r in unlisted.groupBy("tail").agg(F.sum("c"), F.count(F.lit(1))).collect():
+            self.tails[r[0]], room[r[0]] = r[1], r[1] + r[2] + 1
+        self.tail_logs = np.log10(room)
+
+    def ids(self, keys: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        """Ids of listed words; those of others are the number of listed words plus their tail class."""
+        place = np.minimum(np.searchsorted(self.heads, keys), len(self.heads) - 1)
+        return np.where(self.heads[place] == keys, self.head_id[place], len(self.heads) + tails.astype(np.int64))
 
     def count_of(self, keys: np.ndarray) -> np.ndarray:
         """Counts of common words; -1 of others."""
-        place = np.searchsorted(self.keys, keys)
-        return np.where((self.keys[place] == keys) & (keys != np.iinfo(np.int64).max), self.counts[place], -1)
-
-
-SHAPES = {"x": (CLASSES, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "o": (HIDDEN, CLASSES), "c": (CLASSES,)}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-
-
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
-    return out
-
-
-def new_network(class_counts: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, self.counts[place], -1)
+
+
+class Network:
+    """Parameters as views of one flat array: x (of each id), u, b of the unit; o, c of the classes; w, d of the words in them."""
+
+    def __init__(self, class_of: np.ndarray, end: int, flat: np.ndarray | None = None):
+        n, self.end = len(class_of), end
+        classes = int(class_of.max()) + 1
+        self.class_of = np.concatenate([class_of, classes + np.arange(TAIL)]).astype(np.uint8)
+        #: Each class's first word; tail classes have none.
+        self.first = np.searchsorted(class_of, np.arange(classes + 1))
+        shapes = {"x": (n + TAIL, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "o": (HIDDEN, classes + TAIL), "c": (classes + TAIL,), "w": (HIDDEN, n), "d": (n,)}
+        size = sum(int(np.prod(s)) for s in shapes.values())
+        self.flat, at = np.zeros(size, np.float32) if flat is None else flat, 0
+        self.p = {}
+        for name, shape in shapes.items():
+            count = int(np.prod(shape))
+            self.p[name] = self.flat[at : at + count].reshape(shape)
+            at += count
+
+    def like(self, flat: np.ndarray) -> Network:
+        return Network(self.class_of[:-TAIL], self.end, flat)
+
+
+def new_network(known: Words) -> Network:
+    net = Network(known.class_of, known.end)
     rng = np.random.default_rng(7)
-    flat = (rng.standard_normal(SIZE) * 0.15).astype(np.float32)
-    p = unpack(flat)
+    net.flat[:] = rng.standard_normal(len(net.flat)) * 0.15
+    p = net.p
     p["b"][:] = 0
     p["b"][:HIDDEN] = 1  # keeps the state at first
-    p["c"][:] = np.log((class_counts + 1) / (class_counts.sum() + CLASSES))
-    return flat
-
-
-def step(p: dict, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step of the gated unit: gates, candidate, its recurrent part and the new state."""
-    x, r = p["x"][given] + p["b"], h @ p["u"]
-    gates = 0.5 + 0.5 * np.tanh(0.5 * (x[:, : 2 * HIDDEN] + r[:, : 2 * HIDDEN]))
+    in_class = np.bincount(known.class_of, known.often)
+    p["c"][:] = np.log((np.concatenate([in_class, known.tails]) + 1) / (in_class.sum() + known.tails.sum() + len(p["c"])))
+    p["d"][:] = np.log((known.often + 1) / (in_class[known.class_of] + 1))
+    return net
+
+
+def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step of the gated unit: gates, candidate, its recurrent part and the new state. x: rows of p["x"] plus p["b"]."""
+    r = h @ p["u"]
+    gates = x[:, : 2 * HIDDEN] + r[:, : 2 * HIDDEN]
+    gates *= 0.5
+    np.tanh(gates, out=gates)
+    gates += 1
+    gates *= 0.5
     keep, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
     own = r[:, 2 * HIDDEN :]
-    new = np.tanh(x[:, 2 * HIDDEN :] + reset * own)
-    return keep, reset, own, new, new + keep * (h - new)
+    new = reset * own
+    new += x[:, 2 * HIDDEN :]
+    np.tanh(new, out=new)
+    now = h - new
+    now *= keep
+    now += new
+    return keep, reset, own, new, now
 
 
-def log_softmax_at(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each target class."""
-    out = h @ p["o"] + p["c"]
+def log_softmax_at(out: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of the probability of each row's target. With weight, out becomes the loss's gradient, weighed by row."""
     out -= out.max(1, keepdims=True)
-    picked = out[np.arange(len(target)), target]
+    row = np.arange(len(target))
+    picked = out[row, target]
     np.exp(out, out=out)
-    return picked - np.log(out.sum(1))
-
-
-def gradient(flat: np.ndarray, windows: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean loss of a batch of windows (rows of classes, PAD after a document's end, from an empty state) and its gradient, through all steps of the window."""
-    p, g_flat = unpack(flat), np.zeros(SIZE, np.float32)
-    g = unpack(g_flat)
-    n, steps = windows.shape
-    h, kept = np.zeros((n, HIDDEN), np.float32), []
-    real = windows != PAD
-    windows = np.where(real, windows, 0).astype(windows.dtype)
-    given = np.concatenate([np.zeros((n, 1), windows.dtype), windows[:, :-1]], 1)
+    total = out.sum(1)
+    if weight is not None:
+        out *= (weight / total)[:, None]
+        out[row, target] -= weight
+    return picked - np.log(total)
+
+
+def log_likelihoods(net: Network, states: np.ndarray, target: np.ndarray, grad: dict | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Natural log of each target id's probability (of its tail class, if not listed) given the state: class, then word in the class.
+
+    With grad: adds the gradients of the mean loss, weighed, to it and also returns that of the states."""
+    p, of = net.p, net.class_of[target]
+    out = states @ p["o"]
+    out += p["c"]
+    logs = log_softmax_at(out, of, weight)
+    back = None
+    if grad is not None:
+        grad["o"] += states.T @ out
+        grad["c"] += out.sum(0)
+        back = out @ p["o"].T
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(len(net.first)))
+    for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(net.first) > 1)):
+        rows, words = order[cuts[k] : cuts[k + 1]], slice(net.first[k], net.first[k + 1])
+        s, t = states[rows], target[rows] - net.first[k]
+        out = s @ p["w"][:, words]
+        out += p["d"][words]
+        logs[rows] += log_softmax_at(out, t, None if weight is None else weight[rows])
+        if grad is not None:
+            grad["w"][:, words] += s.T @ out
+            grad["d"][words] += out.sum(0)
+            back[rows] += out @ p["w"][:, words].T
+    return logs, back
+
+
+def gradient(net: Network, given: np.ndarray, target: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean loss of a window and its gradient through all its steps, and the states after it. given, target and real (whether it counts): a row a step, a column a lane."""
+    p, g = net.p, net.like(np.zeros_like(net.flat))
+    steps, n = given.shape
+    x = p["x"][given]
+    x += p["b"]
+    same = (given != net.end).astype(np.float32)[:, :, None]  # a document's first step has no state
+    olds, kept = np.empty((steps, n, HIDDEN), np.float32), []
+    states = np.empty((steps, n, HIDDEN), np.float32)
     for t in range(steps):
-        old = h
-        keep, reset, own, new, h = step(p, given[:, t], old)
-        kept.append((old, keep, reset, own, new, h))
-    states = np.concatenate([k[5] for k in kept])
-    target = windows.T.reshape(-1)
-    out = states @ p["o"] + p["c"]
-    out -= out.max(1, keepdims=True)
-    np.exp(out, out=out)
-    out /= out.sum(1, keepdims=True)
-    row, counts = np.arange(len(target)), real.T.reshape(-1)
-    loss = float(-np.log(out[row, target] + 1e-30)[counts].mean())
-    out[row, target] -= 1
-    out[~counts] = 0  # and so no step after the end has a gradient
-    out /= counts.sum()
-    g["o"][:] = states.T @ out
-    g["c"][:] = out.sum(0)
-    back = (out @ p["o"].T).reshape(steps, n, HIDDEN)
-    d, gates = np.zeros((n, HIDDEN), np.float32), np.empty((steps, n, 3 * HIDDEN), np.float32)
+        np.multiply(h, same[t], out=olds[t])
+        keep, reset, own, new, h = step(p, x[t], olds[t])
+        kept.append((keep, reset, own, new))
+        states[t] = h
+    weight = real.reshape(-1).astype(np.float32) / max(1, int(real.sum()))
+    logs, back = log_likelihoods(net, states.reshape(-1, HIDDEN), target.reshape(-1), g.p, weight)
+    back = back.reshape(steps, n, HIDDEN)
+    d, gates, through = np.zeros((n, HIDDEN), np.float32), np.empty((steps, n, 3 * HIDDEN), np.float32), np.empty((steps, n, 3 * HIDDEN), np.float32)
+    turned = np.ascontiguousarray(p["u"].T)
     for t in reversed(range(steps)):
-        old, keep, reset, own, new, _ = kept[t]
-        d = d + back[t]
+        keep, reset, own, new = kept[t]
+        d += back[t]
         d_new = d * (1 - keep) * (1 - new * new)
-        a = gates[t]
-        a[:, :HIDDEN] = d * (old - new) * keep * (1 - keep)
+        a, b = gates[t], through[t]
+        a[:, :HIDDEN] = d * (olds[t] - new) * keep * (1 - keep)
         a[:, HIDDEN : 2 * HIDDEN] = d_new * own * reset * (1 - reset)
         a[:, 2 * HIDDEN :] = d_new
-        through = np.concatenate([a[:, : 2 * HIDDEN], d_new * reset], 1)
-        g["u"] += old.T @ through
-        d = d * keep + through @ p["u"].T
+        b[:, : 2 * HIDDEN] = a[:, : 2 * HIDDEN]
+        b[:, 2 * HIDDEN :] = d_new * reset
+        d *= keep
+        d += b @ turned
+        d *= same[t]
     flat_gates = gates.reshape(-1, 3 * HIDDEN)
-    g["b"][:] = flat_gates.sum(0)
-    from_ = given.T.reshape(-1)
+    g.p["u"][:] = olds.reshape(-1, HIDDEN).T @ through.reshape(-1, 3 * HIDDEN)
+    g.p["b"][:] = flat_gates.sum(0)
+    from_ = given.reshape(-1)
     order = np.argsort(from_, kind="stable")
     first = np.flatnonzero(np.diff(from_[order].astype(np.int64), prepend=-1))
-    g["x"][from_[order][first]] = np.add.reduceat(flat_gates[order], first)
-    return loss, g_flat
-
-
-def train(flat: np.ndarray, windows: np.ndarray, speed: float = SPEED) -> np.ndarray:
-    """One pass over the windows with Adam."""
-    flat, m, v = flat.copy(), np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
-    for k, at in enumerate(range(0, len(windows), BATCH), 1):
-        _, g = gradient(flat, windows[at : at + BATCH])
-        g *= min(1.0, 1.0 / max(1e-9, float(np.sqrt((g * g).sum()))))
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        flat -= speed * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-    return flat
-
-
-def training_windows(docs: DataFrame, known: Words, rate: int) -> DataFrame:
-    """place (a hash that orders and deals out) and classes (WINDOW bytes) of the windows of the training texts, at a rate above 1 of one in so many."""
+    g.p["x"][from_[order][first]] = np.add.reduceat(flat_gates[order], first)
+    return -float(logs @ weight), g.flat, h
+
+
+def train(net: Network, ids: np.ndarray, speed: float = SPEED) -> Network:
+    """One pass over documents that lie one after the other, each ending in net.end, by Adam. Lanes carry their states from window to window."""
+    net = net.like(net.flat.copy())
+    m, v = np.zeros_like(net.flat), np.zeros_like(net.flat)
+    lanes = max(1, min(LANES, len(ids) // (48 * WINDOW)))
+    length = -(-len(ids) // lanes)
+    target = np.zeros(lanes * length, ids.dtype)
+    target[: len(ids)] = ids
+    given = np.concatenate([np.array([net.end], ids.dtype), target[:-1]])
+    real = (np.arange(lanes * length) < len(ids)).reshape(lanes, length).T
+    given, target = (np.ascontiguousarray(a.reshape(lanes, length).T) for a in (given, target))
+    h = np.zeros((lanes, HIDDEN), np.float32)
+    for k, at in enumerate(range(0, length, WINDOW), 1):
+        here = slice(at, at + WINDOW)
+        if not real[here].any():
+            break
+        _, g, h = gradient(net, given[here], target[here], real[here], h)
+        g *= min(1.0, 1.0 / max(1e-9, float(np.sqrt(g @ g))))
+        m *= 0.9
+        m += 0.1 * g
+        g *= g
+        v *= 0.99
+        v += 0.01 * g
+        net.flat[:] -= (speed / (1 - 0.9**k)) * m / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    return net
+
+
+def training_ids(docs: DataFrame, known: Words) -> DataFrame:
+    """place (a hash that orders and deals out) and ids (16 bits each, the end last) of the training texts."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            version = batch.column(1).to_numpy().view(U)
             for texts in slices(batch.column(0)):
                 s = Slice(texts)
-                classes = known.class_of(s.keys, s.tails)[s.token]
-                count = -(-np.diff(s.first) // WINDOW)
-                doc = np.repeat(np.arange(len(count)), count)
-                index = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-                place = mix(version[texts.row + doc] + index.astype(U) * U(0x9E3779B97F4A7C15))
-                use = place % U(rate) == 0
-                at = (s.first[doc[use]] + index[use] * WINDOW)[:, None] + np.arange(WINDOW)
-                picked = np.where(at < s.first[doc[use] + 1][:, None], classes[np.minimum(at, len(classes) - 1)], PAD).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array(place[use].view(np.int64)), binary(picked.reshape(-1), np.arange(len(picked) + 1) * WINDOW)], ["place", "classes"])
-
-    return docs.select("text", F.xxhash64("text", "doc_id").alias("version")).mapInArrow(run, "place long, classes binary")
-
-
-def train_network(windows: DataFrame, start: np.ndarray, replica: int, rounds: int) -> np.ndarray:
-    """Local training in replicas, averaged after each round."""
-    n = windows.count()
-    replicas = max(1, -(-n // replica))
-    dealt = windows.withColumn("replica", F.pmod(F.xxhash64("place", F.lit(1)), F.lit(replicas))).withColumn("round", F.pmod(F.xxhash64("place", F.lit(2)), F.lit(rounds)))
-    flat = start
-    for k in range(rounds if n else 0):
-
-        def run(batches: Iterator[pa.RecordBatch], sent=flat) -> Iterator[pa.RecordBatch]:
-            held, now = [], None
-
-            def done() -> pa.RecordBatch:
-                out = train(sent, np.concatenate(held))
-                return pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(out.astype(np.float64))], ["at", "value"])
-
-            for batch in batches:
-                which = batch.column(0).to_numpy()
-                rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WINDOW)
-                cuts = np.flatnonzero(np.diff(which)) + 1
-                for part, r in zip(np.split(rows, cuts), which[np.concatenate(([0], cuts))] if len(which) else [], strict=False):
-                    if held and r != now:
-                        yield done()
-                        held = []
-                    now = r
-                    held.append(part)
-            if held:
-                yield done()
-
-        part = dealt.filter(F.col("round") == k).repartition(replicas, "replica").sortWithinPartitions("replica", "place").select("replica", "classes")
-        mean = part.mapInArrow(run, "at int, value double").groupBy("at").agg(F.avg("value").alias("value")).collect()
-        if mean:
-            flat = np.zeros(SIZE, np.float32)
-            flat[[r[0] for r in mean]] = [r[1] for r in mean]
-    return flat
-
-
-def class_scores(p: dict, classes: np.ndarray, first: np.ndarray, block: int = 1 << 14) -> np.ndarray:
-    """log10 of the probability of each token's class. All documents advance together; each keeps its state to its end."""
+                ids = known.ids(s.keys, s.tails).astype("<u2")[s.token]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(texts.row, len(s.first) - 1), pa.array(np.diff(s.first)), binary(ids.view(np.uint8), s.first * 2)], ["place", "n", "ids"])
+
+    return docs.select("text", F.xxhash64("text", "doc_id").alias("version")).mapInArrow(run, "place long, n long, ids binary")
+
+
+def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The means of rows (at, n, values) by at, weighed by n."""
+    total: dict[int, tuple[int, np.ndarray]] = {}
+    for batch in batches:
+        for at, n, values in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            now = np.frombuffer(values, np.float32) * float(n)
+            total[at] = (total[at][0] + n, total[at][1] + now) if at in total else (n, now)
+    if total:
+        yield chunks({at: x / n for at, (n, x) in total.items()}, [n for n, _ in total.values()])
+
+
+def chunks(values: dict[int, np.ndarray], n: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(values), pa.int32()), pa.array(n, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in values.values()], pa.binary())], ["at", "n", "values"])
+
+
+def train_network(texts: DataFrame, net: Network, replica: int, rounds: int) -> Network:
+    """Local training in replicas, averaged after each round. texts: place, n, ids."""
+    spark, schema = texts.sparkSession, "at int, n long, values binary"
+    replicas = max(1, -(-(texts.agg(F.sum("n")).first()[0] or 0) // replica))
+    for k in range(rounds):
+
+        @lean
+        def run(batches: Iterator[pa.RecordBatch], sent=spark.sparkContext.broadcast(net)) -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate([np.zeros(0, "<u2")] + [flat(batch.column(0))[0].copy().view("<u2") for batch in batches])
+            if len(ids):
+                # A replica counts by its tokens, however many documents it got.
+                out = train(sent.value, ids).flat
+                parts = {k: out[a : a + CHUNK] for k, a in enumerate(range(0, len(out), CHUNK))}
+                yield chunks(parts, [len(ids)] * len(parts))
+
+        part = texts.filter(F.pmod(F.xxhash64("place", F.lit(2)), F.lit(rounds)) == k).repartition(replicas, "place").sortWithinPartitions("place", "n").select("ids")
+        rows = collected(part.mapInArrow(run, schema).repartition(8, "at").mapInArrow(averaged, schema))
+        if rows:
+            net = net.like(np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(rows, key=lambda r: r["at"])]).copy())
+    return net
+
+
+def token_logs(net: Network, ids: np.ndarray, first: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """log10 of the probability of each token (of its tail class, if not listed). All documents advance together; each keeps its state to its end."""
     length = np.diff(first)
     by_length = np.argsort(-length, kind="stable")
     rank = np.empty(len(length), np.int64)
     rank[by_length] = np.arange(len(length))
     alive = len(length) - np.searchsorted(np.sort(length), np.arange(1, (length.max() if len(length) else 0) + 1), "left")
     at = np.concatenate(([0], np.cumsum(alive)))
-    step_of = np.arange(len(classes)) - np.repeat(first[:-1], length)
-    place = at[step_of] + np.repeat(rank, length)
-    packed = np.empty(len(classes), np.int64)
-    packed[place] = classes
-    out = np.empty(len(classes))
+    place = at[np.arange(len(ids)) - np.repeat(first[:-1], length)] + np.repeat(rank, length)
+    packed = np.empty(len(ids), np.int64)
+    packed[place] = ids
+    out = np.empty(len(ids))
+    inputs = net.p["x"] + net.p["b"]
     h, begin, held = np.zeros((len(length), HIDDEN), np.float32), 0, []
     for t, n in enumerate(alive.tolist()):
-        given = packed[at[t - 1] : at[t - 1] + n] if t else np.zeros(n, np.int64)
-        h = step(p, given, h[:n])[4]
+        given = packed[at[t - 1] : at[t - 1] + n] if t else np.full(n, net.end)
+        h = step(net.p, inputs[given], h[:n])[4]
         held.append(h)
         stop = at[t + 1]
         if stop - begin >= block or t + 1 == len(alive):
             states = np.concatenate(held)
             for a in range(0, len(states), block):
                 b = min(a + block, len(states))
-                out[begin + a : begin + b] = log_softmax_at(p, states[a:b], packed[begin + a : begin + b])
+                out[begin + a : begin + b] = log_likelihoods(net, states[a:b], packed[begin + a : begin + b])[0]
             begin, held = stop, []
     return out[place] / np.log(10)
 
@@ -313,38 +377,36 @@ def is_held_out(doc_id: Column) -> Column:
 SCORED_AS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key:long,n:int>>"
 
 
-def score_documents(docs: DataFrame, rate: int = RATE, replica: int = REPLICA, rounds: int = ROUNDS, common: int = COMMON) -> DataFrame:
+def score_documents(docs: DataFrame, replica: int = REPLICA, rounds: int = ROUNDS, common: int = COMMON) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), "text")
     training = docs.filter("NOT held_out")
     counts = written(count_words(training), "counts")
     known = Words(counts, common)
-    windows = written(training_windows(training, known, rate), "windows")
-    class_counts = np.zeros(CLASSES)
-    listed = known.keys[:-1]
-    heads = known.class_of(listed, np.full(len(listed), 255, np.uint8))
-    np.add.at(class_counts, heads[heads < HEAD], known.counts[:-1][heads < HEAD])
-    class_counts[HEAD:] = 10 ** known.class_logs[HEAD:]
-    network = train_network(windows, new_network(class_counts), replica, rounds)
-    forget(windows)
+    texts = written(training_ids(training, known), "training")
+    network = train_network(texts, new_network(known), replica, rounds)
+    forget(texts)
     sent = spark.sparkContext.broadcast((known, network))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         known, network = sent.value
-        p, row = unpack(network), TaskContext.get().partitionId() << 40
+        row, listed = TaskContext.get().partitionId() << 40, len(known.heads)
         base_log = np.log10(known.total + known.distinct + 1)
         for batch in batches:
+            # Texts of like length lie together: a slice takes as many steps as its longest has tokens.
+            batch = batch.take(pc.array_sort_indices(pc.binary_length(batch.column(2))))
             for texts in slices(batch.column(2), SCORED):
                 s = Slice(texts)
                 n = len(s.first) - 1
-                classes = known.class_of(s.keys, s.tails)
+                ids = known.ids(s.keys, s.tails)
                 c = known.count_of(s.keys)
                 logs = np.log10(np.maximum(c, 0) + 1.0)
-                inside = np.where(classes < HEAD, 0.0, logs - known.class_logs[classes])
-                score = class_scores(p, classes[s.token].astype(np.int64), s.first) + inside[s.token]
+                inside = np.where(ids < listed, 0.0, logs - known.tail_logs[np.maximum(ids - listed, 0)])
+                score = token_logs(network, ids[s.token], s.first) + inside[s.token]
                 sums = lambda x, first=s.first: np.add.reduceat(x, first[:-1])  # noqa: E731  every document has a token
                 seen = (c > 0)[s.token]
                 odd = np.flatnonzero((c < 0)[s.token])
@@ -357,7 +419,7 @@ def score_documents(docs: DataFrame, rate: int = RATE, replica: int = REPLICA, r
                 yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(0).slice(texts.row, n), batch.column(1).slice(texts.row, n), pa.array(np.diff(s.first)), pa.array(sums(seen.astype(np.int64))), pa.array(sums(logs[s.token] - base_log)), pa.array(sums(score)), rare], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
                 row += n
 
-    scored = written(docs.select("doc_id", "held_out", "text").mapInArrow(run, SCORED_AS), "scored")
+    scored = written(docs.select("doc_id", "held_out", "text").mapInArrow(run, SCORED_AS), "scored", batch_bytes="16m")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.n")
     # Unseen words add log10(1) = 0 and are known 0 times, so an inner join is enough.
     more = rare.join(counts.select("key", "c"), "key").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("logs"), F.sum("n").alias("times"))
