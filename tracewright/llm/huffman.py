@@ -76,6 +76,10 @@ def pieces(texts: Texts) -> Words:
     return Words(data, start, stop, np.searchsorted(start, texts.offsets))
 
 
+#: Texts by which a tokenizer's handling of case, accents, digits, marks and white space is told.
+PROBES = ["The CAT", "ÀÉÎÕÜ ÿ straße Ñandú", "it's 12,345.67 (ok)--really?", " a\t\nb\r\n\x0b c  ", "naïve-café_x", "don't U.S.A. e.g.,", "東京 и мир", "", "\u00a0x\u2009y", "a\u0301 e\u0308"]
+
+
 class PieceEncoder:
     """A tokenizer with the ids of pieces met so far: sorted hashes, and where their ids are."""
 
@@ -89,6 +93,12 @@ class PieceEncoder:
         #: Whether white space only separates, so that a text's ids are those of its words; else texts are encoded whole.
         self.by_word = getattr(self.model, "end_of_word_suffix", None) == "</w>"
         self.reset()
+        if self.by_word:
+            # A tokenizer that treats case, marks or white space otherwise than the short way does is used the long way.
+            data, offsets = flat(pa.array(PROBES))
+            ids, at = self.encode_texts(Texts(0, data, offsets), 0)
+            self.by_word = all(np.array_equal(ids[a : b - 1], self.encode(x)) for a, b, x in zip(at[:-1], at[1:], PROBES, strict=True))
+            self.reset()
 
     def reset(self) -> None:
         self.keys, self.at, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
