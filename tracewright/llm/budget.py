@@ -6,7 +6,8 @@ rest to its siblings, and only what a whole family cannot use goes to the family
 times its supply and r more takes q whole epochs and, of the next epoch's seeded order, the first r tokens.
 
 Defined results: null text has no tokens and is never taken; null labels form nodes '(null)'; equal rows share their
-leaf's budget as separate rows; a budget above what all leaves can give is cut to that; no rows give no rows.
+leaf's budget as separate rows; a weight of 0 leaves a node out; shares are rounded down, so fewer tokens than a node has
+children may stay undealt; a budget above what all leaves can give is cut to that; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -29,25 +30,31 @@ def fill(children: DataFrame, parent: list[str]) -> DataFrame:
     whole = Window.partitionBy(*parent or [F.lit(0)])
     before = ratio.rowsBetween(Window.unboundedPreceding, -1)
     after = ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    c = children.withColumn("full_at", F.col("capacity") / F.col("weight"))
+    c = children.withColumn("full_at", F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(float("inf")))
     c = c.withColumn("taken", F.coalesce(F.sum("capacity").over(before), F.lit(0))).withColumn("left_weight", F.sum("weight").over(after))
     c = c.withColumn("is_full", F.col("full_at") * F.col("left_weight") + F.col("taken") <= F.col("budget"))
     c = c.withColumn("full_sum", F.sum(F.when(F.col("is_full"), F.col("capacity")).otherwise(0)).over(whole)).withColumn("open_weight", F.sum(F.when(F.col("is_full"), 0).otherwise(F.col("weight"))).over(whole))
-    share = F.floor((F.col("budget") - F.col("full_sum")) * F.col("weight") / F.col("open_weight"))
+    share = F.when(F.col("open_weight") > 0, F.floor((F.col("budget") - F.col("full_sum")) * F.col("weight") / F.col("open_weight"))).otherwise(0)
     return c.withColumn("alloc", F.when(F.col("is_full"), F.col("capacity")).otherwise(F.least(share, F.col("capacity"))).cast("long"))
 
 
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], share: float, max_epochs: int) -> DataFrame:
     """levels, supply and budget of each leaf. leaves: levels and supply; weights: by level and value, 1 where none is given."""
-    leaves = leaves.withColumn("capacity", F.col("supply") * max_epochs)
+    def weight_at(level: str) -> Column:
+        weight = F.lit(1)
+        for value, w in (weights.get(level) or {}).items():
+            weight = F.when(F.col(level) == value, w).otherwise(weight)
+        return weight
+
+    # What lies under a weight of 0 can take nothing, and nothing is set aside for it on any level.
+    takes = F.lit(True)
+    for level in levels:
+        takes = takes & (weight_at(level) > 0)
+    leaves = leaves.withColumn("capacity", F.when(takes, F.col("supply") * max_epochs).otherwise(0))
     found = leaves.agg(F.floor(F.least(F.sum("supply") * F.lit(share), F.sum("capacity").cast("double"))).cast("long").alias("budget"))
     for k, level in enumerate(levels):
         up, at = levels[:k], levels[: k + 1]
-        given = weights.get(level) or {}
-        weight = F.lit(1)
-        for value, w in given.items():
-            weight = F.when(F.col(level) == value, w).otherwise(weight)
-        nodes = leaves.groupBy(*at).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight.cast("long")).withColumn("node", F.col(level))
+        nodes = leaves.groupBy(*at).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight_at(level).cast("long")).withColumn("node", F.col(level))
         nodes = nodes.join(found, up) if up else nodes.crossJoin(F.broadcast(found))  # one row
         found = fill(nodes, up).select(*at, F.col("alloc").alias("budget"))
     return leaves.select(*levels, "supply").join(found, levels)
