@@ -17,6 +17,7 @@ items give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -138,6 +139,17 @@ class Matcher:
         return out
 
 
+_kept: dict[tuple, Matcher] = {}
+
+
+def matcher_of(name: str, items: list[tuple[int, str]], rate: float) -> Matcher:
+    """The matcher of a block of items; a worker keeps its last one for its next tasks."""
+    if (name, rate) not in _kept:
+        _kept.clear()
+        _kept[name, rate] = Matcher(items, rate)
+    return _kept[name, rate]
+
+
 def first_length(item: str, at: dict[str, int], text: str, distance: int) -> int:
     """The shortest beginning of text at that distance from all of item (there is one)."""
     m = len(item)
@@ -176,8 +188,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars
     texts, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL"), None
     for block in blocks_of(benchmark, block_chars):
 
-        def scan(batches: Iterator[pd.DataFrame], sent=docs.sparkSession.sparkContext.broadcast(block)) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(sent.value, rate)
+        def scan(batches: Iterator[pd.DataFrame], sent=docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))) -> Iterator[pd.DataFrame]:
+            matcher = matcher_of(*sent.value, rate)
             for batch in batches:
                 rows = [(d, *hit) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for hit in matcher.find(text)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "start", "stop"])
