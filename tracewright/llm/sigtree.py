@@ -9,7 +9,7 @@ A document's set holds its distinct SHINGLE-word shingles as 64-bit hashes; docu
    more than s empty ones, in which case the empty parts are emitted too. Parts are numbered within classes of sizes; a
    set near a class's top is emitted in the next as well. Sets that share fewer
    parts with others than a link takes have none and end here.
-3. The candidates' connected components are the blocks. Blocks above CHUNK tokens are divided first, by the same filter with
+3. The candidates' connected components are the blocks. Blocks above DIVIDED times CHUNK tokens are divided first, by the same filter with
    FINE instead of COARSE spare parts, which takes more signatures and lets less through. In a block, a signature tree holds at each node the OR of its
    members' token bitmaps, the range of their sizes and what bitmaps may undercount. A dual traversal of the tree with
    itself drops pairs of nodes whose greatest possible overlap is below the least one needed, whose sizes don't fit, or
@@ -27,13 +27,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import forget, lean, written
+from .common import forget, lean, small, written
 from .components import components
 from .huffman import binary
 from .textbytes import Texts, flat, mix, slices, words
@@ -45,14 +45,16 @@ LEAF = 16
 FAN = 4
 HUBS = 12
 #: Parts to spare (s) as hundredths of the elements in which linked sets may differ: for all sets, and for those of large blocks.
-COARSE, FINE = 20, 100
+COARSE, FINE = 25, 100
+#: Chunks above which a block is divided by finer signatures first, which shuffle about twenty times its tokens' bytes.
+DIVIDED = 4
 #: Bytes of text whose sets are made at once.
 SLICE = 1 << 20
 #: Tokens of a task's share of a block.
 CHUNK = 6_000_000
 LEADERS = 32
-#: Ids of large blocks that are broadcast (8 MB); more are joined by a shuffle.
-BROADCAST_BLOCKS = 1_000_000
+#: Passes over the signatures, each with its share of them, so that one share at a time lies in shuffle files.
+PASSES = 2
 
 U = np.uint64
 _STEP = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -316,20 +318,29 @@ def _join_chunks(rows: DataFrame, tasks: int, percent: int) -> DataFrame:
 def _candidates(table: DataFrame) -> DataFrame:
     """node and root of the components of candidates, roots left out. table: node and SIGNED."""
     spark = table.sparkSession
-    emitted = table.select("node", F.explode(F.concat("sigs0", "sigs1")).alias("sig"))
-    shared = written(emitted.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("sig", "least"), "shared")
-    steps = [table.select("node", F.lit(k).alias("step"), F.col(f"need{k}").alias("need"), F.explode(f"sigs{k}").alias("sig")) for k in (0, 1)]
-    met = written(steps[0].unionAll(steps[1]).join(shared, "sig").distinct(), "met")
+    parts, each = [], []
+    for k in range(PASSES):
+
+        def of(sigs: Column, k: int = k) -> Column:
+            return F.explode(F.filter(sigs, lambda x: F.pmod(x, F.lit(PASSES)) == k)).alias("sig")
+
+        emitted = table.select("node", of(F.concat("sigs0", "sigs1")))
+        shared = written(emitted.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("sig", "least"), "shared")
+        steps = [table.select("node", F.lit(x).alias("step"), F.col(f"need{x}").alias("need"), of(F.col(f"sigs{x}"))) for x in (0, 1)]
+        each.append(written(steps[0].unionAll(steps[1]).join(shared, "sig").distinct(), "met"))
+        parts.append(shared)
+    met = reduce(DataFrame.unionAll, each)
+    forget(*parts)
     # A set with fewer signatures in common with others than a link takes has no link there; twice, as others go with it.
     for _ in range(2):
         able = met.groupBy("node", "step").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("most_needed")).filter("c >= most_needed").select("node", "step")
         left = met.join(able, ["node", "step"], "left_semi")
         again = left.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("sig", "least")
-        new = written(left.drop("least").join(again, "sig"), "met")
-        forget(met)
-        met = new
+        met = written(left.drop("least").join(again, "sig"), "met")
+        forget(*each)
+        each = [met]
     found = components(met.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
-    forget(met, shared)
+    forget(*each)
     return found
 
 
@@ -357,7 +368,7 @@ def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_t
     found = _candidates(both.filter("n > 0"))
     forget(both)
     chosen = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "version", "n")).alias("d"))
-    chosen = _members(chosen, found, "node").select("node", "block", F.col("d.doc_id").alias("its_id"), F.col("d.version").alias("its_version"))
+    chosen = small(written(_members(chosen, found, "node").select("node", "block", F.col("d.doc_id").alias("its_id"), F.col("d.version").alias("its_version")), "chosen"))
 
     @lean
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,12 +380,10 @@ def labels(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, chunk_t
 
     fetched = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["its_id"]) & (docs["version"] == chosen["its_version"])).select("node", "block", "text")
     members = written(fetched.mapInArrow(tokens_of, "block long, node long, n long, tokens binary"), "members")
-    heavy = members.groupBy("block").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > chunk_tokens).select("block")
+    heavy = members.groupBy("block").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > DIVIDED * chunk_tokens).select("block")
     heavy = written(heavy, "heavy")
-    blocks = heavy.count()
-    if blocks:
-        if blocks <= BROADCAST_BLOCKS:
-            heavy = F.broadcast(heavy)
+    if not heavy.isEmpty():
+        heavy = small(heavy)
 
         def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -431,7 +440,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     stays = labelled.groupBy("label").agg(F.min(F.struct("doc_id", "version")).alias("k")).select("label", "k")
     # Texts leave their rows only where their row may go or has an equal.
     judged = labelled.groupBy("label", "doc_id", "version").agg(F.count(F.lit(1)).alias("c")).join(stays, "label").withColumn("first", F.struct("doc_id", "version").eqNullSafe(F.col("k")))
-    judged = written(judged.filter("NOT first OR c > 1").select("doc_id", "version", "first"), "judged")
+    judged = small(written(judged.filter("NOT first OR c > 1").select("doc_id", "version", "first"), "judged"))
 
     def has(some: DataFrame) -> Column:
         return docs["doc_id"].cast("long").eqNullSafe(some["doc_id"]) & (F.xxhash64(docs["text"]) == some["version"])
