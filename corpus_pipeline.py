@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracewright.llm import budget, crf, hilbert, pigeonhole, sigtree
-from tracewright.llm.common import forget, read, written
+from tracewright.llm.common import forget, read, small, written
 
 #: Near duplicates here take five words and a similarity of 0.8.
 SHINGLE, PERCENT = 5, 80
@@ -27,7 +27,7 @@ def text_key(docs: DataFrame) -> Column:
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs but those whose text's key is in keys (a column doc_id); all columns stay as they are, whatever their names."""
-    gone = written(keys.distinct(), "gone")
+    gone = small(written(keys.distinct(), "gone"))
     return docs.join(gone, text_key(docs) == gone["doc_id"], "left_anti")
 
 
@@ -53,7 +53,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.xxhash64(docs["text"]).cast("string"))
     tree = budget.with_tree(docs.select(key.alias("doc_id"), docs["lang"], docs["source"], docs["text"]))
     mixed = budget.hierarchical_mix(tree, budget.LEVELS, budget.WEIGHTS, share=SHARE, max_epochs=1)
-    taken = written(mixed.filter("full_epochs > 0 OR part_tokens > 0").select(F.col("doc_id").alias("its_key")).distinct(), "taken")
+    taken = small(written(mixed.filter("full_epochs > 0 OR part_tokens > 0").select(F.col("doc_id").alias("its_key")).distinct(), "taken"))
     return docs.join(taken, key == taken["its_key"], "left_semi")
 
 
