@@ -40,7 +40,7 @@ def test_round_trip_bounds(spark):
 
 
 def test_burst_flags_every_member(spark):
-    rows = [("A", "B", T0 + timedelta(minutes=m), 10, 0) for m in (0, 10, 25, 40)]
+    rows = [("A", "B", T0 + timedelta(minutes=m), 10, 0) for m in (1, 11, 26, 41)]
     assert detectors.bursts(txns(spark, rows)).count() == 4
 
 
@@ -69,16 +69,49 @@ def test_balance_breach_and_suspect(spark):
 def test_iqr(spark):
     rows = txns(spark, [("A", "", T0, 100 + 10 * i, 0) for i in range(9)] + [("A", "", T0, 5000, 0)])
     (r,) = cleaning.iqr_outliers(rows).collect()
-    assert (r.debit, r.fence) == (5000.0, 302.5)
+    assert (r.side, r.amount, r.fence) == ("DEBIT", 5000.0, 302.5)
 
 
 def test_beneficiary(spark):
     got = {r.node: r for r in detectors.beneficiaries(txns(spark, [("A", "B", T0, 100, 0), ("A", "C", T0, 100, 0), ("A", "D", T0, 400, 0)])).collect()}
-    assert (got["D"].z, got["D"].is_new_high_value, got["D"].is_high_value) == (1.4142, True, False)
-    assert (got["B"].z, got["B"].is_new_high_value) == (-0.7071, False)
+    assert (got["D"].z, got["D"].is_new_high_value, got["D"].is_high_value) == (1.414, True, False)
+    assert (got["B"].z, got["B"].is_new_high_value) == (-0.707, False)
 
 
-@pytest.mark.parametrize(("raw", "value", "sign"), [("5,195.00Cr", 5195, "+"), ("(1,234.50)", 1234.5, "-"), ("-500", 500, "-"), ("Dr 20.00", 20, "-"), ("Rs. 75.50", 75.5, ""), ("nil", 0, ""), ("12.3.4", 0, "")])
+def test_beneficiary_by_single_payments(spark):
+    """The largest payment counts, not a total, and against the account's debit rows; blank counterparties have no row but count there."""
+    paid = [("A", "B", T0, 100, 0)] * 10 + [("A", "C", T0, 800, 0), ("A", "", T0, 1000, 0), ("Z", "B", T0, 5, 0)]
+    got = {(r.account_id, r.node): r for r in detectors.beneficiaries(txns(spark, paid)).collect()}
+    assert set(got) == {("A", "B"), ("A", "C"), ("Z", "B")}
+    assert (got["A", "B"].z, got["A", "C"].z, got["Z", "B"].z) == (-0.443, 1.883, 0.0)  # mean 233.33, spread 300.92
+    assert [got[k].is_new_high_value for k in sorted(got)] == [False, True, True]
+
+
+def test_rows_without_a_time_are_no_burst(spark):
+    midnight = T0.replace(hour=0, minute=0, second=0)
+    assert not detectors.bursts(txns(spark, [("A", "B", midnight, 10, 0)] * 4)).collect()
+    assert len(detectors.bursts(txns(spark, [("A", "B", midnight + timedelta(minutes=1), 10, 0)] * 4)).collect()) == 4
+
+
+def test_pairs_of_empty_balances_are_no_breach(spark):
+    rows = txns(spark, [("A", "", T0, 0, 0), ("A", "", T0 + timedelta(1), 0, 50), ("A", "", T0 + timedelta(2), 0, 70)])
+    seen = rows.withColumn("balance", F.element_at(F.array(*map(F.lit, (0, 0, 9))), (F.col("seq") + 1).cast("int")).cast("decimal(18,2)"))
+    assert [r.seq for r in cleaning.balance_breaches(seen).filter("is_breach").collect()] == [2]
+
+
+def test_iqr_of_both_sides(spark):
+    """Credits are fenced as debits are; an account of equal debits has no fence."""
+    rows = txns(spark, [("A", "", T0, 0, 100 + 10 * i) for i in range(9)] + [("A", "", T0, 0, 5000)] + [("B", "", T0, 100, 0)] * 9 + [("B", "", T0, 900, 0)])
+    assert [(r.account_id, r.side, r.amount) for r in cleaning.iqr_outliers(rows).collect()] == [("A", "CREDIT", 5000.0)]
+
+
+def test_areas_of_scores_that_differ_late(spark):
+    rows = [(0.12341, 1), (0.12342, 0), (0.12343, 1), (0.9, 1), (0.1, 0)]
+    r = evaluation.areas(spark.createDataFrame(rows, "score double, label long")).first()
+    assert (r.roc_auc, r.average_precision) == (0.833333, 0.916667)
+
+
+@pytest.mark.parametrize(("raw", "value", "sign"), [("5,195.00Cr", 5195, "+"), ("(1,234.50)", 1234.5, "-"), ("-500", 500, "-"), ("Dr 20.00", 20, "-"), ("Rs. 75.50", 75.5, ""), ("nil", 0, ""), ("12.3.4", 0, ""), ("$100", 100, ""), ("75.50/-", 75.5, ""), ("1,200.00 *", 1200, ""), ("INR 5.00 only", 5, "")])
 def test_amounts(spark, raw, value, sign):
     r = spark.createDataFrame([(raw,)], "x string").select(parsing.amount_value(F.col("x")).alias("v"), parsing.amount_sign(F.col("x")).alias("s")).first()
     assert (float(r.v), r.s) == (value, sign)

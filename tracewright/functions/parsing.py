@@ -28,11 +28,17 @@ DATE_FORMATS = ["dd/MM/yyyy", "dd/MM/yy", "dd-MM-yyyy", "dd-MM-yy", "dd-MMM-yyyy
 
 
 def amount_value(raw: Column) -> Column:
-    """The unsigned amount in a cell such as '5,195.00Cr' or '(1,234.50)'; 0 if there is none."""
-    digits = F.regexp_replace(F.regexp_replace(raw, r"(?i)(cr|dr|rs\.?|inr|₹)", ""), r"[,\s()+\-]", "")
+    """The unsigned amount in a cell such as '5,195.00Cr', '$100', '75.50/-' or '(1,234.50)': its digits and points alone; 0 if these are no number."""
+    bare = F.regexp_replace(raw, r"(?i)rs\.", "")
+    digits = F.regexp_replace(bare, r"[^\d.]", "")
     return F.coalesce(F.when(digits.rlike(r"^\d*\.?\d+$|^\d+\.$"), digits.try_cast("decimal(18,2)")), F.lit(0).cast("decimal(18,2)"))
 
 
+def has_amount(raw: Column) -> Column:
+    """Whether a cell holds a number at all, which tells text that can't be read from an amount of 0."""
+    return F.coalesce(F.regexp_replace(raw, r"(?i)rs\.", "").rlike(r"\d"), F.lit(False))
+
+
 def amount_sign(raw: Column) -> Column:
     """'+' for Cr, '-' for Dr, brackets or a minus sign, else empty."""
     return F.when(raw.rlike(r"(?i)cr\s*$|^\s*cr"), "+").when(raw.rlike(r"(?i)dr\s*$|^\s*dr|^\s*\(.*\)\s*$|^\s*-"), "-").otherwise("")

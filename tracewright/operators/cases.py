@@ -77,3 +77,47 @@ def first_of_pairs(edges: DataFrame, order: list[str]) -> DataFrame:
     """One edge per unordered pair of ends, channel and day: the first in order."""
     pair = Window.partitionBy(F.least("account_id", "node"), F.greatest("account_id", "node"), "channel", "day").orderBy(*order)
     return edges.withColumn("its_place", F.row_number().over(pair)).filter("its_place = 1").drop("its_place")
+
+
+def dashboard(accounts: DataFrame, txns: DataFrame, rings: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row: counts of accounts and suspect ones, rows and flagged ones, rings and open cases, and the money of flagged rows.
+
+    accounts: is_suspect; txns: debit, credit, is_flagged; rings: ring_id; cases: status."""
+    a = accounts.agg(F.count(F.lit(1)).alias("total_accounts"), F.count_if("is_suspect").alias("suspect_accounts"))
+    risk = F.coalesce(F.sum(F.when(F.col("is_flagged"), F.col("debit") + F.col("credit"))), F.lit(0)).cast("double")
+    t = txns.agg(F.count(F.lit(1)).alias("total_transactions"), F.count_if("is_flagged").alias("flagged_transactions"), risk.alias("total_amount_at_risk"))
+    r = rings.agg(F.count_distinct("ring_id").alias("fraud_rings"))
+    return a.crossJoin(t).crossJoin(r).crossJoin(cases.agg(F.count_if(F.col("status") == "open").alias("open_investigations")))  # one row each
+
+
+def channel_summary(txns: DataFrame) -> DataFrame:
+    return txns.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("debit") + F.col("credit")).cast("double").alias("total")).orderBy(F.desc("n"), "channel")
+
+
+def flag_counts(rows: DataFrame, flags: list[str]) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(f)).alias(f) for f in flags])
+
+
+def edge_groups(rows: DataFrame) -> DataFrame:
+    """Edges by account, counterparty, channel, day and reference: money, rows, and whether one is flagged."""
+    return rows.groupBy("account_id", "node", "channel", "day", "ref").agg(F.sum("amount").cast("double").alias("total"), F.count(F.lit(1)).alias("txns"), F.max("is_flagged").alias("is_flagged"))
+
+
+def counted_page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """A page of rows in an order, each with the number of all rows."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
+
+
+def newest(history: DataFrame, account: str, n: int = 100) -> DataFrame:
+    return history.filter(F.col("account_id") == account).orderBy(F.desc("t"), F.desc("seq")).limit(min(n, 100))
+
+
+def suspect_graph(edges: DataFrame, scores: DataFrame, n: int) -> DataFrame:
+    """Edges whose two ends are among the n accounts of the highest scores (10 to 500)."""
+    top = F.broadcast(scores.orderBy(F.desc("score"), "account_id").limit(max(10, min(500, n))).select("account_id"))
+    return edges.join(top.select(F.col("account_id").alias("src")), "src", "left_semi").join(top.select(F.col("account_id").alias("dst")), "dst", "left_semi")
+
+
+def lookup(rows: DataFrame, key: str, value) -> DataFrame:
+    return rows.filter(F.col(key) == value).orderBy("seq").limit(1)

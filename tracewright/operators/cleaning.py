@@ -21,10 +21,11 @@ def near_duplicates(rows: DataFrame, key: list[str], text: str, seq: str) -> Dat
 
 
 def balance_breaches(rows: DataFrame, p: Thresholds = DEFAULT) -> DataFrame:
-    """Rows whose balance is not the last one plus credit minus debit, within the tolerance. rows: account_id, t, seq, debit, credit, balance."""
+    """Rows whose balance is not the last one plus credit minus debit, within the tolerance; where both balances are 0 none is known. rows: account_id, t, seq, debit, credit, balance."""
     w = Window.partitionBy("account_id").orderBy("t", "seq")
-    expected = F.lag("balance").over(w) + F.col("credit") - F.col("debit")
-    return rows.withColumn("gap", F.abs(F.col("balance") - expected)).withColumn("is_breach", F.coalesce(F.col("gap") > p.balance_tolerance, F.lit(False)))
+    last = F.lag("balance").over(w)
+    gap = F.abs(F.col("balance") - (last + F.col("credit") - F.col("debit")))
+    return rows.withColumn("gap", F.when(~((last == 0) & (F.col("balance") == 0)), gap)).withColumn("is_breach", F.coalesce(F.col("gap") > p.balance_tolerance, F.lit(False)))
 
 
 def suspects(checked: DataFrame) -> DataFrame:
@@ -40,10 +41,14 @@ def running_balance(rows: DataFrame) -> DataFrame:
 
 
 def iqr_outliers(rows: DataFrame, p: Thresholds = DEFAULT) -> DataFrame:
-    """Debits above Q3 + factor * IQR of their account's debits, for accounts with enough rows."""
-    s = rows.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("debit") > 0).alias("k"), F.expr("percentile(CASE WHEN debit > 0 THEN cast(debit AS double) END, array(0.25, 0.75))").alias("q"))
-    s = s.filter((F.col("n") >= p.iqr_rows) & (F.col("k") >= p.iqr_values)).select("account_id", (F.col("q")[1] + p.iqr_factor * (F.col("q")[1] - F.col("q")[0])).alias("fence"))
-    return rows.filter("debit > 0").join(s, "account_id").filter(F.col("debit").cast("double") > F.col("fence")).select("seq", "account_id", F.col("debit").cast("double").alias("debit"), F.round("fence", 4).alias("fence"))
+    """Debits and credits above Q3 + factor * IQR of their account's non-zero ones, for accounts with enough rows and sides with enough values that differ (IQR above 0)."""
+    side = lambda name: F.struct(F.lit(name.upper()).alias("side"), F.col(name).alias("amount"))
+    sizes = rows.groupBy("account_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= p.iqr_rows).select("account_id")
+    moved = rows.select("seq", "account_id", F.explode(F.array(side("debit"), side("credit"))).alias("m")).select("seq", "account_id", "m.*").filter("amount > 0")
+    s = moved.groupBy("account_id", "side").agg(F.count(F.lit(1)).alias("k"), F.expr("percentile(cast(amount AS double), array(0.25, 0.75))").alias("q"))
+    s = s.filter((F.col("k") >= p.iqr_values) & (F.col("q")[1] > F.col("q")[0])).select("account_id", "side", (F.col("q")[1] + p.iqr_factor * (F.col("q")[1] - F.col("q")[0])).alias("fence"))
+    found = moved.join(s.join(sizes, "account_id"), ["account_id", "side"]).filter(F.col("amount").cast("double") > F.col("fence"))
+    return found.select("seq", "account_id", "side", F.col("amount").cast("double").alias("amount"), F.round("fence", 4).alias("fence"))
 
 
 def date_flags(date: Column) -> Column:

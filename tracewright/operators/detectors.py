@@ -9,13 +9,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import DAY, DEFAULT, HOUR, Thresholds
 
 
+def known_peer(node: Column) -> Column:
+    """A counterparty that is named; blank ones and the text of a missing one are null."""
+    return F.when(~F.trim(node).isin("", "nan"), node)
+
+
 def anchored(rows: DataFrame, width: int, min_peers: int, min_txns: int, min_total: int, critical: int) -> DataFrame:
     """Per account the first row whose forward window of width microseconds passes the thresholds.
 
-    rows: account_id, node, t, seq, amount. One shuffle by account; the distinct peers are those in the window.
+    rows: account_id, node, t, seq, amount. One shuffle by account; the distinct peers are those in the window. A blank
+    counterparty is no peer, but its amount counts.
     """
     ahead = Window.partitionBy("account_id").orderBy("t").rangeBetween(0, width)
-    w = rows.withColumn("total", F.sum("amount").over(ahead)).withColumn("txns", F.count(F.lit(1)).over(ahead)).withColumn("peers", F.size(F.collect_set("node").over(ahead))).withColumn("last_t", F.max("t").over(ahead))
+    w = rows.withColumn("total", F.sum("amount").over(ahead)).withColumn("txns", F.count(F.lit(1)).over(ahead)).withColumn("peers", F.size(F.collect_set(known_peer(F.col("node"))).over(ahead))).withColumn("last_t", F.max("t").over(ahead))
     passing = w.filter((F.col("peers") >= min_peers) & (F.col("txns") >= min_txns) & (F.col("total") >= min_total))
     first = passing.groupBy("account_id").agg(F.min_by(F.struct("t", "last_t", "peers", "txns", "total"), F.struct("t", "seq")).alias("f"))
     severity = F.when(F.col("f.peers") >= critical, "CRITICAL").otherwise("HIGH")
@@ -60,11 +66,16 @@ def round_trips(txns: DataFrame, p: Thresholds = DEFAULT) -> DataFrame:
     return pairs.select("account_id", "node", "debit_seq", "credit_seq", F.round(F.col("credit").cast("double") / F.col("debit").cast("double"), 4).alias("ratio"), F.round(gap, 4).alias("gap_days"), F.when(gap < 3, "HIGH").otherwise("MEDIUM").alias("severity"))
 
 
+def trip_ends(trips: DataFrame) -> DataFrame:
+    """The accounts at either end of round_trips()."""
+    return trips.select("account_id").union(trips.select("node")).distinct()
+
+
 def bursts(txns: DataFrame, p: Thresholds = DEFAULT, minutes: int | None = None) -> DataFrame:
-    """Debits that belong to some window of burst_minutes with at least burst_txns of them."""
+    """Debits that belong to some window of burst_minutes with at least burst_txns of them. Rows at 00:00:00 have no time and are not counted."""
     width = (minutes or p.burst_minutes) * 60_000_000
     w = Window.partitionBy("account_id").orderBy("t")
-    n = txns.filter("debit > 0").withColumn("ahead", F.count(F.lit(1)).over(w.rangeBetween(0, width)))
+    n = txns.filter("debit > 0").filter(F.col("t") % DAY != 0).withColumn("ahead", F.count(F.lit(1)).over(w.rangeBetween(0, width)))
     n = n.withColumn("best", F.max("ahead").over(w.rangeBetween(-width, 0)))
     return n.filter(F.col("best") >= p.burst_txns).select("seq", "account_id", F.col("best").alias("window_txns"))
 
@@ -103,12 +114,20 @@ def layered_accounts(txns: DataFrame, p: Thresholds = DEFAULT) -> DataFrame:
 
 
 def beneficiaries(txns: DataFrame, p: Thresholds = DEFAULT) -> DataFrame:
-    """Totals per counterparty, their z score within the account, and the high-value and new-high-value tests."""
-    g = txns.filter("debit > 0").groupBy("account_id", "node").agg(F.sum("debit").alias("total"), F.count(F.lit(1)).alias("txns"), F.max("debit").alias("largest"))
-    w = Window.partitionBy("account_id")
-    z = (F.col("total").cast("double") - F.avg(F.col("total").cast("double")).over(w)) / F.nullif(F.stddev_pop(F.col("total").cast("double")).over(w), F.lit(0.0))
-    g = g.withColumn("z", F.coalesce(z, F.lit(0.0))).withColumn("top", F.max("total").over(w))
-    return g.select("account_id", "node", F.col("total").cast("double").alias("total"), "txns", F.col("largest").cast("double").alias("largest"), F.round("z", 4).alias("z"), (F.col("z") >= p.beneficiary_z).alias("is_high_value"), ((F.col("txns") == 1) & (F.col("total").cast("double") >= p.beneficiary_new * F.col("top").cast("double"))).alias("is_new_high_value"))
+    """Per account and named counterparty: total, payments, largest one, first and last day, and two tests of the largest payment.
+
+    z is its distance from the mean of the account's debit rows in their standard deviations (of all rows; 1 for a single
+    one). New high value: the only payment to that counterparty, and at least half the account's largest debit.
+    """
+    debits, money = txns.filter("debit > 0"), F.col("debit").cast("double")
+    spread = F.when(F.count(F.lit(1)) > 1, F.stddev_pop(money)).otherwise(1.0)
+    account = debits.groupBy("account_id").agg(F.avg(money).alias("mean"), spread.alias("std"), F.max("debit").alias("top"))
+    g = debits.filter(known_peer(F.col("node")).isNotNull()).groupBy("account_id", "node").agg(F.sum("debit").alias("total"), F.count(F.lit(1)).alias("txns"), F.max("debit").alias("largest"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    z = F.when(F.col("std") > 0, (F.col("largest").cast("double") - F.col("mean")) / F.col("std")).otherwise(0.0)
+    g = g.join(account, "account_id").withColumn("z", z)
+    day = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd")
+    is_new = (F.col("txns") == 1) & (F.col("largest").cast("double") >= p.beneficiary_new * F.col("top").cast("double"))
+    return g.select("account_id", "node", F.col("total").cast("double").alias("total"), "txns", F.col("largest").cast("double").alias("largest"), day("first_t").alias("first_day"), day("last_t").alias("last_day"), F.round("z", 3).alias("z"), (F.col("z") >= p.beneficiary_z).alias("is_high_value"), is_new.alias("is_new_high_value"))
 
 
 def risk_scores(accounts: DataFrame, flags: dict[str, DataFrame], new_high_value: DataFrame, p: Thresholds = DEFAULT) -> DataFrame:
@@ -121,6 +140,23 @@ def risk_scores(accounts: DataFrame, flags: dict[str, DataFrame], new_high_value
         names.append(F.when(hit, name.upper()))
     out = out.join(new_high_value.select("account_id").distinct().withColumn("is_new", F.lit(True)), "account_id", "left")
     new = F.coalesce("is_new", F.lit(False))
-    score = F.round(F.least(F.lit(100.0), score + F.when(new, 5.0).otherwise(0.0)), 2)
+    score = F.least(F.lit(100.0), F.round(score + F.when(new, 5.0).otherwise(0.0), 1))
     tier = F.when(score >= 75, "CRITICAL").when(score >= 50, "HIGH").when(score >= 25, "MEDIUM").otherwise("LOW")
-    return out.select("account_id", score.alias("score"), tier.alias("tier"), F.concat_ws("|", *names, F.when(new, "NEW_HV_BENE")).alias("active_patterns"))
+    return out.select("account_id", score.alias("score"), tier.alias("tier"), F.coalesce(F.nullif(F.concat_ws(" | ", *names, F.when(new, "NEW_HV_BENE")), F.lit("")), F.lit("NONE")).alias("active_patterns"))
+
+
+def window_members(rows: DataFrame, findings: DataFrame) -> DataFrame:
+    """seq and account_id of the rows inside their account's finding of anchored(). rows: the side that was searched; at most one finding an account."""
+    f = findings.select("account_id", F.to_timestamp("window_start").alias("from_"), F.to_timestamp("window_end").alias("to_"))
+    second = F.date_trunc("second", F.timestamp_micros("t"))
+    return rows.join(f, "account_id").filter((second >= F.col("from_")) & (second <= F.col("to_"))).select("seq", "account_id")
+
+
+def risk_reasons(scores: DataFrame, findings: dict[str, DataFrame]) -> DataFrame:
+    """account_id and the reasons for its score, in the order of the flags. findings: by flag, account_id, at (their order) and reason; an account's first one is taken."""
+    out, texts = scores.select("account_id"), []
+    for name, found in findings.items():
+        first = found.groupBy("account_id").agg(F.min_by("reason", "at").alias(f"why_{name}"))
+        out, texts = out.join(first, "account_id", "left"), [*texts, f"why_{name}"]
+    text = F.concat_ws(" | ", *texts)
+    return out.select("account_id", F.when(text == "", "No suspicious patterns detected").otherwise(text).alias("reasons"))

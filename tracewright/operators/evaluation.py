@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+#: Scores lie between 0 and 1; a curve's running sums go over so many buckets of them.
+BUCKETS = 4096
+
+
+def is_true(label: Column) -> Column:
+    """Whether a label's text says yes."""
+    return F.coalesce(F.lower(F.trim(label)).isin("true", "1", "yes"), F.lit(False))
 
 
 def confusion(scored: DataFrame, threshold: float) -> DataFrame:
     hit, pos = F.col("score") >= threshold, F.col("label") == 1
     c = scored.agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & ~pos).alias("tn"), F.count_if(~hit & pos).alias("fn"))
     p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
-    return c.select("tp", "fp", "tn", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 6).alias("f1"))
+    return c.select("tp", "fp", "tn", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 6).alias("f1"), F.round(100 * r, 4).alias("caught_pct"), F.round(100 * F.try_divide("fp", F.col("fp") + F.col("tn")), 4).alias("false_alarm_pct"))
 
 
 def curve(scored: DataFrame) -> DataFrame:
     """score, tp, fp at each distinct score as threshold, with totals.
 
-    Distinct scores are counted first; scores are rounded, so the window holds a bounded number of rows.
+    Running sums have two levels: over the steps within a bucket of scores, and over the buckets' sums, one row each.
     """
-    steps = scored.groupBy(F.round("score", 4).alias("score")).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    w, all_ = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return steps.select("score", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(all_).alias("positives"), F.sum("n").over(all_).alias("negatives"))
+    steps = scored.groupBy(F.col("score").cast("double").alias("score")).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")).withColumn("bucket", F.floor(F.col("score") * BUCKETS))
+    sums = steps.groupBy("bucket").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    above, all_ = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = sums.select("bucket", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("bp", "bn")], F.sum("bp").over(all_).alias("positives"), F.sum("bn").over(all_).alias("negatives"))
+    w = Window.partitionBy("bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = steps.select("bucket", "score", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    return inside.join(sums, "bucket").select("score", "p", "n", (F.col("tp") + F.col("bp_above")).alias("tp"), (F.col("fp") + F.col("bn_above")).alias("fp"), "positives", "negatives")
 
 
 def areas(scored: DataFrame) -> DataFrame:

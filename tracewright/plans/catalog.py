@@ -22,6 +22,8 @@ def _checkpoints(spark: SparkSession) -> None:
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="tracewright-")
@@ -29,12 +31,17 @@ def _checkpoints(spark: SparkSession) -> None:
 
 
 def layering(spark, sf_dir):
+    """All chains, counted by the account where they begin, hops and severity."""
     _checkpoints(spark)
-    return detectors.layering(txn_events(spark, sf_dir))
+    chains = detectors.layering(txn_events(spark, sf_dir))
+    start = F.substring_index("path", ">", 1)
+    return chains.groupBy(start.alias("account_id"), "hops", "severity").agg(F.count(F.lit(1)).alias("chains"), F.min("skim").alias("least_skim"), F.max("skim").alias("most_skim"))
 
 
 def maximal_layering(spark, sf_dir):
-    return trails.maximal_chains(layering(spark, sf_dir).select("path", "seqs"))
+    """Chains that are part of no other, with hops of up to 6 hours."""
+    _checkpoints(spark)
+    return trails.maximal_chains(detectors.layering(txn_events(spark, sf_dir), hours=6).select("path", "seqs"))
 
 
 def money_trail(forward: bool):
@@ -73,9 +80,7 @@ def risk(spark, sf_dir):
     """All nine flags: both ends of round trips, every account of a chain, breaches of the balances of balance_breach."""
     _checkpoints(spark)
     t = txn_events(spark, sf_dir)
-    trips = detectors.round_trips(t)
-    ends = trips.select("account_id").unionAll(trips.select(F.col("node").alias("account_id")))
-    flags = {"round_trip": ends, "layering": detectors.layered_accounts(t), "high_value": cleaning.iqr_outliers(t), "balance_breach": breach(spark, sf_dir), "fan_in": detectors.fan_in(t), "fan_out": detectors.fan_out(t), "smurfing": detectors.smurfing(t), "odd_hour": detectors.odd_hours(t), "velocity": detectors.bursts(t)}
+    flags = {"round_trip": detectors.trip_ends(detectors.round_trips(t)), "layering": detectors.layered_accounts(t), "high_value": cleaning.iqr_outliers(t), "balance_breach": breach(spark, sf_dir), "fan_in": detectors.fan_in(t), "fan_out": detectors.fan_out(t), "smurfing": detectors.smurfing(t), "odd_hour": detectors.odd_hours(t), "velocity": detectors.bursts(t)}
     return detectors.risk_scores(t, flags, detectors.beneficiaries(t).filter("is_new_high_value"))
 
 
@@ -156,17 +161,19 @@ def stats(spark, sf_dir):
     return t.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"), F.sum("debit").cast("double").alias("debits"), F.sum("credit").cast("double").alias("credits"), F.max("amount").cast("double").alias("largest"), F.min(F.date_format("ts", "yyyy-MM-dd")).alias("first_day"), F.max(F.date_format("ts", "yyyy-MM-dd")).alias("last_day"))
 
 
-def dashboard(spark, sf_dir):
+def daily_totals(spark, sf_dir):
     t = txn_events(spark, sf_dir)
     return t.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("account_id").alias("accounts"), F.sum("amount").cast("double").alias("total"), F.count_if(F.col("amount") >= 100000).alias("large"))
 
 
 def unknown_counterparties(spark, sf_dir):
+    """Counterparties of payments that never received a credit of 150,000 and more themselves."""
     t = txn_events(spark, sf_dir)
-    return t.join(t.select(F.col("account_id").alias("node")).distinct(), "node", "left_anti").select("node").distinct()
+    known = t.filter("credit >= 150000").select(F.col("account_id").alias("node")).distinct()
+    return t.filter("debit > 0").join(known, "node", "left_anti").select("node").distinct()
 
 
-def top_flagged(spark, sf_dir):
+def top_amounts(spark, sf_dir):
     return txn_events(spark, sf_dir).orderBy(F.desc("amount"), "seq").limit(500).select("seq", "account_id", F.col("amount").cast("double").alias("amount"))
 
 
@@ -290,7 +297,7 @@ def queries() -> dict:
         "suspect_accounts": suspects,
         "running_balance": running,
         "iqr_outliers": _t(cleaning.iqr_outliers),
-        "velocity_features": _t(lambda t: features.velocity(t, [24, 168])),
+        "velocity_features": _t(lambda t: features.velocity(t, [24, 168, 720])),
         "temporal_features": _t(features.temporal),
         "account_stats": _t(features.account_stats),
         "structuring_flags": _t(features.structuring),
@@ -304,9 +311,8 @@ def queries() -> dict:
         "search_txns": search,
         "account_list": accounts,
         "txn_stats": stats,
-        "dashboard": dashboard,
         "counterparties_anti": unknown_counterparties,
-        "top_amounts": top_flagged,
+        "top_amounts": top_amounts,
     }
 
 
@@ -337,27 +343,35 @@ _TRIP = f"""WITH {_TXN} SELECT d.account_id, d.node, d.seq AS debit_seq, c.seq A
   round((c.t - d.t) / 86400000000.0::DOUBLE, 4) AS gap_days, CASE WHEN c.t - d.t < 3 * 86400000000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
   FROM t d JOIN t c ON d.account_id = c.account_id AND d.node = c.node AND c.t > d.t AND c.t <= d.t + 30 * 86400000000
   WHERE d.debit > 5000 AND c.credit > 5000 AND c.credit >= d.debit * 0.70::DECIMAL(4,2)"""
-_BURST = f"""WITH {_TXN}, a AS (SELECT *, count(*) OVER (PARTITION BY account_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 30 MINUTE FOLLOWING) AS ahead FROM t WHERE debit > 0),
+_BURST = f"""WITH {_TXN}, a AS (SELECT *, count(*) OVER (PARTITION BY account_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 30 MINUTE FOLLOWING) AS ahead FROM t WHERE debit > 0 AND t % 86400000000 <> 0),
   b AS (SELECT *, max(ahead) OVER (PARTITION BY account_id ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS best FROM a)
   SELECT seq, account_id, best AS window_txns FROM b WHERE best >= 3"""
-_BENE = f"""{_TXN}, g AS (SELECT account_id, node, sum(debit) AS total, count(*) AS txns, max(debit) AS largest FROM t WHERE debit > 0 GROUP BY ALL),
-  z AS (SELECT *, coalesce((total::DOUBLE - avg(total::DOUBLE) OVER w) / nullif(stddev_pop(total::DOUBLE) OVER w, 0), 0) AS z, max(total) OVER w AS top FROM g WINDOW w AS (PARTITION BY account_id)),
-  bene AS (SELECT account_id, node, total::DOUBLE AS total, txns, largest::DOUBLE AS largest, round(z, 4) AS z, z >= 2.5 AS is_high_value, txns = 1 AND total::DOUBLE >= 0.5 * top::DOUBLE AS is_new_high_value FROM z)"""
-_RISK = f"""WITH a AS (SELECT DISTINCT account_id FROM (WITH {_TXN} SELECT * FROM t)),
-  f1 AS (SELECT DISTINCT account_id FROM ({_TRIP})), f2 AS (SELECT DISTINCT account_id FROM ({_FAN_IN})), f3 AS (SELECT DISTINCT account_id FROM ({_FAN_OUT})),
-  f4 AS (SELECT DISTINCT account_id FROM ({_SMURF})), f5 AS (SELECT DISTINCT account_id FROM ({_ODD})), f6 AS (SELECT DISTINCT account_id FROM ({_BURST})),
-  f7 AS (SELECT DISTINCT account_id FROM (WITH {_BENE} SELECT * FROM bene WHERE is_new_high_value)),
-  h AS (SELECT account_id, account_id IN (FROM f1) AS h1, account_id IN (FROM f2) AS h2, account_id IN (FROM f3) AS h3, account_id IN (FROM f4) AS h4, account_id IN (FROM f5) AS h5, account_id IN (FROM f6) AS h6, account_id IN (FROM f7) AS h7 FROM a),
-  s AS (SELECT *, round((h1::INT * 20 + h2::INT * 10 + h3::INT * 10 + h4::INT * 15 + h5::INT * 8 + h6::INT * 7 + h7::INT * 5)::DOUBLE, 2) AS score FROM h)
-  SELECT account_id, score, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS tier,
-    concat_ws('|', CASE WHEN h1 THEN 'ROUND_TRIP' END, CASE WHEN h2 THEN 'FAN_IN' END, CASE WHEN h3 THEN 'FAN_OUT' END, CASE WHEN h4 THEN 'SMURFING' END, CASE WHEN h5 THEN 'ODD_HOUR' END, CASE WHEN h6 THEN 'VELOCITY' END, CASE WHEN h7 THEN 'NEW_HV_BENE' END) AS active_patterns FROM s"""
+_BENE = f"""{_TXN}, a AS (SELECT account_id, avg(debit::DOUBLE) AS mean, CASE WHEN count(*) > 1 THEN stddev_pop(debit::DOUBLE) ELSE 1.0 END AS std, max(debit) AS top FROM t WHERE debit > 0 GROUP BY 1),
+  g AS (SELECT account_id, node, sum(debit) AS total, count(*) AS txns, max(debit) AS largest, strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day FROM t WHERE debit > 0 AND trim(node) NOT IN ('', 'nan') GROUP BY ALL),
+  z AS (SELECT *, CASE WHEN std > 0 THEN (largest::DOUBLE - mean) / std ELSE 0 END AS z FROM g JOIN a USING (account_id)),
+  bene AS (SELECT account_id, node, total::DOUBLE AS total, txns, largest::DOUBLE AS largest, first_day, last_day, round(z, 3) AS z, z >= 2.5 AS is_high_value, txns = 1 AND largest::DOUBLE >= 0.5 * top::DOUBLE AS is_new_high_value FROM z)"""
+_IQR = f"""WITH {_TXN}, k AS (SELECT account_id FROM t GROUP BY 1 HAVING count(*) >= 10),
+  m AS (SELECT seq, account_id, 'DEBIT' AS side, debit AS amount FROM t WHERE debit > 0 UNION ALL SELECT seq, account_id, 'CREDIT', credit FROM t WHERE credit > 0),
+  q AS (SELECT account_id, side, quantile_cont(amount::DOUBLE, 0.25) AS q1, quantile_cont(amount::DOUBLE, 0.75) AS q3 FROM m WHERE account_id IN (FROM k) GROUP BY ALL HAVING count(*) >= 4)
+  SELECT seq, account_id, side, amount::DOUBLE AS amount, round(q3 + 3.0 * (q3 - q1), 4) AS fence FROM m JOIN q USING (account_id, side) WHERE q3 > q1 AND amount::DOUBLE > q3 + 3.0 * (q3 - q1)"""
+_BREACH = f"""{_TXN}, b AS (SELECT *, sum(CASE WHEN seq % 7 = 0 THEN 0 ELSE credit - debit END) OVER (PARTITION BY account_id ORDER BY t, seq) AS balance FROM t),
+  l AS (SELECT *, lag(balance) OVER (PARTITION BY account_id ORDER BY t, seq) AS last FROM b), c AS (SELECT *, CASE WHEN NOT coalesce(last = 0 AND balance = 0, false) THEN abs(balance - (last + credit - debit)) END AS gap FROM l)"""
+_SUSPECTS = f"""WITH {_BREACH}, g AS (SELECT account_id, count(*) AS n_rows, count(*) FILTER (WHERE gap > 1.0) AS breaches FROM c GROUP BY account_id HAVING count(*) >= 2)
+  SELECT account_id, n_rows, breaches, round(breaches / n_rows, 4) AS ratio, CASE WHEN breaches / n_rows > 0.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM g WHERE breaches / n_rows > 0.05"""
+_LAYERED = f"""WITH {_TXN}, e AS (SELECT account_id AS src, node AS dst, t FROM t WHERE debit >= 10000 AND node <> account_id),
+  c AS (SELECT x.src AS a1, x.dst AS a2, y.dst AS a3, z.dst AS a4 FROM e x JOIN e y ON y.src = x.dst AND y.t >= x.t AND y.t <= x.t + 72 * 3600000000 JOIN e z ON z.src = y.dst AND z.t >= y.t AND z.t <= y.t + 72 * 3600000000
+        WHERE y.dst <> x.src AND z.dst NOT IN (x.src, x.dst))
+  SELECT a1 AS account_id FROM c UNION SELECT a2 FROM c UNION SELECT a3 FROM c UNION SELECT a4 FROM c"""
+_FLAGS = {"ROUND_TRIP": (20, f"SELECT account_id FROM ({_TRIP}) UNION SELECT node FROM ({_TRIP})"), "LAYERING": (20, _LAYERED), "FAN_IN": (10, _FAN_IN), "FAN_OUT": (10, _FAN_OUT), "SMURFING": (15, _SMURF), "ODD_HOUR": (8, _ODD), "VELOCITY": (7, _BURST), "HIGH_VALUE": (5, _IQR), "BALANCE_BREACH": (5, f"WITH {_BREACH} SELECT account_id FROM c WHERE gap > 1.0"), "NEW_HV_BENE": (5, f"WITH {_BENE} SELECT account_id FROM bene WHERE is_new_high_value")}
+_RISK = f"""WITH a AS (SELECT DISTINCT account_id FROM (WITH {_TXN} SELECT * FROM t)), {', '.join(f'{k} AS (SELECT DISTINCT account_id FROM ({q}))' for k, (_, q) in _FLAGS.items())},
+  h AS (SELECT account_id, {', '.join(f'account_id IN (FROM {k}) AS h_{k}' for k in _FLAGS)} FROM a),
+  s AS (SELECT *, least(100, {' + '.join(f'h_{k}::INT * {w}' for k, (w, _) in _FLAGS.items())})::DOUBLE AS score, concat_ws(' | ', {', '.join(f"CASE WHEN h_{k} THEN '{k}' END" for k in _FLAGS)}) AS p FROM h)
+  SELECT account_id, score, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS tier, CASE WHEN p = '' THEN 'NONE' ELSE p END AS active_patterns FROM s"""
 _EDGES = f"{_TXN}, e AS (SELECT account_id AS src, node AS dst, sum(debit)::DOUBLE AS total, count(*) AS txns FROM t WHERE debit > 0 AND account_id <> node GROUP BY ALL)"
 _LINES = """r AS (SELECT l_orderkey, l_linenumber, l_returnflag || '/' || l_linestatus AS text,
   strftime(l_shipdate, '%Y-%m-%d') || ':' || lpad(l_partkey::VARCHAR, 9, '0') || ':' || lpad(l_suppkey::VARCHAR, 9, '0') || ':' || printf('%.2f', l_extendedprice) AS seq FROM lineitem)"""
-_BREACH = f"""{_TXN}, b AS (SELECT *, sum(CASE WHEN seq % 7 = 0 THEN 0 ELSE credit - debit END) OVER (PARTITION BY account_id ORDER BY t, seq) AS balance FROM t),
-  c AS (SELECT *, abs(balance - (lag(balance) OVER (PARTITION BY account_id ORDER BY t, seq) + credit - debit)) AS gap FROM b)"""
 _SCORED = """s AS (SELECT round(least(1.0::DOUBLE, n / 5000.0::DOUBLE), 4) AS score, quality::BIGINT AS label FROM (SELECT doc_id, max(n_chars) AS n FROM documents GROUP BY doc_id) JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"""
-_CURVE = _SCORED + """, g AS (SELECT round(score, 4) AS score, sum(label) AS p, sum(1 - label) AS n FROM s GROUP BY 1),
+_CURVE = _SCORED + """, g AS (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM s GROUP BY 1),
   c AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS ps, sum(n) OVER () AS ns FROM g)"""
 
 
@@ -420,8 +434,7 @@ def _more_sql() -> dict:
         "best_threshold": f"""WITH {_CURVE}, f AS (SELECT score, 2 * tp / (tp + fp + ps)::DOUBLE AS f1 FROM c)
             SELECT score AS threshold, round(f1, 6) AS f1 FROM f ORDER BY round(f1, 9) DESC, score DESC LIMIT 1""",
         "narration_features": f"""WITH c AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS low, CASE {cases_} ELSE 'OTHER' END AS channel FROM conversations)
-            SELECT conv_id, turn, coalesce(list_position([{codes}], channel), 0)::BIGINT AS channel_code, regexp_matches(low, 'transfer|neft|rtgs|imps')::BIGINT AS is_transfer, regexp_matches(low, 'cash|atm')::BIGINT AS is_cash,
-              regexp_matches(low, 'salary|payroll')::BIGINT AS is_salary, contains(low, 'upi')::BIGINT AS is_upi FROM c""",
+            SELECT conv_id, turn, coalesce(list_position([{codes}], channel), 0)::BIGINT AS channel_code, {', '.join(f"regexp_matches(low, '{words}')::BIGINT AS {k}" for k, words in features.NARRATION_WORDS.items())} FROM c""",
     }
 
 
@@ -439,14 +452,10 @@ def oracle_sql() -> dict[str, str]:
         "velocity_burst": _BURST,
         "beneficiary_profile": f"WITH {_BENE} SELECT * FROM bene",
         "risk_scores": _RISK,
-        "layering": f"""WITH RECURSIVE {_TXN}, e AS (SELECT account_id AS src, node AS dst, t, debit AS amount, seq FROM t WHERE debit >= 10000 AND node <> account_id),
-          l AS (SELECT [src, dst] AS path, [seq] AS seqs, dst AS fin, t AS last_t, amount AS a, amount AS z, 1 AS hops FROM e
-                UNION ALL SELECT list_append(path, dst), list_append(seqs, seq), dst, e.t, a, e.amount, hops + 1 FROM l JOIN e ON e.src = l.fin AND e.t >= last_t AND e.t <= last_t + 6 * 3600000000 AND NOT list_contains(path, e.dst) WHERE hops < 8)
-          SELECT array_to_string(path, '>') AS path, array_to_string(seqs, '>') AS seqs, hops::BIGINT AS hops, round(1 - z::DOUBLE / a::DOUBLE, 4) AS skim, CASE WHEN hops >= 5 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM l WHERE hops >= 3""",
-        "wcc": f"""WITH RECURSIVE {_TXN}, b AS (SELECT DISTINCT account_id AS x, node AS y FROM t WHERE debit >= 12000 AND account_id <> node),
+        "wcc": f"""WITH RECURSIVE {_TXN}, b AS (SELECT DISTINCT account_id AS x, node AS y FROM t WHERE debit > 0 AND account_id <> node),
           e AS (SELECT x, y FROM b UNION SELECT y, x FROM b), r AS (SELECT x AS node, x AS reach FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.reach)
           SELECT node, min(reach) AS component FROM r GROUP BY node""",
-        "ego_graph": f"""WITH RECURSIVE {_TXN}, e AS (SELECT DISTINCT account_id AS x, node AS y FROM t WHERE debit >= 10000 AND account_id <> node),
+        "ego_graph": f"""WITH RECURSIVE {_TXN}, e AS (SELECT DISTINCT account_id AS x, node AS y FROM t WHERE debit > 0 AND account_id <> node),
           r AS (SELECT 'ACC000001' AS node, 0 AS hop UNION SELECT e.y, hop + 1 FROM r JOIN e ON e.x = r.node WHERE hop < 2) SELECT node, min(hop)::BIGINT AS hop FROM r GROUP BY node""",
         "account_graph": f"WITH {_EDGES} SELECT * FROM e",
         "graph_summary": f"""WITH {_EDGES}, u AS (SELECT src AS node, 1 AS o, 0 AS i, total AS sent, 0.0::DOUBLE AS received FROM e UNION ALL SELECT dst, 0, 1, 0.0::DOUBLE, total FROM e)
@@ -454,30 +463,27 @@ def oracle_sql() -> dict[str, str]:
         "exact_dedup": f"WITH {_LINES}, c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY seq) AS copy FROM r) SELECT l_orderkey, l_linenumber, seq, copy FROM c WHERE copy > 1",
         "near_dedup": f"WITH {_LINES}, c AS (SELECT *, first_value(text) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY seq) AS f FROM r) SELECT l_orderkey, l_linenumber, seq, text FROM c WHERE text IS DISTINCT FROM f",
         "balance_breach": f"WITH {_BREACH} SELECT seq, account_id, gap::DOUBLE AS gap FROM c WHERE gap > 1.0",
-        "suspect_accounts": f"""WITH {_BREACH}, g AS (SELECT account_id, count(*) AS n_rows, count(*) FILTER (WHERE gap > 1.0) AS breaches FROM c GROUP BY account_id HAVING count(*) >= 2)
-          SELECT account_id, n_rows, breaches, round(breaches / n_rows, 4) AS ratio, CASE WHEN breaches / n_rows > 0.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM g WHERE breaches / n_rows > 0.05""",
+        "suspect_accounts": _SUSPECTS,
         "running_balance": f"WITH {_TXN} SELECT seq, account_id, (sum(credit - debit) OVER (PARTITION BY account_id ORDER BY t, seq))::DOUBLE AS balance FROM t",
-        "iqr_outliers": f"""WITH {_TXN}, q AS (SELECT account_id, quantile_cont(debit::DOUBLE, 0.25) FILTER (WHERE debit > 0) AS q1, quantile_cont(debit::DOUBLE, 0.75) FILTER (WHERE debit > 0) AS q3 FROM t GROUP BY account_id HAVING count(*) >= 10 AND count(*) FILTER (WHERE debit > 0) >= 4)
-          SELECT seq, account_id, debit::DOUBLE AS debit, round(q3 + 3.0 * (q3 - q1), 4) AS fence FROM t JOIN q USING (account_id) WHERE debit > 0 AND debit::DOUBLE > q3 + 3.0 * (q3 - q1)""",
-        "velocity_features": _velocity_sql([24, 168]),
+        "iqr_outliers": _IQR,
+        "velocity_features": _velocity_sql([24, 168, 720]),
         "temporal_features": f"""WITH {_TXN}, g AS (SELECT *, (t - lag(t) OVER (PARTITION BY account_id ORDER BY t, seq)) / 60000000.0::DOUBLE AS gap FROM t)
           SELECT seq, account_id, hour(ts) AS hour, isodow(ts) - 1 AS dow, isodow(ts) >= 6 AS is_weekend, hour(ts) >= 22 OR hour(ts) <= 5 AS is_night, round(coalesce(gap, 99999.0), 4) AS gap_minutes, coalesce(gap < 120, false) AS is_rapid FROM g""",
         "account_stats": f"""WITH {_TXN}, g AS (SELECT account_id, count(*) AS n, avg(amount::DOUBLE) AS mean, stddev_samp(amount::DOUBLE) AS std, count(*) FILTER (WHERE debit > 0) AS debits, count(DISTINCT node) AS peers, (max(t) - min(t)) / 86400000000.0::DOUBLE AS days FROM t GROUP BY account_id)
-          SELECT account_id, n, round(mean, 4) AS mean, round(coalesce(std, (SELECT median(std) FROM g), 1.0), 4) AS std, round(debits / n, 4) AS debit_ratio, peers, round(n / (floor(days) + 1), 4) AS txns_per_day FROM g""",
+          SELECT account_id, n, round(mean, 4) AS mean, round(coalesce(std, (SELECT median(std) FROM g), 1.0), 4) AS std, round(debits / n, 4) AS debit_ratio, peers, round(n / (greatest(1, floor(days)) + 1), 4) AS txns_per_day FROM g""",
         "structuring_flags": f"""WITH {_TXN} SELECT seq, amount % 1000 = 0 AS is_round, (amount >= 9000 AND amount < 10000) OR (amount >= 49000 AND amount < 50000) OR (amount >= 99000 AND amount < 100000) OR (amount >= 199000 AND amount < 200000) AS is_near_threshold,
           (CASE WHEN amount <= 1000 THEN 0 WHEN amount <= 5000 THEN 1 WHEN amount <= 10000 THEN 2 WHEN amount <= 50000 THEN 3 WHEN amount <= 100000 THEN 4 WHEN amount <= 500000 THEN 5 ELSE 6 END)::BIGINT AS bucket FROM t""",
         "pair_freq": f"WITH {_TXN} SELECT account_id, node, count(*) AS pair_txns, sum(amount)::DOUBLE AS pair_total FROM t GROUP BY ALL",
         "channel_infer": _channel_sql(),
         "text_normalise": r"SELECT conv_id, turn, md5(upper(trim(regexp_replace(replace(text, 'ß', 'SS'), '[|\\<>{}\[\]~`°\s]+', ' ', 'g')))) AS digest FROM conversations",
         "confusion": f"""WITH {_SCORED}, c AS (SELECT count(*) FILTER (WHERE score >= 0.3 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.3 AND label <> 1) AS fp, count(*) FILTER (WHERE score < 0.3 AND label <> 1) AS tn, count(*) FILTER (WHERE score < 0.3 AND label = 1) AS fn FROM s),
-          m AS (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r FROM c) SELECT tp, fp, tn, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / nullif(p + r, 0), 6) AS f1 FROM m""",
+          m AS (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r FROM c) SELECT tp, fp, tn, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / nullif(p + r, 0), 6) AS f1, round(100 * r, 4) AS caught_pct, round(100 * fp / nullif(fp + tn, 0), 4) AS false_alarm_pct FROM m""",
         "roc_auc": f"WITH {_CURVE} SELECT round(sum(n * (tp - p / 2)) / max(ps * ns), 6) AS roc_auc, round(sum(p * tp / (tp + fp)) / max(ps), 6) AS average_precision FROM c",
         "pr_curve": f"WITH {_CURVE} SELECT score, tp::BIGINT AS tp, fp::BIGINT AS fp FROM c",
         "score_hist": f"WITH {_SCORED} SELECT least(floor(score * 20), 19)::BIGINT AS bin, label, count(*) AS n FROM s GROUP BY ALL",
         "search_txns": "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice BETWEEN 50000 AND 150000 AND c_mktsegment ILIKE '%build%' AND o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
         "account_list": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_name ILIKE '%00001%' AND c_acctbal >= 0",
         "txn_stats": f"WITH {_TXN} SELECT account_id, count(*) AS n, sum(debit)::DOUBLE AS debits, sum(credit)::DOUBLE AS credits, max(amount)::DOUBLE AS largest, strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day FROM t GROUP BY account_id",
-        "dashboard": f"WITH {_TXN} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT account_id) AS accounts, sum(amount)::DOUBLE AS total, count(*) FILTER (WHERE amount >= 100000) AS large FROM t GROUP BY 1",
-        "counterparties_anti": f"WITH {_TXN} SELECT DISTINCT node FROM t WHERE node NOT IN (SELECT account_id FROM t)",
+        "counterparties_anti": f"WITH {_TXN} SELECT DISTINCT node FROM t WHERE debit > 0 AND node NOT IN (SELECT account_id FROM t WHERE credit >= 150000)",
         "top_amounts": f"WITH {_TXN} SELECT seq, account_id, amount::DOUBLE AS amount FROM t ORDER BY t.amount DESC, seq LIMIT 500",
     }
