@@ -59,6 +59,24 @@ def test_files_of_every_kind(spark, tmp_path):
     assert status == {"a.csv": "ok", "ACC77.tsv": "ok", "latin.csv": "ok", "p.json": "ok", "bad.json": "error", "none.txt": "empty", "z.doc": "skipped", "s.xlsx": "ok"}
 
 
+def test_day_numbers_of_spreadsheets_are_dates(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    names = "".join(f'<c r="{chr(65 + i)}1" t="inlineStr"><is><t>{v}</t></is></c>' for i, v in enumerate(["Txn Date", "Narration", "Debit", "Credit", "Balance"]))
+    rows = "".join(f'<row><c r="A{n}" s="{style}"><v>{day}</v></c><c r="B{n}" t="inlineStr"><is><t>shop</t></is></c><c r="C{n}"><v>10</v></c><c r="E{n}"><v>{900 - n * 10}</v></c></row>' for n, (style, day) in enumerate([(1, 45383), (2, 45384.5)], 2))
+    with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as z:
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData><row>{names}</row>{rows}</sheetData></worksheet>")
+    got = statements.normalise(statements.layouts(statements.files(spark, str(tmp_path)))).orderBy("seq").collect()
+    assert [(r.date, r.time, r.debit) for r in got] == [("2024-04-01", "00:00:00", 10), ("2024-04-02", "12:00:00", 10)]
+    assert statements.serial_date("1", True) == "1904-01-02" and statements.serial_date("x") == "x"
+
+
+def test_roles_by_names():
+    header = ["Sl No", "Value Date", "Particulars", "Chq No", "DR", "CR", "Closing Balance"]
+    assert dict(zip(statements.ROLES, statements.column_roles(header, []))) == {"date": 1, "narration": 2, "ref": 3, "debit": 4, "credit": 5, "balance": 6, "amount": -1, "drcr": -1}
+    assert statements.column_roles(["address", "विवरण", "राशि"], [])[4:7:2] == [1, 2]
+
+
 def test_roles_by_content():
     sample = [[str(i), f"0{i}/01/2024", "paid to shop", f"{i}0.00", f"{1000 - i * 10}.00"] for i in range(1, 6)]
     roles = dict(zip(statements.ROLES, statements.column_roles([], sample)))
