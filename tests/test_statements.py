@@ -126,3 +126,24 @@ def test_streams(spark, tmp_path):
     intake.load(intake.window_totals(intake.arrivals(spark, source), "1 hour", "1 hour", "0 seconds"), str(tmp_path / "w"), str(tmp_path / "c3")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "w")).filter("account_id = 'A'").collect()
     assert [(r.txns, r.peers) for r in got if r.window_start == t0] == [(5, 1)]  # with the repeat
+
+
+def test_columns_of_paytm_and_of_beneficiaries(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("COD_ACCT_NO,DAT_TXN_VALUE,DAT_TXN_PROCESSING,AMT_TXN_LCY,COD_DRCR,TXT_TXN_DESC,COD_ACCT_NO_FROM,COD_ACCT_NO_TO,REF_TXN_NO,COD_PROD\n9111,2024-01-01,2024-01-02,75.5,D,fuel 123456789012,1,2,R1,SA\n9111,2024-01-03,,20,C,top up,3,4,R2,\n9111,2024-01-04,,0,C,nothing,3,4,R2,\n")
+    (tmp_path / "b.csv").write_text("ACCOUNT NO.,ACCOUNT NAME,TRAN DATE,NARRATION,DEBIT AMOUNT,CREDIT AMOUNT,BALANCE,BALANCE INDICATOR,BENEF ACCT NO,BENEF IFSC,BENEF NAME\n77001,ANN LEE,01/02/2024,neft,10.00,5.00,100.00,D,555,ABCD0123456,BOB\n77001,ANN LEE,02/02/2024,IMPS/1/CARL,3.00,0.00,97.00,C,,,\n")
+    got = {(r.source_file, r.seq): r for r in statements.transactions(spark, str(tmp_path), str(tmp_path / "stage")).collect()}
+    assert set(got) == {("p.csv", 2), ("p.csv", 3), ("b.csv", 2), ("b.csv", 3)}
+    p, q = got["p.csv", 2], got["p.csv", 3]
+    assert (p.account_id, p.bank_name, p.date, p.debit, p.credit, p.balance, p.narration, p.utr_ref, p.counterparty_account, p.counterparty_ifsc, p.ingestion_warnings) == ("9111", "Paytm Payments Bank", "2024-01-02", Decimal("75.50"), 0, 0, "FUEL 123456789012", "R1", "2", "SA", "paytm_no_balance")
+    assert (q.date, q.debit, q.credit, q.counterparty_account, q.counterparty_ifsc) == ("2024-01-03", 0, 20, "3", "")
+    b, c = got["b.csv", 2], got["b.csv", 3]
+    assert (b.account_id, b.account_holder, b.debit, b.credit, b.balance, b.counterparty_account, b.counterparty_ifsc, b.counterparty_name) == ("77001", "ANN LEE", 15, 0, 100, "555", "ABCD0123456", "BOB")
+    assert (c.debit, c.credit, c.counterparty_name) == (0, 3, "Carl")
+
+
+def test_roles_by_position_and_misleading_dates():
+    rows = [["x", "long words here", "10", "5", "100"], ["y", "more words", "20", "0", "80"]]
+    roles = dict(zip(statements.ROLES, statements.column_roles(["a", "b", "c", "d", "e"], [[*r] for r in rows])))
+    assert (roles["date"], roles["narration"], roles["balance"]) == (0, 1, 4) and {roles["debit"], roles["credit"]} == {2, 3}
+    moved = [["n/a", "01/02/2024", "tea", "5"], ["n/a", "02/02/2024", "pay", "6"]]
+    assert statements.column_roles(["Date", "When", "Narration", "Amount"], moved)[0] == 1
