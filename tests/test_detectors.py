@@ -126,3 +126,25 @@ def test_average_precision(spark):
     scored = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.7, 1), (0.6, 0)], "score double, label long")
     r = evaluation.areas(scored).first()
     assert (r.average_precision, r.roc_auc) == (0.833333, 0.75)
+
+
+def test_windows_of_a_busy_account_against_brute_force(spark):
+    import random
+
+    from tracewright.config import HOUR
+
+    draw = random.Random(5)
+    rows = [(draw.choice("AB"), draw.choice(["p", "q", "r", "s", " ", None]), draw.randrange(0, 400) * HOUR, i, Decimal(draw.randrange(1, 9))) for i in range(150)]
+    for width, peers, txns, total in [(10 * HOUR, 3, 1, 10), (72 * HOUR, 4, 20, 60), (HOUR, 2, 2, 5), (1000 * HOUR, 5, 1, 0)]:
+        want = {}
+        for account in "AB":
+            mine = sorted((r for r in rows if r[0] == account), key=lambda r: (r[2], r[3]))
+            for _, _, t, _, _ in mine:
+                inside = [r for r in mine if t <= r[2] <= t + width]
+                n = len({r[1] for r in inside if r[1] and r[1].strip()})
+                if n >= peers and len(inside) >= txns and sum(r[4] for r in inside) >= total:
+                    want[account] = (n, len(inside), float(sum(r[4] for r in inside)))
+                    break
+        df = spark.createDataFrame(rows, "account_id string, node string, t long, seq long, amount decimal(18,2)")
+        got = {r.account_id: (r.peers, r.txns, r.total) for r in detectors.anchored(df, width, peers, txns, total, 9).collect()}
+        assert got == want, width

@@ -17,12 +17,25 @@ def known_peer(node: Column) -> Column:
 def anchored(rows: DataFrame, width: int, min_peers: int, min_txns: int, min_total: int, critical: int) -> DataFrame:
     """Per account the first row whose forward window of width microseconds passes the thresholds.
 
-    rows: account_id, node, t, seq, amount. One shuffle by account; the distinct peers are those in the window. A blank
-    counterparty is no peer, but its amount counts.
+    rows: account_id, node, t, seq, amount. Distinct peers are those in the window; a blank counterparty is no peer, but its amount
+    counts. An account's time is cut into buckets of the window's width, so a busy account fills many tasks: a row is in its own
+    bucket, and in the one before as what that one's windows reach. No set of peers is kept: a payment at t counts for the windows that begin
+    after the same peer's payment before it and not before t - width. These stretches of a peer do not overlap, so sums over
+    their ends count peers.
     """
-    ahead = Window.partitionBy("account_id").orderBy("t").rangeBetween(0, width)
-    w = rows.withColumn("total", F.sum("amount").over(ahead)).withColumn("txns", F.count(F.lit(1)).over(ahead)).withColumn("peers", F.size(F.collect_set(known_peer(F.col("node"))).over(ahead))).withColumn("last_t", F.max("t").over(ahead))
-    passing = w.filter((F.col("peers") >= min_peers) & (F.col("txns") >= min_txns) & (F.col("total") >= min_total))
+    of = lambda at: F.floor(at / width)
+    t, none = F.col("t"), F.lit(None).cast("bigint")
+    paid = rows.select("account_id", F.explode(F.array(of(t), of(t) - 1)).alias("bucket"), "t", "seq", "amount", F.lit(0).alias("step"))
+    named = rows.withColumn("peer", known_peer(F.col("node"))).filter("peer IS NOT NULL")
+    before = F.lag("t").over(Window.partitionBy("account_id", "peer").orderBy("t"))
+    counted = named.select("account_id", "t", F.greatest(before + 1, t - width).alias("start")).filter("start <= t")
+    parts = counted.select("account_id", "t", "start", F.explode(F.array_distinct(F.array(of(F.col("start")), of(t)))).alias("bucket"))
+    ends = F.array(F.struct(F.greatest("start", F.col("bucket") * width).alias("t"), F.lit(1).alias("step")), F.struct((t + 1).alias("t"), F.lit(-1).alias("step")))
+    steps = parts.select("account_id", "bucket", F.explode(ends).alias("e")).select("account_id", "bucket", "e.t", none.alias("seq"), F.lit(None).cast(rows.schema["amount"].dataType).alias("amount"), "e.step")
+    w = Window.partitionBy("account_id", "bucket").orderBy("t")
+    ahead, so_far = w.rangeBetween(0, width), w.rangeBetween(Window.unboundedPreceding, 0)
+    d = paid.unionByName(steps).withColumns({"total": F.sum("amount").over(ahead), "txns": F.count("amount").over(ahead), "last_t": F.max(F.when(F.col("amount").isNotNull(), t)).over(ahead), "peers": F.sum("step").over(so_far)})
+    passing = d.filter((of(t) == F.col("bucket")) & F.col("seq").isNotNull() & (F.col("peers") >= min_peers) & (F.col("txns") >= min_txns) & (F.col("total") >= min_total))
     first = passing.groupBy("account_id").agg(F.min_by(F.struct("t", "last_t", "peers", "txns", "total"), F.struct("t", "seq")).alias("f"))
     severity = F.when(F.col("f.peers") >= critical, "CRITICAL").otherwise("HIGH")
     return first.select("account_id", moment(F.col("f.t")).alias("window_start"), moment(F.col("f.last_t")).alias("window_end"), F.col("f.peers").cast("long").alias("peers"), F.col("f.txns").alias("txns"), F.col("f.total").cast("double").alias("total"), severity.alias("severity"))
