@@ -44,6 +44,39 @@ def amount_sign(raw: Column) -> Column:
     return F.when(raw.rlike(r"(?i)cr\s*$|^\s*cr"), "+").when(raw.rlike(r"(?i)dr\s*$|^\s*dr|^\s*\(.*\)\s*$|^\s*-"), "-").otherwise("")
 
 
+# Texts that stand for no amount.
+NO_AMOUNT = ["", "-", "--", "nil", "n/a", "nan", "none"]
+
+
+def clean_amount(raw: Column, signed: bool = False) -> Column:
+    """The amount in a cell, 0 if there is none. Brackets, Dr or D at either end, or a minus sign make it negative where signs are kept."""
+    low = F.coalesce(F.lower(F.trim(raw.cast("string"))), F.lit(""))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(low, r"^\((.*)\)$", "$1"), r"[₹$£€]|inr|rs\.?", ""))
+    digits = F.regexp_replace(bare, r"[^\d.]", "")
+    whole, rest = F.substring_index(digits, ".", 1), F.regexp_extract(digits, r"\.(.*)$", 1)
+    value = F.concat(whole, F.lit("."), F.replace(rest, F.lit("."), F.lit("")))
+    number = F.when(~low.isin(NO_AMOUNT) & (digits.rlike(r"\d")), F.concat(F.lit("0"), value).try_cast("decimal(18,2)"))
+    out = F.coalesce(number, F.lit(0).cast("decimal(18,2)"))
+    return F.when(low.rlike(r"^\(.*\)$") | bare.rlike(r"^-|(dr|d)\s*$|^(dr|d)\b"), -out).otherwise(out) if signed else out
+
+
+def is_corrected(raw: Column, signed: bool = False) -> Column:
+    """Whether clean_amount() reads a cell otherwise than as a plain number; texts for no amount are none."""
+    plain = F.coalesce(raw.cast("string").try_cast("double"), F.lit(0.0))
+    return F.abs(clean_amount(raw, signed).cast("double") - plain) > 1e-6
+
+
+def moment(date: Column, time: Column) -> Column:
+    """The timestamp of a date in any of DATE_FORMATS and a time of day, midnight if the time can't be read, null if the date can't."""
+    clock = F.upper(F.trim(F.coalesce(time, F.lit(""))))
+    part = lambda i: F.regexp_extract(clock, r"^(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?\s*(AM|PM)?$", i)
+    hour = part(1).try_cast("int") % F.when(part(4) == "", 24).otherwise(12) + F.when(part(4) == "PM", 12).otherwise(0)
+    told = F.format_string("%02d:%s:%s", hour, part(2), F.when(part(3) == "", "00").otherwise(part(3)))
+    # One element, so that the long expression of the date is written once.
+    whole = lambda day: F.coalesce(F.try_to_timestamp(F.concat(day, F.lit(" "), F.when(part(1).try_cast("int") < 24, told)), F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(day, F.lit("yyyy-MM-dd")))
+    return F.get(F.transform(F.array(F.nullif(parse_date(date), F.lit(""))), whole), F.lit(0))
+
+
 def parse_date(raw: Column) -> Column:
     """yyyy-MM-dd by the first format that fits, or an empty string. A time after the date is dropped, O next to digits is 0."""
     x = F.regexp_replace(F.trim(raw), r"\s+\d{1,2}:\d{2}.*$", "")

@@ -121,3 +121,13 @@ def suspect_graph(edges: DataFrame, scores: DataFrame, n: int) -> DataFrame:
 
 def lookup(rows: DataFrame, key: str, value) -> DataFrame:
     return rows.filter(F.col(key) == value).orderBy("seq").limit(1)
+
+
+def ring_members(members: DataFrame, accounts: DataFrame, ring: str) -> DataFrame:
+    """Members of a ring (ring_id, account_id, role, amount) with their account's holder, bank and risk; members without an account are left out."""
+    return members.filter(F.col("ring_id") == ring).join(accounts.select("account_id", "holder", "bank", "risk"), "account_id").select("account_id", "holder", "bank", "role", "amount", "risk")
+
+
+def rings_by_amount(rings: DataFrame) -> DataFrame:
+    """Rings with the largest amount first, then by id."""
+    return rings.orderBy(F.desc("amount"), "ring_id")

@@ -63,6 +63,40 @@ def flag_text(flags: dict[str, Column]) -> Column:
     return F.concat_ws(" | ", *[F.when(test, name) for name, test in flags.items()])
 
 
+# What flags of a row mean to a reader, in order.
+FLAG_REASONS = {
+    "is_duplicate": "NEAR_DUPLICATE: same date+amounts, different narration",
+    "is_balance_breach": "BALANCE_BREACH: balance does not reconcile with prior row",
+    "is_high_value_flag": "HIGH_VALUE_OUTLIER: amount exceeds 3×IQR for this account",
+    "is_velocity_flag": "VELOCITY_BURST: rapid succession of debits in short window",
+    "is_ocr_row": "OCR_SOURCE: lower data confidence (scanned image)",
+}
+
+
+def amount_flag(debit: Column, credit: Column) -> Column:
+    """ZERO_DEBIT_AND_CREDIT for a row that moves nothing, else null; a missing amount is 0."""
+    zero = F.lit(0)
+    return F.when((F.coalesce(debit, zero) == 0) & (F.coalesce(credit, zero) == 0), "ZERO_DEBIT_AND_CREDIT")
+
+
+def is_scanned(source_format: Column) -> Column:
+    """Whether a row was read from an image."""
+    return F.coalesce(F.lower(source_format) == "image", F.lit(False)) | F.coalesce(F.lower(source_format).isin("png", "jpg", "jpeg", "tiff", "tif"), F.lit(False))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """Adds flag_description: clean_flags and what the true flags mean, parted by ' | ', empty for clean rows. Flags that a table lacks are false."""
+    own = [F.nullif(F.trim("clean_flags"), F.lit(""))] if "clean_flags" in rows.columns else []
+    told = [F.when(F.col(c), F.lit(text)) for c, text in FLAG_REASONS.items() if c in rows.columns]
+    return rows.withColumn("flag_description", F.concat_ws(" | ", *own, *told))
+
+
+def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with some flag, and rows without any."""
+    d = rows if "flag_description" in rows.columns else described(rows)
+    return d.filter("flag_description <> ''"), d.filter("flag_description = ''")
+
+
 def inferred_movements(rows: DataFrame) -> DataFrame:
     """Rows without debit and credit take theirs from the change of the balance against the account's row before."""
     w = Window.partitionBy("account_id").orderBy("t", "seq")

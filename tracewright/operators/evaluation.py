@@ -67,6 +67,17 @@ def personas(labelled: DataFrame) -> DataFrame:
     return g.withColumn("false_alarm_pct", F.round(100 * F.col("false_alarms") / F.col("accounts"), 2))
 
 
+def labelled(scored: DataFrame, accounts: DataFrame, txn_labels: DataFrame | None = None) -> DataFrame:
+    """scored with its account's is_fraud as acc_is_fraud and with is_fraud_gt: the transaction's own label if there are labels of
+    transactions (transaction_id, label as text; a transaction without one is legitimate, one true label of several decides), else the account's."""
+    of_account = accounts.groupBy("account_id").agg(F.max(is_true(F.col("is_fraud").cast("string"))).alias("acc_is_fraud"))
+    d = scored.join(of_account, "account_id", "left").withColumn("acc_is_fraud", F.coalesce("acc_is_fraud", F.lit(False)))
+    if txn_labels is None:
+        return d.withColumn("is_fraud_gt", F.col("acc_is_fraud"))
+    own = txn_labels.groupBy("transaction_id").agg(F.max(is_true(F.col("label").cast("string"))).alias("is_fraud_gt"))
+    return d.join(own, "transaction_id", "left").withColumn("is_fraud_gt", F.coalesce("is_fraud_gt", F.lit(False)))
+
+
 def tier_counts(scored: DataFrame) -> DataFrame:
     """Rows per tier, 0 for tiers without any, with the tier's place."""
     all_tiers = scored.sparkSession.createDataFrame(list(enumerate(TIERS)), "place long, tier string")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import parsing
-from ..operators import cases, cleaning, detectors, evaluation, features, graph
+from ..operators import cases, cleaning, detectors, evaluation, features, graph, trails
+from ..sources import loader, reports
 from ..sources.tables import read, txn_events
 from . import catalog
 
@@ -130,6 +131,69 @@ def amounts(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", n, parsing.amount_value(cell).cast("double").alias("amount"), parsing.amount_sign(cell).alias("sign"), parsing.has_amount(cell).alias("is_number"))
 
 
+def clean_amounts(spark, sf_dir):
+    """Prices written as balances are, cleaned with and without their sign."""
+    n, p = F.col("l_linenumber"), F.format_string("%.2f", F.col("l_extendedprice").cast("double"))
+    near = lambda a, b="": F.concat(F.lit(a), p, F.lit(b))
+    cell = F.when(n == 1, near("(", ")")).when(n == 2, near("", " Dr")).when(n == 3, near("Rs. ", " Cr")).when(n == 4, near("-")).when(n == 5, "nil").when(n == 6, near("DR ")).otherwise(near("₹"))
+    value = lambda signed: parsing.clean_amount(cell, signed).cast("double")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", n, value(False).alias("amount"), value(True).alias("balance"), parsing.is_corrected(cell, True).alias("is_corrected"))
+
+
+def model_load(spark, sf_dir):
+    """Transactions under other names, every tenth twice, some with times or dates that can't be read."""
+    t = txn_events(spark, sf_dir)
+    t = t.unionByName(t.filter("seq % 10 = 0"))
+    day = F.when(F.col("seq") % 11 == 0, "soon").otherwise(F.date_format("ts", "dd-MM-yyyy"))
+    clock = F.when(F.col("seq") % 9 == 0, "noon").otherwise(F.date_format("ts", "HH:mm:ss"))
+    money = lambda c: F.concat(F.lit("Rs."), F.col(c).cast("string"))
+    raw = t.select(F.col("seq").cast("string").alias("Txn ID"), F.col("account_id").alias(" Acc ID"), day.alias("Txn Date"), clock.alias("Txn Time"), money("debit").alias("Debit Amount"), money("credit").alias("Credit Amount"), F.lit("-").alias("Closing Balance"))
+    rows = loader.prepared(loader.usual_columns(raw))
+    return rows.select("transaction_id", "account_id", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("moment"), F.col("amount").cast("double").alias("amount"), "txn_type", "is_duplicate")
+
+
+def labelled_txns(spark, sf_dir):
+    """Accounts and transactions are labelled by rules on their ids; a third of the transactions has no label."""
+    t = txn_events(spark, sf_dir).select(F.col("seq").alias("transaction_id"), "account_id")
+    people = t.select("account_id").distinct().withColumn("is_fraud", F.when(F.col("account_id").endswith("7"), " Yes").otherwise("no"))
+    own = t.filter("transaction_id % 3 <> 0").select("transaction_id", F.when(F.col("transaction_id") % 10 == 0, "TRUE").otherwise("0").alias("label"))
+    return evaluation.labelled(t, people, own).select("transaction_id", "acc_is_fraud", "is_fraud_gt")
+
+
+def _rings(spark, sf_dir) -> DataFrame:
+    """Priorities of orders stand for rings, customers for members."""
+    money = F.col("o_totalprice").cast(MONEY)
+    return read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("ring_id"), F.col("o_custkey").alias("account_id"), F.col("o_orderstatus").alias("role"), money.alias("amount"))
+
+
+def ring_members(spark, sf_dir):
+    members = _rings(spark, sf_dir).groupBy("ring_id", "account_id").agg(F.min("role").alias("role"), F.sum("amount").cast("double").alias("amount"))
+    people = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_name").alias("holder"), F.col("c_mktsegment").alias("bank"), F.col("c_acctbal").cast("double").alias("risk"))
+    return cases.ring_members(members, people, "1-URGENT")
+
+
+def rings_by_amount(spark, sf_dir):
+    return cases.rings_by_amount(_rings(spark, sf_dir).groupBy("ring_id").agg(F.count(F.lit(1)).alias("members"), F.sum("amount").cast("double").alias("amount")))
+
+
+def flag_descriptions(spark, sf_dir):
+    """Flagged transactions; those that end in 5 are near duplicates, in 9 from images."""
+    rows = flagged(spark, sf_dir).withColumnsRenamed({"is_high_value": "is_high_value_flag", "is_velocity": "is_velocity_flag", "is_breach": "is_balance_breach"})
+    kind = F.when(F.col("seq") % 10 == 9, "image").otherwise("csv")
+    rows = rows.withColumns({"is_duplicate": F.col("seq") % 10 == 5, "is_ocr_row": cleaning.is_scanned(kind), "clean_flags": F.coalesce(cleaning.amount_flag(F.col("debit"), F.col("credit")), F.lit(""))})
+    with_flags, _ = cleaning.parted(rows)
+    return with_flags.select("seq", "account_id", "flag_description")
+
+
+def trail_manifest(spark, sf_dir):
+    """Trails of the five accounts with the highest risk (a top-k report), in both directions."""
+    catalog._checkpoints(spark)
+    t = txn_events(spark, sf_dir)
+    roots = catalog.risk(spark, sf_dir).orderBy(F.desc("score"), "account_id").limit(5).select(F.col("account_id").alias("node")).checkpoint()
+    both = [trails.trails(t, roots, forward).withColumn("direction", F.lit(name)) for name, forward in (("forward", True), ("backward", False))]
+    return reports.trail_manifest(roots, both[0].unionByName(both[1]))
+
+
 _t = catalog._t
 
 
@@ -158,6 +222,13 @@ def queries() -> dict:
         "risk_reasons": reasons,
         "label_truth": label_truth,
         "amount_parse": amounts,
+        "clean_amounts": clean_amounts,
+        "model_load": model_load,
+        "labelled_txns": labelled_txns,
+        "ring_members": ring_members,
+        "rings_by_amount": rings_by_amount,
+        "flag_descriptions": flag_descriptions,
+        "trail_manifest": trail_manifest,
     }
 
 
@@ -240,4 +311,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT account_id, CASE WHEN w = '' THEN 'No suspicious patterns detected' ELSE w END AS reasons FROM r""",
         "label_truth": "SELECT coalesce(lower(trim(text)) IN ('true', '1', 'yes'), false) AS is_true, count(*) AS n FROM conversations GROUP BY 1",
         "amount_parse": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 THEN 0.0 ELSE round(l_extendedprice, 2) END::DOUBLE AS amount, CASE l_linenumber WHEN 3 THEN '+' WHEN 4 THEN '-' ELSE '' END AS sign, l_linenumber <> 5 AS is_number FROM lineitem""",
+        "clean_amounts": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 THEN 0.0 ELSE round(l_extendedprice, 2) END::DOUBLE AS amount,
+            (CASE WHEN l_linenumber = 5 THEN 0.0 WHEN l_linenumber IN (1, 2, 4, 6) THEN -round(l_extendedprice, 2) ELSE round(l_extendedprice, 2) END)::DOUBLE AS balance, l_linenumber NOT IN (4, 5) AND l_extendedprice <> 0 AS is_corrected FROM lineitem""",
+        "model_load": f"""{txn}, u AS (SELECT * FROM t UNION ALL SELECT * FROM t WHERE seq % 10 = 0),
+            k AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY 1) AS copy FROM u)
+            SELECT seq::VARCHAR AS transaction_id, account_id, CASE WHEN seq % 11 = 0 THEN NULL ELSE strftime(CASE WHEN seq % 9 = 0 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') END AS moment,
+            (credit - debit)::DOUBLE AS amount, CASE WHEN credit > 0 THEN 'credit' WHEN debit > 0 THEN 'debit' ELSE 'unknown' END AS txn_type, copy > 1 AS is_duplicate FROM k""",
+        "labelled_txns": f"{txn} SELECT seq AS transaction_id, account_id LIKE '%7' AS acc_is_fraud, seq % 3 <> 0 AND seq % 10 = 0 AS is_fraud_gt FROM t",
+        "ring_members": "SELECT c_custkey AS account_id, any_value(c_name) AS holder, any_value(c_mktsegment) AS bank, min(o_orderstatus) AS role, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS amount, any_value(c_acctbal)::DOUBLE AS risk FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1",
+        "rings_by_amount": "SELECT o_orderpriority AS ring_id, count(*) AS members, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS amount FROM orders GROUP BY 1 ORDER BY amount DESC, ring_id",
+        "flag_descriptions": f"""{txn}, b AS (SELECT seq FROM (WITH {c._BREACH} SELECT seq FROM c WHERE gap > 1.0)), h AS ({iqr}), v AS (SELECT DISTINCT seq FROM ({c._BURST})),
+            d AS (SELECT seq, account_id, concat_ws(' | ', CASE WHEN debit = 0 AND credit = 0 THEN 'ZERO_DEBIT_AND_CREDIT' END, CASE WHEN seq % 10 = 5 THEN 'NEAR_DUPLICATE: same date+amounts, different narration' END,
+            CASE WHEN seq IN (FROM b) THEN 'BALANCE_BREACH: balance does not reconcile with prior row' END, CASE WHEN seq IN (FROM h) THEN 'HIGH_VALUE_OUTLIER: amount exceeds 3×IQR for this account' END,
+            CASE WHEN seq IN (FROM v) THEN 'VELOCITY_BURST: rapid succession of debits in short window' END, CASE WHEN seq % 10 = 9 THEN 'OCR_SOURCE: lower data confidence (scanned image)' END) AS flag_description FROM t)
+            SELECT * FROM d WHERE flag_description <> ''""",
     }
