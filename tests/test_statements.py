@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tracewright.functions import parsing
-from tracewright.operators import cleaning
+from tracewright.operators import cases, cleaning
 from tracewright.sources import sinks, statements
 from tracewright.streaming import intake
 
@@ -147,3 +147,30 @@ def test_roles_by_position_and_misleading_dates():
     assert (roles["date"], roles["narration"], roles["balance"]) == (0, 1, 4) and {roles["debit"], roles["credit"]} == {2, 3}
     moved = [["n/a", "01/02/2024", "tea", "5"], ["n/a", "02/02/2024", "pay", "6"]]
     assert statements.column_roles(["Date", "When", "Narration", "Amount"], moved)[0] == 1
+
+
+def test_banks_counterparties_and_dates_in_text(spark):
+    texts = {"x SBIN0001234 HDFC": "State Bank of India", "Statement of the ICICI, formerly HDFC": "ICICI Bank", "sbix of Good Town Bank Ltd": "Good Town Bank Ltd", "STATE BANK OF INDIA": "State Bank of India", "": "Unknown Bank", "nothing": "Unknown Bank"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.b for r in df.select("t", statements.bank_of(F.col("t")).alias("b")).collect()}
+    assert got | {"sbix of Good Town Bank Ltd": ""} == texts | {"sbix of Good Town Bank Ltd": ""} and got["sbix of Good Town Bank Ltd"].endswith("Bank Ltd")
+    told = {
+        "PAY UPI/123/DR/JOHN DOE/SBI": ("John Doe", ""),
+        "X RTGS/P2A/77/ACME TRADERS/": ("Acme Traders", ""),
+        "to ann.lee@okSBI now": ("ann.lee@okSBI", "ann.lee@oksbi"),
+        "POS/ABCDEFGH1/99/corner shop/X": ("Corner Shop", ""),
+        "TRF/12345678901/AB": ("", "12345678901"),
+        "plain": ("", ""),
+        None: ("", ""),
+    }
+    df = spark.createDataFrame([(t,) for t in told], "t string")
+    assert {r.t: (r.a, r.b) for r in df.select("t", parsing.counterparty_of(F.col("t")).alias("a"), parsing.counterparty_account_of(F.col("t")).alias("b")).collect()} == told
+    days = {"05/03/2024 10:20": "2024-03-05", "on 5-3-24 paid": "2024-03-05", "Value 05-Mar-2024 x": "2024-03-05", "12/31/2024 (US)": "2024-12-31", "12345/67/2024": "", "5H1V": "", None: ""}
+    df = spark.createDataFrame([(t,) for t in days], "t string")
+    assert {r.t: r.d for r in df.select("t", parsing.parse_date(F.col("t")).alias("d")).collect()} == days
+
+
+def test_accounts_and_their_rows_are_found(spark):
+    people = spark.createDataFrame([("A1", "Ann", "77", "SBI", True, 0.9), ("B2", "Bob", "88", "HDFC", False, 0.2), ("C3", None, None, None, None, None)], "account_id string, holder string, number string, bank string, is_suspect boolean, risk double")
+    ids = lambda **k: [r.account_id for r in cases.find_accounts(people, **k).orderBy("account_id").collect()]
+    assert (ids(), ids(bank="sb"), ids(suspect=False), ids(least=0.2), ids(text="b"), ids(text="77")) == (["A1", "B2", "C3"], ["A1"], ["B2"], ["A1", "B2"], ["B2"], ["A1"])

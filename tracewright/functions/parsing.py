@@ -78,11 +78,15 @@ def moment(date: Column, time: Column) -> Column:
 
 
 def parse_date(raw: Column) -> Column:
-    """yyyy-MM-dd by the first format that fits, or an empty string. A time after the date is dropped, O next to digits is 0."""
+    """yyyy-MM-dd by the first format that fits, else of the first date within the text, or an empty string. A time after the date is dropped, O next to digits is 0."""
     x = F.regexp_replace(F.trim(raw), r"\s+\d{1,2}:\d{2}.*$", "")
     x = F.regexp_replace(F.regexp_replace(x, r"(?<=\d)[Oo]|[Oo](?=\d)", "0"), r"\s*([-/.])\s*", "$1")
     x = F.regexp_replace(x, r"^(\d{1,2}[- ])([A-Za-z])([A-Za-z]+)", "$1$2$3")
-    return F.coalesce(*[F.date_format(F.try_to_timestamp(F.initcap(x), F.lit(f)), "yyyy-MM-dd") for f in DATE_FORMATS], F.lit(""))
+    day = lambda text, form: F.date_format(F.try_to_timestamp(text, F.lit(form)), "yyyy-MM-dd")
+    inside = F.regexp_replace(F.regexp_extract(x, r"(?<!\d)(\d{1,2}[/\-.]\d{1,2}[/\-.](?:\d{4}|\d{2}))(?!\d)", 1), "[-.]", "/")
+    named = F.initcap(F.regexp_replace(F.regexp_extract(x, r"(?<!\d)(\d{1,2}[- /][A-Za-z]{3}[- /]\d{4})(?!\d)", 1), "[ /]", "-"))
+    within = [day(inside, f) for f in ("d/M/yyyy", "d/M/yy", "M/d/yyyy")] + [day(named, "d-MMM-yyyy")]
+    return F.coalesce(*[day(F.initcap(x), f) for f in DATE_FORMATS], *within, F.lit(""))
 
 
 def channel_of(narration: Column) -> Column:
@@ -107,9 +111,24 @@ def normal_channel(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in CHANNEL_NAMES.items() for x in pair]), name), name)
 
 
+# Names after UPI and bank transfer marks, payment addresses.
+UPI_NAME = r"(?i)UPI/\d+/(?:CR|DR)/([A-Za-z\s]{2,25})/"
+TRANSFER_NAME = r"(?i)(?:IMPS|NEFT|RTGS)[/\-](?:P2A|P2M)?[/\-]?\d+[/\-]([A-Za-z][A-Za-z\s]{2,30})"
+PAYMENT_ADDRESS = r"([A-Za-z0-9._\-]+@[A-Za-z0-9]+)"
+
+
 def counterparty_of(narration: Column) -> Column:
-    """The other party in a narration: UPI name, IMPS/NEFT name, payment address; empty if none."""
-    upi = F.initcap(F.regexp_extract(narration, r"(?i)^UPI/\d+/(?:CR|DR)/([A-Za-z ]+)", 1))
-    named = F.initcap(F.regexp_extract(narration, r"(?i)^(?:IMPS|NEFT)/(?:[A-Z0-9]+/)*?\d+/([A-Za-z ]+)", 1))
-    address = F.regexp_extract(narration, r"([A-Za-z0-9.\-_]+@[A-Za-z]+)", 1)
-    return F.coalesce(F.nullif(F.trim(upi), F.lit("")), F.nullif(F.trim(named), F.lit("")), F.nullif(address, F.lit("")), F.lit(""))
+    """The other party in a narration: UPI name, name after a transfer mark, payment address, else the first of the second to fourth parts
+    between slashes, dashes and bars that is no code of eight capitals and digits, no number and longer than two; empty if none."""
+    text = F.trim(F.coalesce(narration, F.lit("")))
+    upi, named = F.trim(F.regexp_extract(text, UPI_NAME, 1)), F.trim(F.regexp_extract(text, TRANSFER_NAME, 1))
+    part = F.get(F.filter(F.transform(F.slice(F.split(text, r"[-/|]"), 2, 3), lambda c: F.trim(c)), lambda c: (F.length(c) > 2) & ~c.rlike(r"^[A-Z0-9]{8,}$|^\d+$")), F.lit(0))
+    told = F.when((F.length(upi) > 1) & ~upi.rlike("^[A-Z0-9]{8,}$"), F.initcap(upi)).when(F.length(named) > 2, F.initcap(named))
+    return F.coalesce(told, F.nullif(F.regexp_extract(text, PAYMENT_ADDRESS, 1), F.lit("")), F.initcap(part), F.lit(""))
+
+
+def counterparty_account_of(narration: Column) -> Column:
+    """A payment address in small letters, else the first part between slashes, dashes and bars of 10 to 18 digits; empty if none."""
+    text = F.coalesce(narration, F.lit(""))
+    number = F.get(F.filter(F.transform(F.split(text, r"[-/|]"), lambda c: F.trim(c)), lambda c: c.rlike(r"^\d{10,18}$")), F.lit(0))
+    return F.coalesce(F.nullif(F.lower(F.regexp_extract(text, PAYMENT_ADDRESS, 1)), F.lit("")), number, F.lit(""))

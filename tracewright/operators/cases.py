@@ -55,6 +55,25 @@ def search(txns: DataFrame, account: str | None = None, counterparty: str | None
     return txns.filter(where(c)).orderBy(F.desc("date"), F.desc("time"), "seq")
 
 
+def find_accounts(accounts: DataFrame, bank: str | None = None, suspect: bool | None = None, least: float | None = None, text: str | None = None) -> DataFrame:
+    """Accounts (account_id, holder, number, bank, is_suspect, risk) that meet every given condition; text is looked for in holder, id and number."""
+    c = []
+    if bank is not None:
+        c.append(F.col("bank").ilike(f"%{bank}%"))
+    if suspect is not None:
+        c.append(F.col("is_suspect") == suspect)
+    if least is not None:
+        c.append(F.col("risk") >= least)
+    if text is not None:
+        c.append(reduce(lambda a, b: a | b, [F.col(name).ilike(f"%{text}%") for name in ("holder", "account_id", "number")]))
+    return accounts.filter(where(c))
+
+
+def account_txns(txns: DataFrame, account: str, start: str | None = None, end: str | None = None, channel: str | None = None, least: float | None = None, flagged: bool = False) -> DataFrame:
+    """An account's transactions that meet every given condition, the earliest first."""
+    return search(txns, account, start=start, end=end, channel=channel, least=least, flagged=flagged).orderBy("date", "time", "seq")
+
+
 def page(rows: DataFrame, number: int, size: int) -> DataFrame:
     """Page number (from 1) of ordered rows."""
     return rows.offset((number - 1) * size).limit(size)

@@ -41,3 +41,9 @@ def ego(edges: DataFrame, root: str, hops: int) -> DataFrame:
         found = found.unionAll(front).checkpoint()
         front = found.filter(F.col("hop") == k)
     return found.select("node", F.col("hop").cast("long").alias("hop"))
+
+
+def fund_trace(edges: DataFrame, root: str, hops: int) -> DataFrame:
+    """The edges among all nodes within hops of root; what a person is shown of a money trail."""
+    near = ego(edges, root, hops).select("node")
+    return edges.join(near.select(F.col("node").alias("src")), "src", "left_semi").join(near.select(F.col("node").alias("dst")), "dst", "left_semi")

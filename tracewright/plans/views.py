@@ -185,6 +185,35 @@ def flag_descriptions(spark, sf_dir):
     return with_flags.select("seq", "account_id", "flag_description")
 
 
+def fund_trace(spark, sf_dir):
+    """Around one account, in one hop."""
+    catalog._checkpoints(spark)
+    return graph.fund_trace(graph.account_edges(txn_events(spark, sf_dir)), "ACC000001", 1)
+
+
+def _told(spark, sf_dir) -> DataFrame:
+    """Transactions with date and time as text and the counterparty's name."""
+    t = with_balance(spark, sf_dir)
+    return t.withColumns({"date": F.date_format("ts", "yyyy-MM-dd"), "time": F.date_format("ts", "HH:mm:ss"), "counterparty_name": F.col("node")})
+
+
+def txn_search(spark, sf_dir):
+    """The first page of fifty of views of 50,000 and more in ten days with counterparties whose id holds a 7."""
+    found = cases.search(_told(spark, sf_dir), counterparty="7", start="2024-01-05", end="2024-01-14", channel="view", text="VIE", least=50000)
+    return cases.page(found, 1, 50).select("seq", "account_id", "date", "time", F.col("amount").cast("double").alias("amount"))
+
+
+def account_txns(spark, sf_dir):
+    return cases.account_txns(_told(spark, sf_dir), "ACC000001", start="2024-01-03", least=1000).select("seq", "date", "time", F.col("debit").cast("double").alias("debit"), F.col("credit").cast("double").alias("credit"))
+
+
+def account_search(spark, sf_dir):
+    """Suspects (in debt) from the third on by risk, twenty at most, among customers of one segment whose name or id holds a 1, with the number of all."""
+    people = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("account_id"), F.col("c_name").alias("holder"), F.lit("").alias("number"), F.col("c_mktsegment").alias("bank"), (F.col("c_acctbal") < 0).alias("is_suspect"), F.col("c_acctbal").cast("double").alias("risk"))
+    found = cases.find_accounts(people, bank="build", suspect=True, least=-900, text="1")
+    return cases.counted_page(found, [F.desc("risk"), F.col("account_id")], 2, 20).select("account_id", "holder", "risk", "total")
+
+
 def trail_manifest(spark, sf_dir):
     """Trails of the five accounts with the highest risk (a top-k report), in both directions."""
     catalog._checkpoints(spark)
@@ -229,6 +258,10 @@ def queries() -> dict:
         "rings_by_amount": rings_by_amount,
         "flag_descriptions": flag_descriptions,
         "trail_manifest": trail_manifest,
+        "fund_trace": fund_trace,
+        "txn_search": txn_search,
+        "account_txns": account_txns,
+        "account_search": account_search,
     }
 
 
@@ -325,4 +358,10 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN seq IN (FROM b) THEN 'BALANCE_BREACH: balance does not reconcile with prior row' END, CASE WHEN seq IN (FROM h) THEN 'HIGH_VALUE_OUTLIER: amount exceeds 3×IQR for this account' END,
             CASE WHEN seq IN (FROM v) THEN 'VELOCITY_BURST: rapid succession of debits in short window' END, CASE WHEN seq % 10 = 9 THEN 'OCR_SOURCE: lower data confidence (scanned image)' END) AS flag_description FROM t)
             SELECT * FROM d WHERE flag_description <> ''""",
+        "fund_trace": f"WITH {c._EDGES}, n AS (SELECT 'ACC000001' AS node UNION SELECT dst FROM e WHERE src = 'ACC000001') SELECT * FROM e WHERE src IN (FROM n) AND dst IN (FROM n)",
+        "txn_search": f"""{txn} SELECT seq, account_id, strftime(t.ts, '%Y-%m-%d') AS date, strftime(t.ts, '%H:%M:%S') AS time, amount::DOUBLE AS amount FROM t JOIN events ON event_id = seq
+            WHERE node LIKE '%7%' AND t.ts >= '2024-01-05' AND t.ts < '2024-01-15' AND event_type = 'view' AND amount >= 50000 ORDER BY date DESC, time DESC, seq LIMIT 50""",
+        "account_txns": f"{txn} SELECT seq, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M:%S') AS time, debit::DOUBLE AS debit, credit::DOUBLE AS credit FROM t WHERE account_id = 'ACC000001' AND ts >= '2024-01-03' AND (debit >= 1000 OR credit >= 1000)",
+        "account_search": """WITH r AS (SELECT c_custkey::VARCHAR AS account_id, c_name AS holder, c_acctbal::DOUBLE AS risk FROM customer WHERE c_mktsegment ILIKE '%build%' AND c_acctbal < 0 AND c_acctbal >= -900 AND (c_name ILIKE '%1%' OR c_custkey::VARCHAR ILIKE '%1%'))
+            SELECT account_id, holder, risk, (SELECT count(*) FROM r) AS total FROM r ORDER BY risk DESC, account_id LIMIT 20 OFFSET 2""",
     }
