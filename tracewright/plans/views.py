@@ -25,7 +25,8 @@ def rounded(df: DataFrame, places: int = 4) -> DataFrame:
 
 
 def features_51(spark, sf_dir):
-    return rounded(features.feature_matrix(with_balance(spark, sf_dir)))
+    m = rounded(features.feature_matrix(with_balance(spark, sf_dir)))
+    return m.withColumns({c: F.col(c).cast("long") for c in ("acc_txn_count", "n_unique_counterparties")})
 
 
 def robust_scaler(spark, sf_dir):
