@@ -126,6 +126,28 @@ def test_joined_components_are_exact(spark, chunk):
     assert order(tuple(r) for r in got.collect()) == components_of(rows, 4, 85)
 
 
+def test_frequent_signatures_connect_no_blocks(spark):
+    rows = [(10 * k + i, 2, [7, 100 + k], 0, []) for k in range(1, 4) for i in (0, 1)]
+    found = sigtree._candidates(spark.createDataFrame(rows, f"node long, {sigtree.SIGNED}"))
+    assert {(r.node, r.root) for r in found.collect()} == {(11, 10), (21, 20), (31, 30)}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_links_survive_frequent_shingles(spark, percent):
+    rng = random.Random(percent)
+    texts = []
+    for _ in range(40):  # few words, so that many parts are shared by chance, and near copies on both sides of the threshold
+        words = [rng.choice("abcde") for _ in range(rng.randint(5, 150))]
+        for changes in (0, 1, 2, 3):
+            copy = list(words)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = rng.choice("abcdefg")
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    got = sigtree.near_duplicates(frame(spark, rows), percent)
+    assert order(tuple(r) for r in got.collect()) == components_of(rows, 4, percent)
+
+
 def test_ids_survive_the_file(spark, odd_texts):
     from tokenizers import Tokenizer
 

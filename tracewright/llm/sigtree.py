@@ -8,7 +8,8 @@ A document's set holds its distinct SHINGLE-word shingles as 64-bit hashes; docu
    range is cut into D + 1 + s parts, at least s + 1 parts are equal; some part that is not empty, unless both sets have
    more than s empty ones, in which case the empty parts are emitted too. Parts are numbered within classes of sizes; a
    set near a class's top is emitted in the next as well. Sets that share fewer
-   parts with others than a link takes have none and end here.
+   parts with others than a link takes have none and end here. If a link takes m parts, a set's m - 1 most frequent ones connect
+   nothing: the rarest part that two linked sets share is not among them, in one global order of parts.
 3. The candidates' connected components are the blocks. Blocks above DIVIDED times CHUNK tokens are divided first, by the same filter with
    FINE instead of COARSE spare parts, which takes more signatures and lets less through. In a block, a signature tree holds at each node the OR of its
    members' token bitmaps, the range of their sizes and what bitmaps may undercount. A dual traversal of the tree with
@@ -335,12 +336,17 @@ def _candidates(table: DataFrame) -> DataFrame:
     for _ in range(2):
         able = met.groupBy("node", "step").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("most_needed")).filter("c >= most_needed").select("node", "step")
         left = met.join(able, ["node", "step"], "left_semi")
-        again = left.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("sig", "least")
-        met = written(left.drop("least").join(again, "sig"), "met")
+        again = left.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("often")).filter("least <> most").select("sig", "often")
+        met = written(left.select("sig", "node", "step", "need").join(again, "sig"), "met")
         forget(*each)
         each = [met]
-    found = components(met.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
-    forget(*each)
+    # Of the need signatures in common the rarest is not among a set's need - 1 most frequent ones, so these connect nothing.
+    w = Window.partitionBy("node", "step").orderBy(F.desc("often"), "sig")
+    rare = written(met.withColumn("place", F.row_number().over(w)).filter("place >= need").select("sig", "node"), "rare")
+    forget(met)
+    least = rare.groupBy("sig").agg(F.min("node").alias("least"))
+    found = components(rare.join(least, "sig").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    forget(rare)
     return found
 
 
