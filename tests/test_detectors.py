@@ -1,5 +1,6 @@
 """Detectors and checks on hand-made cases."""
 
+import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -51,6 +52,26 @@ def test_layering_follows_no_cycle(spark):
     assert found["A>B>C>D"] == (3, 0.08) and set(found) == {"A>B>C>D", "B>C>D>A"}
 
 
+def test_chains_are_counted_as_they_are_listed(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rng = random.Random(4)
+    rows = [(f"A{rng.randrange(14)}", f"A{rng.randrange(8)}", T0 + timedelta(hours=rng.choice([0, 24, 72, 96, 100, 144, 168, 216, 240])), rng.choice([9999.99, 10000, 20000, 30000.01]), 0) for _ in range(90)]
+    table = txns(spark, rows + [rows[0], ("A9", "A9", T0, 50000, 0)])
+    start = F.substring_index("path", ">", 1)
+    listed = detectors.layering(table).groupBy(start.alias("account_id"), "hops", "severity").agg(F.count(F.lit(1)).alias("chains"), F.min("skim").alias("least_skim"), F.max("skim").alias("most_skim"))
+    counted = detectors.layering_counts(table)
+    assert counted.dtypes == listed.dtypes and set(counted.collect()) == set(listed.collect()) and counted.count() > 20
+    assert detectors.layering_counts(table.limit(0)).count() == 0
+
+
+def test_sixty_million_chains_are_counted(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rows = [(f"S{i}", "H", T0, 20000, 0) for i in range(6000)] + [("H", f"1.{i}", T0 + timedelta(hours=1), 20000, 0) for i in range(10)]
+    rows += [(f"{k}.{i}", f"{k + 1}.{j}", T0 + timedelta(hours=k + 1), 20000, 0) for k in (1, 2, 3) for i in range(10) for j in range(10)]
+    got = detectors.layering_counts(txns(spark, rows)).groupBy("hops").agg(F.sum("chains").alias("n")).collect()
+    assert {r.hops: r.n for r in got} == {3: 600_000 + 1000 + 10_000, 4: 6_000_000 + 10_000, 5: 60_000_000}
+
+
 def test_velocity_leaves_out_the_row_and_later_ties(spark):
     rows = [("A", "B", T0, 100, 0), ("A", "B", T0 + timedelta(hours=24), 50, 0), ("A", "B", T0 + timedelta(hours=24), 25, 0)]
     got = [(r.sum_24h, r.n_24h) for r in features.velocity(txns(spark, rows), [24]).orderBy("seq").collect()]
