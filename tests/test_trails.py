@@ -1,5 +1,6 @@
 """Money trails, subsumption and the isolation forest on hand-made cases."""
 
+import random
 from datetime import timedelta
 
 import numpy as np
@@ -44,6 +45,18 @@ def test_subsets_of_chains_go(spark):
     assert {r.path for r in trails.maximal_chains(chains).collect()} == {"A>B>C>D", "X>Y>Z"}
 
 
+def test_chains_through_one_account_are_not_compared_in_pairs(spark):
+    rng = random.Random(5)
+    paths = {">".join(["hub", *rng.sample("ABCDEFGHIJ", rng.randint(2, 6))]) for _ in range(150)}
+    rows = [(path, str(k)) for k, path in enumerate(sorted(paths)) for k in (k, k + 1000)]
+    found = trails.maximal_chains(spark.createDataFrame(rows, "path string, seqs string"))
+    of = lambda chain: set(chain[0].split(">"))
+    plain = {a for a in rows if not any(of(a) < of(b) or of(a) == of(b) and b < a for b in rows)}
+    assert {tuple(r) for r in found.collect()} == plain
+    many = spark.range(100_000).selectExpr("concat('hub>sub>', id, '>end') AS path", "cast(id AS string) AS seqs")
+    assert trails.maximal_chains(many).count() == 100_000
+
+
 def test_forest_ranks_an_outlier_first(spark):
     rng = np.random.default_rng(1)
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))] + [(400, 9.0, -9.0), (401, float("nan"), None)]
