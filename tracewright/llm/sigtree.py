@@ -55,7 +55,7 @@ SLICE = 1 << 20
 CHUNK = 6_000_000
 LEADERS = 32
 #: Passes over the signatures, each with its share of them, so that one share at a time lies in shuffle files.
-PASSES = 2
+PASSES = 4
 
 U = np.uint64
 _STEP = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
