@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +263,40 @@ def test_scores_are_whole_document_likelihoods(spark):
     assert np.allclose(gru.token_logs(net, ids, s.first), want, atol=1e-4)
 
 
+def test_documents_of_a_batch_advance_together(spark, monkeypatch):
+    """A step for each token of the longest document, in however many slices the words are looked up; scores as one by one."""
+    rng = random.Random(9)
+    texts = [None, "", *(" ".join(rng.choices("abcdefghij", k=rng.randrange(1, 60))) for _ in range(40)), "a b c " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = gru.Words(gru.count_words(docs), gru.COMMON, 8)
+    net = gru.new_network(known)
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(range(len(some))), pa.array([False] * len(some)), pa.array(some, pa.string())], ["doc_id", "held_out", "text"])
+    alone = [b.column("score")[0].as_py() for t in texts for b in gru.scored_batch(known, net, batch([t]), 0)]
+    steps, plain, slices = [], gru.step, gru.slices
+    monkeypatch.setattr(gru, "step", lambda *a: steps.append(1) or plain(*a))
+    monkeypatch.setattr(gru, "slices", lambda column: slices(column, 200))
+    out = pa.Table.from_batches(gru.scored_batch(known, net, batch(texts), 7))
+    assert len(steps) == 121 and out["row"].to_pylist() == list(range(7, 7 + len(texts)))
+    assert out["doc_id"].to_pylist() == list(range(len(texts))) and np.allclose(out["score"].to_numpy(), alone, atol=1e-4)
+
+
+def test_large_outputs_are_shifted_and_sums_by_id_are_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    net, w, h = gru.new_network(Corpus), windows(rng, 9, 300), np.zeros((300, gru.HIDDEN), np.float32)
+    plain = gru.gradient(net, *w, h)
+    monkeypatch.setattr(gru, "FAR", 0.0)
+    shifted = gru.gradient(net, *w, h)
+    assert abs(plain[0] - shifted[0]) < 1e-5 and np.allclose(plain[1], shifted[1], atol=1e-6)
+    monkeypatch.setattr(gru, "FAR", 60.0)
+    for bias in ("c", "d"):
+        net.p[bias][:] = rng.choice([-300, 0, 300], len(net.p[bias]))
+    loss, grad, _ = gru.gradient(net, *w, h)
+    assert math.isfinite(loss) and np.isfinite(grad).all()
+    ids, rows = np.minimum(rng.geometric(0.05, 3000), 90).astype(np.uint16), rng.standard_normal((3000, 5))
+    found, sums = gru.sums_by_id(ids, rows)
+    assert np.array_equal(found, np.unique(ids)) and all(np.allclose(s, rows[ids == i].sum(0)) for i, s in zip(found, sums))
+
+
 def test_network_beats_counts_on_held_out_text(spark):
     got = gru.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]

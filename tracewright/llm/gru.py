@@ -11,7 +11,7 @@ bound, their probability within it comes from add-one counts over the whole trai
    window by window, each carrying its state on to the next window and losing it at a document's end, so every token and
    every end is learned from once. Replicas train for ROUNDS rounds, each on its share of documents; after each, executors
    average their parameters and the driver gets the mean (about 1 MB).
-3. Scoring: all documents of a slice advance together, each carrying its state to its end, so a document's
+3. Scoring: all documents of a batch advance together, each carrying its state to its end, so a document's
    log-likelihood is that of the whole. Words of the at most COMMON most frequent have their counts at hand (that many
    are broadcast, whatever the corpus); the rest is joined with the table of counts.
 
@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import collected, crc32_of, forget, lean, written
@@ -37,7 +36,8 @@ LISTED, CLASSES, TAIL, HIDDEN = 4096, 64, 16, 16
 WINDOW, REPLICA, ROUNDS = 64, 8_000_000, 3
 LANES, SPEED = 192, 0.012
 COMMON = 1 << 19
-SCORED = 2 << 20
+#: States whose outputs are computed together, the size of outputs whose exponentials are shifted, and the rows of an id summed at once.
+TOGETHER, FAR, OFTEN = 2048, 60.0, 24
 #: Numbers of a chunk of parameters.
 CHUNK = 1 << 14
 #: Stands for the end of a document among hashes of words.
@@ -160,36 +160,53 @@ def new_network(known: Words) -> Network:
     return net
 
 
-def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step of the gated unit: gates, candidate, its recurrent part and the new state. x: rows of p["x"] plus p["b"]."""
-    r = h @ p["u"]
-    gates = x[:, : 2 * HIDDEN] + r[:, : 2 * HIDDEN]
-    gates *= 0.5
-    np.tanh(gates, out=gates)
+def step(u: np.ndarray, x: np.ndarray, h: np.ndarray, gates: np.ndarray, own: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """One step of the gated unit, a column a document: the new state. u: p["u"] turned; x: columns of p["x"] plus p["b"].
+
+    Filled in: gates (keep above reset), own (the candidate's recurrent part) and new (the candidate)."""
+    np.matmul(u[: 2 * HIDDEN], h, out=gates)
+    np.matmul(u[2 * HIDDEN :], h, out=own)
+    gates += x[: 2 * HIDDEN]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
     gates += 1
-    gates *= 0.5
-    keep, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    own = r[:, 2 * HIDDEN :]
-    new = reset * own
-    new += x[:, 2 * HIDDEN :]
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[HIDDEN:], own, out=new)
+    new += x[2 * HIDDEN :]
     np.tanh(new, out=new)
     now = h - new
-    now *= keep
+    now *= gates[:HIDDEN]
     now += new
-    return keep, reset, own, new, now
-
-
-def log_softmax_at(out: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-    """Natural log of the probability of each row's target. With weight, out becomes the loss's gradient, weighed by row."""
-    out -= out.max(1, keepdims=True)
-    row = np.arange(len(target))
-    picked = out[row, target]
-    np.exp(out, out=out)
-    total = out.sum(1)
-    if weight is not None:
-        out *= (weight / total)[:, None]
-        out[row, target] -= weight
-    return picked - np.log(total)
+    return now
+
+
+def reach(p: np.ndarray, states: np.ndarray) -> float:
+    """What no output of p (a row an output, the bias last) exceeds in size on the states (a row each, with a last column of ones)."""
+    return float((np.abs(p) @ np.abs(states).max(0, initial=0)).max(initial=0))
+
+
+def log_softmax_at(p: np.ndarray, states: np.ndarray, target: np.ndarray, far: bool, weight: np.ndarray | None = None, grad: np.ndarray | None = None, back: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of the probability of each state's target among the outputs of p. far: whether exponentials need a shift.
+
+    With weight: adds the loss's gradients, weighed by state, to grad and back."""
+    logs = np.empty(len(target), np.float32)
+    for a in range(0, len(target), TOGETHER):
+        here = slice(a, a + TOGETHER)
+        s, t = states[here], target[here]
+        column = np.arange(len(t))
+        out = p @ s.T
+        if far:
+            out -= out.max(0)
+        picked = out[t, column]
+        np.exp(out, out=out)
+        total = out.sum(0)
+        logs[here] = picked - np.log(total)
+        if weight is not None:
+            out[t, column] -= total
+            scale = (weight[here] / total)[:, None]
+            grad += out @ (s * scale)
+            back[here] += (out.T @ p[:, :-1]) * scale
+    return logs
 
 
 def log_likelihoods(net: Network, states: np.ndarray, target: np.ndarray, grad: dict | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -197,69 +214,89 @@ def log_likelihoods(net: Network, states: np.ndarray, target: np.ndarray, grad:
 
     With grad: adds the gradients of the mean loss, weighed, to it and also returns that of the states."""
     p, of = net.p, net.class_of[target]
-    out = states @ p["o"]
-    out += p["c"]
-    logs = log_softmax_at(out, of, weight)
-    back = None
-    if grad is not None:
-        grad["o"] += states.T @ out
-        grad["c"] += out.sum(0)
-        back = out @ p["o"].T
     order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(len(net.first)))
+    of, target = of[order], target[order].astype(np.int64)
+    cuts = np.searchsorted(of, np.arange(len(net.first)))
+    s = np.ones((len(order), HIDDEN + 1), np.float32)
+    s[:, :-1] = states[order]
+    classes, words = (np.vstack([p[w], p[bias]]).T.copy() for w, bias in (("o", "c"), ("w", "d")))
+    of_classes = of_words = back = None
+    if grad is not None:
+        weight, back = weight[order], np.zeros((len(order), HIDDEN), np.float32)
+        of_classes, of_words = np.zeros_like(classes), np.zeros_like(words)
+    logs = log_softmax_at(classes, s, of, reach(classes, s) > FAR, weight, of_classes, back)
+    far = reach(words, s) > FAR
     for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(net.first) > 1)):
-        rows, words = order[cuts[k] : cuts[k + 1]], slice(net.first[k], net.first[k + 1])
-        s, t = states[rows], target[rows] - net.first[k]
-        out = s @ p["w"][:, words]
-        out += p["d"][words]
-        logs[rows] += log_softmax_at(out, t, None if weight is None else weight[rows])
-        if grad is not None:
-            grad["w"][:, words] += s.T @ out
-            grad["d"][words] += out.sum(0)
-            back[rows] += out @ p["w"][:, words].T
-    return logs, back
-
-
+        here, own = slice(cuts[k], cuts[k + 1]), slice(net.first[k], net.first[k + 1])
+        parts = () if grad is None else (weight[here], of_words[own], back[here])
+        logs[here] += log_softmax_at(words[own], s[here], target[here] - net.first[k], far, *parts)
+    unsorted = np.empty_like(logs)
+    unsorted[order] = logs
+    if grad is None:
+        return unsorted, None
+    for (w, bias), g in ((("o", "c"), of_classes), (("w", "d"), of_words)):
+        grad[w] += g[:, :-1].T
+        grad[bias] += g[:, -1]
+    of_states = np.empty_like(back)
+    of_states[order] = back
+    return unsorted, of_states
+
+
+def sums_by_id(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and the sum of each one's rows."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[order].astype(np.int64), prepend=-1))
+    n = np.diff(first, append=len(ids))
+    out = rows[order[first]]
+    for k in np.flatnonzero(n > OFTEN):
+        out[k] = np.ones(n[k], rows.dtype) @ rows[order[first[k] : first[k] + n[k]]]
+    few = np.flatnonzero((n > 1) & (n <= OFTEN))
+    for j in range(1, OFTEN):
+        few = few[n[few] > j]
+        out[few] += rows[order[first[few] + j]]
+    return ids[order[first]], out
+
+
+@np.errstate(over="ignore")  # a closed gate
 def gradient(net: Network, given: np.ndarray, target: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Mean loss of a window and its gradient through all its steps, and the states after it. given, target and real (whether it counts): a row a step, a column a lane."""
     p, g = net.p, net.like(np.zeros_like(net.flat))
     steps, n = given.shape
-    x = p["x"][given]
-    x += p["b"]
-    same = (given != net.end).astype(np.float32)[:, :, None]  # a document's first step has no state
-    olds, kept = np.empty((steps, n, HIDDEN), np.float32), []
-    states = np.empty((steps, n, HIDDEN), np.float32)
+    inputs, u, h = p["x"] + p["b"], np.ascontiguousarray(p["u"].T), np.ascontiguousarray(h.T)
+    same = (given != net.end).astype(np.float32)  # a document's first step has no state
+    olds, own, new = (np.empty((steps, HIDDEN, n), np.float32) for _ in range(3))
+    gates, states = np.empty((steps, 2 * HIDDEN, n), np.float32), np.empty((steps, n, HIDDEN), np.float32)
     for t in range(steps):
         np.multiply(h, same[t], out=olds[t])
-        keep, reset, own, new, h = step(p, x[t], olds[t])
-        kept.append((keep, reset, own, new))
-        states[t] = h
-    weight = real.reshape(-1).astype(np.float32) / max(1, int(real.sum()))
+        h = step(u, np.ascontiguousarray(inputs[given[t]].T), olds[t], gates[t], own[t], new[t])
+        states[t] = h.T
+    weight = real.reshape(-1).astype(np.float32) / np.float32(max(1, int(real.sum())))
     logs, back = log_likelihoods(net, states.reshape(-1, HIDDEN), target.reshape(-1), g.p, weight)
     back = back.reshape(steps, n, HIDDEN)
-    d, gates, through = np.zeros((n, HIDDEN), np.float32), np.empty((steps, n, 3 * HIDDEN), np.float32), np.empty((steps, n, 3 * HIDDEN), np.float32)
-    turned = np.ascontiguousarray(p["u"].T)
+    # What a state's gradient is multiplied by on its way to the gates and the candidate.
+    keep, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
+    to_new = (1 - keep) * (1 - new * new)
+    to_keep = (olds - new) * keep * (1 - keep)
+    to_reset = own * reset * (1 - reset)
+    d, through = np.zeros((HIDDEN, n), np.float32), np.empty((3 * HIDDEN, n), np.float32)
+    of_inputs = np.empty((steps, n, 3 * HIDDEN), np.float32)
     for t in reversed(range(steps)):
-        keep, reset, own, new = kept[t]
-        d += back[t]
-        d_new = d * (1 - keep) * (1 - new * new)
-        a, b = gates[t], through[t]
-        a[:, :HIDDEN] = d * (olds[t] - new) * keep * (1 - keep)
-        a[:, HIDDEN : 2 * HIDDEN] = d_new * own * reset * (1 - reset)
-        a[:, 2 * HIDDEN :] = d_new
-        b[:, : 2 * HIDDEN] = a[:, : 2 * HIDDEN]
-        b[:, 2 * HIDDEN :] = d_new * reset
-        d *= keep
-        d += b @ turned
+        d += back[t].T
+        d_new = d * to_new[t]
+        np.multiply(d, to_keep[t], out=through[:HIDDEN])
+        np.multiply(d_new, to_reset[t], out=through[HIDDEN : 2 * HIDDEN])
+        of_inputs[t, :, : 2 * HIDDEN] = through[: 2 * HIDDEN].T
+        of_inputs[t, :, 2 * HIDDEN :] = d_new.T
+        np.multiply(d_new, reset[t], out=through[2 * HIDDEN :])
+        g.p["u"][:] += olds[t] @ through.T
+        d *= keep[t]
+        d += p["u"] @ through
         d *= same[t]
-    flat_gates = gates.reshape(-1, 3 * HIDDEN)
-    g.p["u"][:] = olds.reshape(-1, HIDDEN).T @ through.reshape(-1, 3 * HIDDEN)
-    g.p["b"][:] = flat_gates.sum(0)
-    from_ = given.reshape(-1)
-    order = np.argsort(from_, kind="stable")
-    first = np.flatnonzero(np.diff(from_[order].astype(np.int64), prepend=-1))
-    g.p["x"][from_[order][first]] = np.add.reduceat(flat_gates[order], first)
-    return -float(logs @ weight), g.flat, h
+    of_inputs = of_inputs.reshape(-1, 3 * HIDDEN)
+    g.p["b"][:] = np.ones(len(of_inputs), np.float32) @ of_inputs
+    ids, sums = sums_by_id(given.reshape(-1), of_inputs)
+    g.p["x"][ids] = sums
+    return -float(logs @ weight), g.flat, h.T
 
 
 def train(net: Network, ids: np.ndarray, speed: float = SPEED) -> Network:
@@ -342,29 +379,33 @@ def train_network(texts: DataFrame, net: Network, replica: int, rounds: int) ->
     return net
 
 
+@np.errstate(over="ignore")  # a closed gate
 def token_logs(net: Network, ids: np.ndarray, first: np.ndarray, block: int = 1 << 15) -> np.ndarray:
     """log10 of the probability of each token (of its tail class, if not listed). All documents advance together; each keeps its state to its end."""
     length = np.diff(first)
     by_length = np.argsort(-length, kind="stable")
-    rank = np.empty(len(length), np.int64)
+    rank = np.empty(len(length), np.int32)
     rank[by_length] = np.arange(len(length))
     alive = len(length) - np.searchsorted(np.sort(length), np.arange(1, (length.max() if len(length) else 0) + 1), "left")
     at = np.concatenate(([0], np.cumsum(alive)))
-    place = at[np.arange(len(ids)) - np.repeat(first[:-1], length)] + np.repeat(rank, length)
-    packed = np.empty(len(ids), np.int64)
+    place = np.arange(len(ids), dtype=np.int32)
+    place -= np.repeat(first[:-1].astype(np.int32), length)
+    place = at.astype(np.int32)[place]
+    place += np.repeat(rank, length)
+    packed = np.empty_like(ids)
     packed[place] = ids
-    out = np.empty(len(ids))
-    inputs = net.p["x"] + net.p["b"]
-    h, begin, held = np.zeros((len(length), HIDDEN), np.float32), 0, []
+    out = np.empty(len(ids), np.float32)
+    u, inputs = np.ascontiguousarray(net.p["u"].T), net.p["x"] + net.p["b"]
+    h, begin, held = np.zeros((HIDDEN, len(length)), np.float32), 0, []
     for t, n in enumerate(alive.tolist()):
         given = packed[at[t - 1] : at[t - 1] + n] if t else np.full(n, net.end)
-        h = step(net.p, inputs[given], h[:n])[4]
+        h = step(u, np.ascontiguousarray(inputs[given].T), h[:, :n], *(np.empty((k * HIDDEN, n), np.float32) for k in (2, 1, 1)))
         held.append(h)
         stop = at[t + 1]
         if stop - begin >= block or t + 1 == len(alive):
-            states = np.concatenate(held)
-            for a in range(0, len(states), block):
-                b = min(a + block, len(states))
+            states = np.concatenate([x.T for x in held])
+            for a in range(0, stop - begin, block):
+                b = min(a + block, stop - begin)
                 out[begin + a : begin + b] = log_likelihoods(net, states[a:b], packed[begin + a : begin + b])[0]
             begin, held = stop, []
     return out[place] / np.log(10)
@@ -377,6 +418,40 @@ def is_held_out(doc_id: Column) -> Column:
 SCORED_AS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key:long,n:int>>"
 
 
+def scored_batch(known: Words, network: Network, batch: pa.RecordBatch, row: int) -> Iterator[pa.RecordBatch]:
+    """Rows as SCORED_AS says, numbered from row, of a batch of doc_id, held_out and text.
+
+    Words are looked up a slice at a time; all documents advance together, as a step costs nearly the same for few as for many."""
+    listed, base_log = len(known.heads), np.log10(known.total + known.distinct + 1)
+    parts, tokens, length = [], [], []
+    for texts in slices(batch.column(2)):
+        s = Slice(texts)
+        n = len(s.first) - 1
+        ids = known.ids(s.keys, s.tails)
+        c = known.count_of(s.keys)
+        logs = np.log10(np.maximum(c, 0) + 1.0)
+        inside = np.where(ids < listed, 0.0, logs - known.tail_logs[np.maximum(ids - listed, 0)])
+        sums = lambda x, first=s.first: np.add.reduceat(x, first[:-1])  # noqa: E731  every document has a token
+        seen = (c > 0)[s.token]
+        odd = np.flatnonzero((c < 0)[s.token])
+        doc = np.searchsorted(s.first, odd, "right") - 1
+        pairs, one, of = distinct(doc * len(s.keys) + s.token[odd])
+        times = np.bincount(of, minlength=len(pairs)).astype(np.int32)
+        keys = s.keys[s.token[odd[one]]] if len(one) else np.zeros(0, np.int64)
+        offsets = np.searchsorted(pairs, np.arange(n + 1) * len(s.keys)).astype(np.int32)
+        rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(keys), pa.array(times)], ["key", "n"]))
+        parts.append((texts.row, n, sums(seen.astype(np.int64)), sums(logs[s.token] - base_log), sums(inside[s.token]), rare))
+        tokens.append(ids.astype(np.uint16)[s.token])
+        length.append(np.diff(s.first))
+    if not parts:
+        return
+    first = np.concatenate([[0], *length]).cumsum()
+    score = np.add.reduceat(token_logs(network, np.concatenate(tokens), first), first[:-1])
+    for (at, n, n_known, base, inside, rare), n_tokens in zip(parts, length, strict=True):
+        yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(score[at : at + n] + inside), rare], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+        row += n
+
+
 def score_documents(docs: DataFrame, replica: int = REPLICA, rounds: int = ROUNDS, common: int = COMMON) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -394,30 +469,10 @@ def score_documents(docs: DataFrame, replica: int = REPLICA, rounds: int = ROUND
         from pyspark import TaskContext
 
         known, network = sent.value
-        row, listed = TaskContext.get().partitionId() << 40, len(known.heads)
-        base_log = np.log10(known.total + known.distinct + 1)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            # Texts of like length lie together: a slice takes as many steps as its longest has tokens.
-            batch = batch.take(pc.array_sort_indices(pc.binary_length(batch.column(2))))
-            for texts in slices(batch.column(2), SCORED):
-                s = Slice(texts)
-                n = len(s.first) - 1
-                ids = known.ids(s.keys, s.tails)
-                c = known.count_of(s.keys)
-                logs = np.log10(np.maximum(c, 0) + 1.0)
-                inside = np.where(ids < listed, 0.0, logs - known.tail_logs[np.maximum(ids - listed, 0)])
-                score = token_logs(network, ids[s.token], s.first) + inside[s.token]
-                sums = lambda x, first=s.first: np.add.reduceat(x, first[:-1])  # noqa: E731  every document has a token
-                seen = (c > 0)[s.token]
-                odd = np.flatnonzero((c < 0)[s.token])
-                doc = np.searchsorted(s.first, odd, "right") - 1
-                pairs, one, of = distinct(doc * len(s.keys) + s.token[odd])
-                times = np.bincount(of, minlength=len(pairs)).astype(np.int32)
-                keys = s.keys[s.token[odd[one]]] if len(one) else np.zeros(0, np.int64)
-                offsets = np.searchsorted(pairs, np.arange(n + 1) * len(s.keys)).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(keys), pa.array(times)], ["key", "n"]))
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(0).slice(texts.row, n), batch.column(1).slice(texts.row, n), pa.array(np.diff(s.first)), pa.array(sums(seen.astype(np.int64))), pa.array(sums(logs[s.token] - base_log)), pa.array(sums(score)), rare], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-                row += n
+            yield from scored_batch(known, network, batch, row)
+            row += len(batch)
 
     scored = written(docs.select("doc_id", "held_out", "text").mapInArrow(run, SCORED_AS), "scored", batch_bytes="16m")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.n")
