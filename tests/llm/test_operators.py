@@ -329,6 +329,25 @@ def test_all_labelled_languages_are_learned(spark):
     assert all(r.lang == r.lang_pred for r in crf.predict(docs, model, ["lang"]).collect())
 
 
+def test_languages_fit_takes_little_memory_and_its_slices_change_nothing(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    letters = {"aa": np.frombuffer(b"abcdefghijkl", "S1"), "bb": np.frombuffer(b"hijklmnopqrs", "S1")}
+    texts = [" ".join(b"".join(w).decode() for w in rng.choice(letters[k], (4000, 6))) for k in ("aa", "bb") for _ in range(20)]
+    langs = ["aa"] * 20 + ["bb"] * 20
+    monkeypatch.setattr(crf, "STEPS", 2)
+    tracemalloc.start()
+    got = crf.fit(texts, langs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110 * sum(map(len, texts))
+    for name in ("FIT_SLICE", "FIT_SEQUENCES", "SOME_WORDS"):
+        monkeypatch.setattr(crf, name, 1 << 30)
+    whole = crf.fit(texts, langs)
+    assert all(np.allclose(a, b) for a, b in zip(got[1:], whole[1:], strict=True)) and got.labels == whole.labels
+
+
 def test_forward_backward_against_all_paths():
     import itertools
 

@@ -90,14 +90,19 @@ def forget(*tables: DataFrame) -> None:
         system.delete(at, True)
 
 
+def give_back() -> None:
+    """Returns freed memory of this Python process to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run: Callable) -> Callable:
     """run (a function over Arrow batches) that gives the memory it freed back to the system, as Spark uses its worker again for other stages."""
 
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):  # not glibc
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return wrapped
 

@@ -23,14 +23,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import crc32_of, lean
-from .textbytes import Texts, distinct, flat, gather, mix, prefix_hashes, ranges, slices, span_hashes, strings, words
+from .common import crc32_of, give_back, lean
+from .textbytes import Texts, distinct, gather, mix, prefix_hashes, ranges, slices, span_hashes, strings, words
 
 BUCKETS = 1 << 16
 PER_LABEL = 200
 LEXICON = 150
 SEQUENCE, STEPS, SPEED, DECAY = 48, 45, 0.08, 1e-4
 SLICE = 1 << 20
+#: Distinct words whose features are looked at together.
+SOME_WORDS = 1 << 14
+#: Bytes of training texts that are hashed together, and sequences whose marginals are held at once.
+FIT_SLICE, FIT_SEQUENCES = 1 << 17, 2048
 
 U = np.uint64
 
@@ -82,12 +86,22 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """The distinct words of some documents with their features, and every token's word."""
 
-    def __init__(self, texts: Texts):
-        w = words(texts)
-        self.keys, one, self.token = distinct(w.hashes())
-        self.first = w.first
-        data, offsets = gather(w.data, w.start[one], w.stop[one])
-        self.buckets, self.at = features(data, offsets)
+    def __init__(self, *parts: Texts):
+        found = [words(texts) for texts in parts]
+        self.keys, one, self.token = distinct(np.concatenate([w.hashes() for w in found]))
+        tokens, size = (np.cumsum([0, *(len(x) for x in of)]) for of in ([w.start for w in found], [w.data for w in found]))
+        self.first = np.concatenate([[0], *(w.first[1:] + at for w, at in zip(found, tokens))])
+        start, stop = (np.concatenate([x + at for x, at in zip(of, size)])[one] for of in ([w.start for w in found], [w.stop for w in found]))
+        data, offsets = gather(np.concatenate([w.data for w in found]), start, stop)
+        del found, start, stop
+        self.some = [slice(at, at + SOME_WORDS) for at in range(0, len(self.keys), SOME_WORDS)]
+        buckets, first = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        for some in self.some:
+            own = offsets[some.start : some.stop + 1]
+            bucket, at = features(data[own[0] : own[-1]], own - own[0])
+            buckets.append(bucket)
+            first.append(at[1:] + first[-1][-1])
+        self.buckets, self.at = np.concatenate(buckets), np.concatenate(first)
         self.letter = has_letter(data, offsets)
 
     def lexicon(self, keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +116,22 @@ class Vocabulary:
         """A row of label scores for each distinct word, the largest 1, and all 1 for words without letters."""
         if not len(self.keys):
             return np.zeros((0, weights.shape[1]))
-        sums = np.add.reduceat(weights[self.buckets], self.at[:-1], axis=0)
+        sums = np.empty((len(self.keys), weights.shape[1]), weights.dtype)
+        for some in self.some:
+            at = self.at[some.start : some.stop + 1]
+            np.add.reduceat(weights[self.buckets[at[0] : at[-1]]], at[:-1] - at[0], axis=0, out=sums[some])
         sums[lexicon[0]] += weights[lexicon[1]]
         sums[~self.letter] = 0
         return np.exp(sums - sums.max(1, keepdims=True)) + 1e-12
 
+    def by_row(self, by_word: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
+        """The words' numbers of one label, added up by the row of weights that each word's features have."""
+        out = np.bincount(lexicon[1], by_word[lexicon[0]], rows)
+        for some in self.some:
+            at = self.at[some.start : some.stop + 1]
+            out += np.bincount(self.buckets[at[0] : at[-1]], np.repeat(by_word[some], np.diff(at)), rows)
+        return out
+
 
 def marginals(emit: np.ndarray, first: np.ndarray, transitions: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Forward-backward of all sequences (tokens first[i] to first[i + 1]) side by side; pairs gets the expected transitions added."""
@@ -147,11 +172,12 @@ def marginals(emit: np.ndarray, first: np.ndarray, transitions: np.ndarray, pair
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
-    """The field's weights and transitions from labelled texts, by gradient ascent on the log-likelihood of spliced sequences."""
+    """The field's weights and transitions from labelled texts, by gradient ascent on the log-likelihood of spliced sequences.
+
+    The driver runs this: texts are hashed in slices and marginals taken in blocks of sequences, so that they need a few numbers a token."""
     labels = sorted(set(langs))
     k = len(labels)
-    data, offsets = flat(pa.array(texts, pa.string()))
-    v = Vocabulary(Texts(0, data, offsets))
+    v = Vocabulary(*slices(pa.array(texts, pa.string()), FIT_SLICE))
     gold_doc = np.array([labels.index(x) for x in langs])
     length = np.diff(v.first)
     gold = np.repeat(gold_doc, length)
@@ -182,16 +208,18 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     np.add.at(seen, (gold[inner - 1], gold[inner]), 1)
     weights, trans = np.zeros((BUCKETS + k, k)), np.zeros((k, k))
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(trans), np.zeros_like(trans)]
-    repeat = np.diff(v.at)
-    target = np.zeros((len(token), k))
-    target[np.arange(len(token)), gold] = 1
+    target = np.stack([np.bincount(token[gold == j], minlength=len(v.keys)) for j in range(k)], 1)
+    blocks = [first[at : at + FIT_SEQUENCES + 1] for at in range(0, len(first) - 1, FIT_SEQUENCES)]
     for step in range(1, STEPS + 1):
-        pairs = np.zeros((k, k))
-        post = marginals(v.emissions(weights, lexicon)[token], first, np.exp(trans - trans.max()), pairs)
-        error = target - post
-        by_word = np.stack([np.bincount(token, error[:, j], len(v.keys)) for j in range(k)], 1)
+        pairs, by_word = np.zeros((k, k)), target.astype(float)
+        emit, moves = v.emissions(weights, lexicon), np.exp(trans - trans.max())
+        for block in blocks:
+            some = token[block[0] : block[-1]]
+            post = marginals(emit[some], block - block[0], moves, pairs)
+            for j in range(k):
+                by_word[:, j] -= np.bincount(some, post[:, j], len(v.keys))
         by_word[~v.letter] = 0
-        g = np.stack([np.bincount(v.buckets, np.repeat(by_word[:, j], repeat), BUCKETS + k) + np.bincount(lexicon[1], by_word[lexicon[0], j], BUCKETS + k) for j in range(k)], 1) / len(token) - DECAY * weights
+        g = np.stack([v.by_row(by_word[:, j], lexicon, BUCKETS + k) for j in range(k)], 1) / len(token) - DECAY * weights
         gt = (seen - pairs) / len(token)
         for x, grad, m, s in ((weights, g, state[0], state[1]), (trans, gt, state[2], state[3])):
             m += 0.2 * (grad - m)
@@ -207,7 +235,10 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model | None:
     # Places alone are ranked, each once however many copies its text has; Spark keeps so many a language of each task before it shuffles.
     least = labelled.select("lang", "place").distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_label).select("lang", "place")
     rows = labelled.join(F.broadcast(least), ["lang", "place"]).groupBy("lang", "place").agg(F.first("text").alias("text")).orderBy("lang", "place").collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+    model = fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+    del rows
+    give_back()
+    return model
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -22,14 +22,16 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are looked at together; a longer document is looked at alone.
 SLICE = 2 << 20
+#: Powers that are made at least.
+FEW_POWERS = 1 << 18
 
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, kept while at most four slices long."""
+    """BASE**i and BASE**-i for i < n, kept while at most four slices long; few until more than FEW_POWERS are wanted."""
     if len(_powers["up"]) < n:
-        inverse, size = pow(BASE, -1, 1 << 64), max(n, SLICE + 1)
+        inverse, size = pow(BASE, -1, 1 << 64), FEW_POWERS if n <= FEW_POWERS else max(n, SLICE + 1)
         out = []
         for b in (BASE, inverse):
             x = np.full(size, b, U)
