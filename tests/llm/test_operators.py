@@ -385,6 +385,35 @@ def test_nearest_vectors(spark, part):
     assert [v for _, v, _ in sorted(got[50])] == [700, 701, 702, 703, 704]
 
 
+def test_codebooks_are_learned_by_a_task(spark, monkeypatch):
+    import os
+
+    driver, real = os.getpid(), additive.fit
+
+    def fit(x):
+        assert os.getpid() != driver
+        return real(x)
+
+    monkeypatch.setattr(additive, "fit", fit)
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)))]
+    assert additive.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).count() == 6 * 5
+
+
+@pytest.mark.parametrize("n", [5000, 700])
+def test_codebook_sample_is_that_of_least_hash(spark, n):
+    """With a wrong n (many rows share few hashes, as it were) too few pass the bound, and all are ordered."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((n, 4))
+    entries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entry long, v array<double>")
+    want = [r.entry for r in entries.orderBy(F.xxhash64("entry"), "entry").limit(300).collect()]
+    assert [r.entry for r in additive.least_hashed(entries, n, 300).collect()] == want
+    books = additive.fit(additive.unit(x[want]))
+    for told in (n, 100 * n):
+        assert np.allclose(additive.learned(entries, told, 300), books, atol=1e-5)
+    assert additive.learned(entries.limit(0), 0, 300) is None
+
+
 @pytest.mark.parametrize("size", [1e200, 1e-200, 1e-308])
 def test_vectors_of_extreme_size(spark, size):
     rng = np.random.default_rng(3)

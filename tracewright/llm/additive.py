@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector (of length 1) is stored as CODEBOOKS codes, whose full-dimensional codewords add up to it nearly, and the norm of
-that sum. Codebooks come from residuals and a joint least-squares fit on a bounded sample (SAMPLE vectors); codes come
-from a beam search over partial sums. A query's table of inner products with all codewords scores a vector by CODEBOOKS
+that sum. Codebooks come from residuals and a joint least-squares fit on a bounded sample (SAMPLE vectors, those of least
+hash), which a task does; codes come from a beam search over partial sums. A query's table of inner products with all codewords scores a vector by CODEBOOKS
 look-ups; the RERANK best by 2 <q, x> - |x|^2 are compared exactly on the original vectors in double precision.
 
 Every vector is indexed and every code scored: on vectors without clusters, lists by the first codeword would have to be
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import forget, lean, written
+from .common import collected, forget, lean, written
 
 CODEBOOKS, WORDS = 16, 256
 SAMPLE = 8192
@@ -116,6 +116,35 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.withColumn("power", power).select("vec_id", F.transform("v", lambda x: x * F.col("power")).alias("v"))
 
 
+def least_hashed(entries: DataFrame, n: int, size: int) -> DataFrame:
+    """The size entries of least hash, of n in all: those far above the hash that so many are under leave before the one task that orders the others.
+
+    Fewer come out only if the hashes are not spread evenly."""
+    place = F.xxhash64("entry")
+    if n > size:
+        part = (size + 8 * size**0.5) / n
+        entries = entries.filter(place <= F.lit(min(2**63 - 1, int(part * 2**64) - 2**63)))
+    return entries.orderBy(place, "entry").limit(size)
+
+
+def learned(entries: DataFrame, n: int, size: int = SAMPLE) -> np.ndarray | None:
+    """fit() on the size entries (entry, v; n in all) of least hash, by a task: the driver gets the codebooks only. None without entries."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = [unit(_matrix(b.column(0))) for b in batches if b.num_rows]
+        if vectors:
+            x = np.concatenate(vectors)
+            books = fit(x)
+            yield pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([books.shape[1]]), pa.array([books.tobytes()], pa.binary())], ["n", "words", "books"])
+
+    for chosen in (least_hashed(entries, n, size), entries.orderBy(F.xxhash64("entry"), "entry").limit(size)):
+        found = collected(chosen.select("v").mapInArrow(run, "n long, words long, books binary"))
+        if found and found[0]["n"] == min(n, size):
+            break
+    return np.frombuffer(found[0]["books"], np.float32).reshape(CODEBOOKS, found[0]["words"], -1) if found else None
+
+
 def table_scores(q: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, floor: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, code and score of each query's best codes by look-up tables, keep at most, none under the query's floor."""
     tables = np.ascontiguousarray((2 * np.einsum("qd,mkd->mkq", q, books)).astype(np.float32))
@@ -185,11 +214,11 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, rerank: int = RER
     rank = F.row_number().over(Window.partitionBy("same").orderBy("vec_id"))
     members = written(v.select("same", "vec_id").withColumn("r", rank).filter(F.col("r") <= top + 1), "members")
     entries = v.join(members.filter("r = 1").select(F.col("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("entry"), "v")
-    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     queries = v.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    if not len(sample) or queries.isEmpty():
+    n = members.filter("r = 1").count()
+    if not n or queries.isEmpty():
         return spark.createDataFrame([], FOUND)
-    books = fit(unit(_matrix(sample)))
+    books = learned(entries, n)
     sent = spark.sparkContext.broadcast(books)
 
     @lean
